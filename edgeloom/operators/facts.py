@@ -95,9 +95,9 @@ def evidence_table(facts: DataFrame) -> DataFrame:
 
 
 def seed_edges_from_facts(facts: DataFrame) -> DataFrame:
-    """Facts grouped by subject, object, month and relation; names are those of the first event."""
+    """Facts grouped by subject, object, month and relation; names are those of the first day's first names."""
     grouped = facts.groupBy(*KEY).agg(
-        F.min_by(F.struct("subject_name", "object_name"), "event_seq").alias("names"),
+        F.min_by(F.struct("subject_name", "object_name"), F.struct("event_date", "subject_name", "object_name")).alias("names"),
         F.count(F.lit(1)).alias("event_count"),
     )
     return _seed_columns(grouped)
@@ -108,24 +108,26 @@ def seed_edges(events: DataFrame, dictionary: DataFrame, salts: int = 1) -> Data
 
     A hot actor shrinks to its distinct partners, months and codes in the
     map-side part of the first grouping, so the lookups never see its events.
+    That grouping keeps only numbers per key and so runs as a hash aggregation.
     """
     raw = standard_feed_a(events).select(
-        "source_name", "target_name", "code", "event_seq",
-        F.date_format("event_date", "yyyy-MM").alias("event_month"),
+        "source_name", "target_name", "code", F.date_format("event_date", "yyyy-MM").alias("event_month"),
+        F.unix_date("event_date").alias("day"),
     )
     counted = raw.groupBy("source_name", "target_name", "code", "event_month").agg(
-        F.count(F.lit(1)).alias("n"), F.min("event_seq").alias("event_seq")
+        F.count(F.lit(1)).alias("n"), F.min("day").alias("day")
     )
     prepared = counted.withColumns({
         "relation_type": relation_from_padded("code"),
         "_subject_key": lookup_name("source_name"),
         "_object_key": lookup_name("target_name"),
     }).where("relation_type <> '' and _subject_key <> '' and _object_key <> ''")
-    mapped = look_up(prepared, dictionary, "_subject_key", "subject", salts=salts, spread_by=F.col("event_seq"))
-    mapped = look_up(mapped, dictionary, "_object_key", "object", salts=salts, spread_by=F.col("event_seq"))
+    spread = F.struct("source_name", "target_name", "code", "event_month")
+    mapped = look_up(prepared, dictionary, "_subject_key", "subject", salts=salts, spread_by=spread)
+    mapped = look_up(mapped, dictionary, "_object_key", "object", salts=salts, spread_by=spread)
+    names = F.struct(F.col("source_name").alias("subject_name"), F.col("target_name").alias("object_name"))
     grouped = mapped.groupBy(*KEY).agg(
-        F.min_by(F.struct(F.col("source_name").alias("subject_name"), F.col("target_name").alias("object_name")), "event_seq").alias("names"),
-        F.sum("n").alias("event_count"),
+        F.min_by(names, F.struct("day", "source_name", "target_name")).alias("names"), F.sum("n").alias("event_count")
     )
     return _seed_columns(grouped)
 

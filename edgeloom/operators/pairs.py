@@ -62,23 +62,32 @@ def _disjoint_counts(distinct: DataFrame, relations: Sequence[str]) -> DataFrame
             F.struct(F.col("start_no").alias("month_no"), F.lit(0).cast("bigint").alias("ends"), F.col("n").alias("starts")),
         )).alias("m"),
     ).select(*PAIR, "relation_type", "m.*")
-    marks = marks.groupBy(*PAIR, "month_no", "relation_type").agg(F.sum("ends").alias("ends"), F.sum("starts").alias("starts"))
+    # One row per pair of organizations and month, one column per relation: the window then runs over months only.
+    monthly = marks.groupBy(*PAIR, "month_no").agg(*[
+        F.sum(F.when(F.col("relation_type") == r, F.col(c)).otherwise(0)).alias(f"{c}_{i}")
+        for c in ("ends", "starts") for i, r in enumerate(relations)
+    ])
     axis = Window.partitionBy(*PAIR).orderBy("month_no")
-    earlier = axis.rangeBetween(Window.unboundedPreceding, -1)
-    previous = axis.rangeBetween(-1, -1)
-
-    def running(frame) -> Column:
-        ends = [F.coalesce(F.sum(F.when(F.col("relation_type") == r, F.col("ends"))).over(frame), F.lit(0)) for r in relations]
-        return F.array(*[F.struct(F.lit(r).alias("other"), e.alias("k")) for r, e in zip(relations, ends)])
-
-    probed = marks.select(*PAIR, "relation_type", "starts", running(earlier).alias("all_earlier"), running(previous).alias("just_before"))
-    spread = probed.where("starts > 0").select(
-        *PAIR, "relation_type", "starts", F.explode(F.arrays_zip("all_earlier", "just_before")).alias("z")
-    ).select(
-        *PAIR, "relation_type", F.col("z.all_earlier.other").alias("other"),
-        (F.col("starts") * F.col("z.all_earlier.k")).alias("disjoint"),
-        (F.col("starts") * F.col("z.just_before.k")).alias("meeting"),
-    ).where("disjoint > 0 and other <> relation_type")
+    earlier = axis.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    entries = F.array(*[
+        F.struct(
+            F.lit(r).alias("other"), F.coalesce(F.sum(f"ends_{i}").over(earlier), zero).alias("k"),
+            F.lag(f"ends_{i}", 1, 0).over(axis).alias("last"),
+        ) for i, r in enumerate(relations)
+    ])
+    starting = F.array(*[F.struct(F.lit(r).alias("relation_type"), F.col(f"starts_{i}").alias("starts")) for i, r in enumerate(relations)])
+    probed = monthly.select(
+        *PAIR, F.filter(starting, lambda x: x["starts"] > 0).alias("starting"),
+        F.filter(entries, lambda x: x["k"] > 0).alias("entries"),
+        (F.lag("month_no").over(axis) == F.col("month_no") - 1).alias("adjacent"),
+    )
+    spread = probed.select(*PAIR, "adjacent", "entries", F.inline("starting")).select(
+        *PAIR, "adjacent", "relation_type", "starts", F.inline("entries")
+    ).where("other <> relation_type").select(
+        *PAIR, "relation_type", "other", (F.col("starts") * F.col("k")).alias("disjoint"),
+        F.when(F.col("adjacent"), F.col("starts") * F.col("last")).otherwise(zero).alias("meeting"),
+    )
     # The earlier interval belongs to "other": seen from the smaller code that is before, else after.
     other_first = F.col("other") < F.col("relation_type")
     apart = F.col("disjoint") - F.col("meeting")

@@ -9,18 +9,28 @@ from pyspark.sql import DataFrame
 
 from edgeloom.constants import STATUS_THRESHOLDS
 from edgeloom.operators import baselines, candidates, constraints, edges, facts, inventory, intervals, pairs, scoring, update
+from edgeloom.session import cut_lineage
 from edgeloom.operators.dictionary import feed_a_dictionary, feed_b_dictionary
 
 
 @dataclass
 class Graph:
-    """Edges from two feeds and an organization table. Frames are built on first use and stay lazy."""
+    """Edges from two feeds and an organization table.
+
+    Frames are built on first use. With `cut`, the tables that several later
+    stages read (fused edges, pair counts, final constraints) are checkpointed,
+    so the feeds are read once; without it everything stays lazy.
+    """
 
     feed_a: DataFrame
     feed_b: DataFrame
     organizations: DataFrame
     aliases: DataFrame | None = None
     salts: int = 1
+    cut: bool = False
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.cut else df
 
     @cached_property
     def a_dictionary(self) -> DataFrame:
@@ -44,7 +54,7 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return edges.fused_edges(self.seed, self.classified)
+        return self.stage(edges.fused_edges(self.seed, self.classified))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -60,7 +70,7 @@ class Graph:
 
     @cached_property
     def pair_counts(self) -> DataFrame:
-        return pairs.pair_counts(self.intervals)
+        return self.stage(pairs.pair_counts(self.intervals))
 
     @cached_property
     def inventory(self) -> DataFrame:
@@ -98,7 +108,7 @@ class Check:
 
     @cached_property
     def final(self) -> DataFrame:
-        return constraints.final_constraints(self.scored, self.manual)
+        return self.graph.stage(constraints.final_constraints(self.scored, self.manual))
 
     @cached_property
     def sides(self) -> DataFrame:

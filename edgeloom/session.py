@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ def local_session(app: str = "edgeloom", cores: str = "*", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Few small shuffle partitions here; merging them further would only idle cores.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("EDGELOOM_DRIVER_MEMORY", "8g"))
@@ -41,7 +44,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A fresh folder for a stage table, below the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/edgeloom-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a stage table to the shared folder and read it back.
+
+    Survives lost executors, computes the stage once, and gives later joins
+    real sizes and the scan column pruning and pushed filters.
+    """
+    path = stage_path(df.sparkSession)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
