@@ -24,18 +24,38 @@ from edgeloom.streaming import fuse
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Stage tables are written once per session and folder and then read by every query that needs them.
+_GRAPHS: dict[tuple, Graph] = {}
+_CHECKS: dict[tuple, Check] = {}
+
+
 def graph(spark: SparkSession, folder: str, fold: bool = True, cut: bool = True) -> Graph:
     """Graph of the derived feeds. Folded to four months, relations collide often enough to exercise every status."""
-    return Graph(
+    key = (spark.sparkContext.applicationId, folder, fold)
+    if cut and key in _GRAPHS:
+        return _GRAPHS[key]
+    built = Graph(
         testfeed.feed_a(spark, folder, fold), testfeed.feed_b(spark, folder, fold),
         testfeed.organizations(spark, folder), testfeed.aliases(spark, folder), cut=cut,
     )
+    if cut:
+        _GRAPHS[key] = built
+    return built
 
 
 def check(spark: SparkSession, folder: str, manual: bool = False) -> Check:
-    g = graph(spark, folder)
-    found = candidates.candidates_from_pool(g.pool)
-    return Check(g, found, reviews(found) if manual else None)
+    key = (spark.sparkContext.applicationId, folder, manual)
+    if key not in _CHECKS:
+        g = graph(spark, folder)
+        found = candidates.candidates_from_pool(g.pool)
+        _CHECKS[key] = Check(g, found, reviews(found) if manual else None)
+    return _CHECKS[key]
+
+
+def forget_stages() -> None:
+    """Start over with fresh stage tables."""
+    _GRAPHS.clear()
+    _CHECKS.clear()
 
 
 def reviews(found: DataFrame) -> DataFrame:
@@ -639,7 +659,7 @@ def stream_log(spark, folder):
     return fuse.stream_log(spark, path, seed)
 
 
-_NOT_QUERIES = {"graph", "check", "reviews", "found_actors", "raw_names", "proposals", "register_sql_functions", "exclusion_truth", "feed_a_dictionary", "stage_path"}
+_NOT_QUERIES = {"graph", "check", "forget_stages", "reviews", "found_actors", "raw_names", "proposals", "register_sql_functions", "exclusion_truth", "feed_a_dictionary", "stage_path"}
 
 
 def all_queries() -> dict[str, Query]:

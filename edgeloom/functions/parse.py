@@ -81,10 +81,15 @@ def append_unique(old: ColumnLike, new: ColumnLike, separator: str = ";") -> Col
     return F.array_join(F.array_distinct(merged), separator)
 
 
+def sql_literal(value: object) -> str:
+    """A Python value as SQL text."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
 def lookup(c: ColumnLike, mapping: Mapping[str, object], default: ColumnLike | None = None) -> Column:
     """Small fixed mapping as a literal map; keys outside it give the default (the key itself if none)."""
     key = col(c)
-    literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    literal = F.expr("map(" + ", ".join(sql_literal(x) for pair in mapping.items() for x in pair) + ")")
     return F.coalesce(F.try_element_at(literal, key), key if default is None else col(default))
 
 

@@ -63,20 +63,20 @@ def _disjoint_counts(distinct: DataFrame, relations: Sequence[str]) -> DataFrame
         )).alias("m"),
     ).select(*PAIR, "relation_type", "m.*")
     # One row per pair of organizations and month, one column per relation: the window then runs over months only.
+    # (Given as SQL text: the expressions repeat per relation.)
+    numbered = list(enumerate(relations))
     monthly = marks.groupBy(*PAIR, "month_no").agg(*[
-        F.sum(F.when(F.col("relation_type") == r, F.col(c)).otherwise(0)).alias(f"{c}_{i}")
-        for c in ("ends", "starts") for i, r in enumerate(relations)
+        F.expr(f"sum(if(relation_type = '{r}', {c}, 0)) AS {c}_{i}") for c in ("ends", "starts") for i, r in numbered
     ])
     axis = Window.partitionBy(*PAIR).orderBy("month_no")
-    earlier = axis.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    entries = F.array(*[
-        F.struct(
-            F.lit(r).alias("other"), F.coalesce(F.sum(f"ends_{i}").over(earlier), zero).alias("k"),
-            F.lag(f"ends_{i}", 1, 0).over(axis).alias("last"),
-        ) for i, r in enumerate(relations)
-    ])
-    starting = F.array(*[F.struct(F.lit(r).alias("relation_type"), F.col(f"starts_{i}").alias("starts")) for i, r in enumerate(relations)])
+    over = "PARTITION BY subject_org_id, object_org_id ORDER BY month_no"
+    earlier = f"{over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    entries = F.expr("array(" + ", ".join(
+        f"struct('{r}' AS other, coalesce(sum(ends_{i}) OVER ({earlier}), 0L) AS k, lag(ends_{i}, 1, 0L) OVER ({over}) AS last)"
+        for i, r in numbered
+    ) + ")")
+    starting = F.expr("array(" + ", ".join(f"struct('{r}' AS relation_type, starts_{i} AS starts)" for i, r in numbered) + ")")
     probed = monthly.select(
         *PAIR, F.filter(starting, lambda x: x["starts"] > 0).alias("starting"),
         F.filter(entries, lambda x: x["k"] > 0).alias("entries"),

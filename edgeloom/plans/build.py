@@ -18,8 +18,8 @@ class Graph:
     """Edges from two feeds and an organization table.
 
     Frames are built on first use. With `cut`, the tables that several later
-    stages read (fused edges, pair counts, final constraints) are checkpointed,
-    so the feeds are read once; without it everything stays lazy.
+    stages read (fused edges, pair counts, candidate pool, final constraints) are written to
+    the checkpoint folder, so the feeds are read once; without it everything stays lazy.
     """
 
     feed_a: DataFrame
@@ -83,7 +83,7 @@ class Graph:
     @cached_property
     def pool(self) -> DataFrame:
         # The pool reads only code and interval_count, so column pruning drops the example texts.
-        return candidates.candidate_pool(self.inventory, self.pair_summary)
+        return self.stage(candidates.candidate_pool(self.inventory, self.pair_summary))
 
     @cached_property
     def weights(self) -> DataFrame:
