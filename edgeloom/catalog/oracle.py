@@ -293,7 +293,7 @@ def graph_ctes(fold: bool) -> dict[str, str]:
             LEFT JOIN ps p ON p.relation_a = r.relation_a AND p.relation_b = r.relation_b
             WHERE candidate_level <> 'blocked' AND (coalesce(p.comparable_count, 0) >= 5
             OR (candidate_level = 'strong_candidate' AND least(ia.interval_count, ib.interval_count) >= 10) OR (candidate_level = 'weak_candidate' AND p.comparable_count > 0))""",
-        "cand": "SELECT *, 'LLM_MUTEX_' || lpad(CAST(row_number() OVER (ORDER BY pair_id) AS VARCHAR), 4, '0') AS constraint_id FROM pool",
+        "cand": "SELECT *, CASE WHEN relation_b = '17' THEN 'hide' ELSE recommended_action END AS proposed_action, 'LLM_MUTEX_' || lpad(CAST(row_number() OVER (ORDER BY pair_id) AS VARCHAR), 4, '0') AS constraint_id FROM pool",
         "ew": f"""SELECT *, CASE WHEN {a} > 0 AND {b} > 0 THEN 1.2 WHEN {a} > 0 THEN 1.0 WHEN {b} > 0 THEN 0.6 ELSE 0.75 END::DOUBLE AS w FROM scored""",
         "wt": "SELECT subject_org_id AS s, relation_type AS r, object_org_id AS o, avg(w) AS w FROM ew GROUP BY ALL",
         "judged": """SELECT c.constraint_id, p.*, CASE WHEN kind IN ('before', 'after', 'meet') THEN 1 ELSE -1 END AS truth,
@@ -303,11 +303,11 @@ def graph_ctes(fold: bool) -> dict[str, str]:
         "sc0": f"""SELECT constraint_id, count(*) AS comparable_count, {count_if('truth = 1')} AS support_count, {count_if('truth = -1')} AS negative_count,
             {share("count(*) FILTER (WHERE truth = 1)", 'count(*)')} AS conf, {share("count(*) FILTER (WHERE truth = -1)", 'count(*)')} AS viol,
             sum(pw) FILTER (WHERE truth = 1) / sum(pw) AS wconf, {KIND_COUNTS} FROM judged GROUP BY constraint_id""",
-        "sc": f"""SELECT c.constraint_id, c.pair_id AS constraint_key, c.relation_a, c.relation_b, c.candidate_level, c.recommended_action AS proposed_action,
+        "sc": f"""SELECT c.constraint_id, c.pair_id AS constraint_key, c.relation_a, c.relation_b, c.candidate_level, c.proposed_action,
             c.candidate_reason AS proposed_reason, c.forbidden_temporal_relation, s.* EXCLUDE (constraint_id), e.* EXCLUDE (constraint_id),
             CASE WHEN comparable >= 30 AND conf >= 0.85 AND wconf >= 0.85 AND viol <= 0.15 THEN 'pass'
             WHEN candidate_level = 'strong_candidate' AND comparable >= 500 AND conf >= 0.74 AND wconf >= 0.735 AND viol <= 0.26 THEN 'strong_soft'
-            WHEN recommended_action = 'mark_mixed' AND comparable >= 500 AND conf >= 0.72 AND viol <= 0.29 THEN 'mixed_candidate'
+            WHEN c.proposed_action = 'mark_mixed' AND comparable >= 500 AND conf >= 0.72 AND viol <= 0.29 THEN 'mixed_candidate'
             WHEN comparable >= 30 AND conf >= 0.70 THEN 'review' WHEN comparable >= 10 AND conf >= 0.60 THEN 'weak_review' ELSE 'weak' END AS auto_filter_status
             FROM cand c LEFT JOIN (SELECT *, comparable_count AS comparable FROM sc0) s USING (constraint_id) LEFT JOIN ent e USING (constraint_id)""",
         "auto": """SELECT *, CASE WHEN auto_filter_status = 'pass' THEN 'enabled_for_update' WHEN auto_filter_status IN ('strong_soft', 'mixed_candidate') THEN 'enabled_for_mark_mixed'
@@ -385,7 +385,7 @@ def update_ctes(final: str, tag: str) -> dict[str, str]:
     """Conflict detection by pairing edges, and the outcome per edge, under one set of final constraints."""
     severity = choose("update_action", C.ACTION_SEVERITY, "0")
     action = """CASE WHEN final_status = 'enabled_for_mark_mixed' THEN 'mark_mixed' WHEN final_status = 'review_only' THEN 'review'
-        WHEN cross_source THEN 'mark_mixed' WHEN proposed_action = 'downgrade' OR (proposed_action = 'mark_mixed_or_downgrade' AND low_evidence) THEN 'downgrade' ELSE 'mark_mixed' END"""
+        WHEN cross_source THEN 'mark_mixed' WHEN proposed_action = 'hide' AND low_evidence THEN 'hide_low_evidence' WHEN proposed_action = 'downgrade' OR (proposed_action = 'mark_mixed_or_downgrade' AND low_evidence) THEN 'downgrade' ELSE 'mark_mixed' END"""
     side = "SELECT c.constraint_id, c.pair_id, {s} AS side, {e}.edge_id FROM scored x JOIN scored y USING (subject_org_id, object_org_id, event_month) JOIN cand c ON c.relation_a = x.relation_type AND c.relation_b = y.relation_type"
     return {
         f"sides{tag}": f"""SELECT *, {action} AS update_action FROM (SELECT e.*, e.icews_event_count > 0 AND e.gdelt_event_count > 0 AS cross_source,
@@ -397,26 +397,29 @@ def update_ctes(final: str, tag: str) -> dict[str, str]:
             string_agg(edge_id, ';' ORDER BY edge_id) FILTER (WHERE side = 'a') AS edge_ids_a, string_agg(edge_id, ';' ORDER BY edge_id) FILTER (WHERE side = 'b') AS edge_ids_b,
             final_status, arg_max(update_action, {severity}) AS conflict_action, proposed_action AS expected_action, structural_confidence, source_weighted_confidence, violation_rate,
             auto_filter_status, candidate_level FROM sides{tag} GROUP BY ALL""",
-        # A downgrade counts while nothing more severe came before it; with these actions that is every downgrade.
-        f"steps{tag}": f"""SELECT *, row_number() OVER w AS step, count(*) FILTER (WHERE update_action = 'downgrade') OVER w AS downs, max({severity}) OVER w AS worst
+        # An action applies unless a more severe one came before, so applied downgrades all precede applied hides.
+        f"ranked{tag}": f"""SELECT *, {severity} AS sev, row_number() OVER w AS step, max({severity}) OVER w AS worst
             FROM sides{tag} WINDOW w AS (PARTITION BY edge_id ORDER BY constraint_id)""",
-        f"dec{tag}": f"SELECT *, {_downgraded('downs')} AS final_confidence FROM steps{tag}",
+        f"steps{tag}": f"""SELECT *, {count_if("update_action = 'downgrade' AND sev = worst")} OVER w AS downs, {count_if("update_action = 'hide_low_evidence'")} OVER w AS hides
+            FROM ranked{tag} WINDOW w AS (PARTITION BY edge_id ORDER BY step)""",
+        f"down{tag}": f"SELECT *, {_repeated('confidence', 'downs', 0.8)} AS lowered FROM steps{tag}",
+        f"dec{tag}": f"SELECT *, {_repeated('lowered', 'hides', 0.5)} AS final_confidence FROM down{tag}",
         f"hist{tag}": f"""SELECT edge_id, arg_max(final_confidence, step) AS final_confidence, max(worst) AS worst, string_agg(constraint_id, ';' ORDER BY constraint_id) AS ids,
             string_agg(constraint_key, ';' ORDER BY constraint_id) AS keys, string_agg(relation_a || '-' || relation_b, ';' ORDER BY constraint_id) AS rels FROM dec{tag} GROUP BY edge_id""",
-        f"after{tag}": f"""SELECT e.* EXCLUDE (status), h.edge_id IS NOT NULL AS is_mutex_triggered, CASE worst WHEN 1 THEN 'review' WHEN 2 THEN 'mark_mixed' WHEN 3 THEN 'downgrade' ELSE 'keep' END AS update_action,
-            CASE worst WHEN 1 THEN 'review' WHEN 2 THEN 'mark_mixed' WHEN 3 THEN 'downgraded' ELSE 'keep' END AS after_check_status, e.confidence AS original_confidence,
+        f"after{tag}": f"""SELECT e.* EXCLUDE (status), h.edge_id IS NOT NULL AS is_mutex_triggered, CASE worst WHEN 1 THEN 'review' WHEN 2 THEN 'mark_mixed' WHEN 3 THEN 'downgrade' WHEN 4 THEN 'hide_low_evidence' ELSE 'keep' END AS update_action,
+            CASE worst WHEN 1 THEN 'review' WHEN 2 THEN 'mark_mixed' WHEN 3 THEN 'downgraded' WHEN 4 THEN 'hidden' ELSE 'keep' END AS after_check_status, e.confidence AS original_confidence,
             coalesce(h.final_confidence, e.confidence) AS final_confidence, coalesce(ids, '') AS triggered_constraint_ids, coalesce(keys, '') AS triggered_constraint_keys,
-            coalesce(rels, '') AS triggered_mutex_relations, 'active' AS status, CASE worst WHEN 1 THEN 'review' WHEN 2 THEN 'mark_complex' WHEN 3 THEN 'downgrade' ELSE 'keep' END AS check_action
+            coalesce(rels, '') AS triggered_mutex_relations, CASE WHEN worst = 4 THEN 'hidden' ELSE 'active' END AS status, CASE worst WHEN 1 THEN 'review' WHEN 2 THEN 'mark_complex' WHEN 3 THEN 'downgrade' WHEN 4 THEN 'hide' ELSE 'keep' END AS check_action
             FROM scored e LEFT JOIN hist{tag} h ON h.edge_id = e.edge_id""",
     }
 
 
-def _downgraded(times: str) -> str:
-    """Confidence after some downgrades, rounded after each."""
-    value, whens = "confidence", "WHEN 0 THEN confidence"
-    for n in range(1, 8):
-        value = f"round({value} * 0.8::DOUBLE, 6)"
-        whens += f" WHEN {n} THEN {value}"
+def _repeated(value: str, times: str, factor: float) -> str:
+    """A value multiplied some times, rounded after each."""
+    whens, product = f"WHEN 0 THEN {value}", value
+    for n in range(1, 21):
+        product = f"round({product} * {factor}::DOUBLE, 6)"
+        whens += f" WHEN {n} THEN {product}"
     return f"CASE {times} {whens} END"
 
 
@@ -509,9 +512,9 @@ def oracle_queries() -> dict[str, str]:
     candidate = "raw_name, normalized_name, frequency, source_count, sources, type_info, sector_info, org_signal"
     org_columns = "frequency, source_count, sources, type_info, sector_info, org_signal"
     metric = f"""WITH_M SELECT count(*) AS total, {count_if("update_action = 'keep'")} AS kept, {count_if('is_mutex_triggered')} AS triggered, {count_if("update_action <> 'keep'")} AS changed,
-        {count_if("evidence_group = 'high'")} AS high, {count_if("evidence_group = 'high' AND update_action <> 'downgrade'")} AS high_protected,
+        {count_if("evidence_group = 'high'")} AS high, {count_if("evidence_group = 'high' AND update_action NOT IN ('downgrade', 'hide_low_evidence')")} AS high_protected,
         {count_if("evidence_group = 'low' AND is_mutex_triggered")} AS low_triggered, {count_if("evidence_group = 'low' AND is_mutex_triggered AND update_action <> 'keep'")} AS low_processed FROM aft"""[7:]
-    filtered = "action IN ('filtered', 'downgrade')"
+    filtered = "action IN ('filtered', 'downgrade', 'hide_low_evidence')"
     method = f"""SELECT method, count(*) AS total_edges, {count_if('triggered')} AS triggered_edges, {count_if("action <> 'keep'")} AS changed_edges, {count_if("action = 'keep'")} AS kept_edges,
         {count_if(filtered)} AS filtered_edges, {count_if("action = 'review'")} AS review_edges, {count_if("action = 'mark_mixed'")} AS mark_mixed_edges, {count_if("evidence_group = 'high'")} AS high_evidence_edges,
         {count_if(f"evidence_group = 'high' AND {filtered}")} AS high_evidence_filtered, {count_if("evidence_group = 'low' AND triggered")} AS low_evidence_triggered,
@@ -642,15 +645,15 @@ def oracle_queries() -> dict[str, str]:
             LEFT JOIN (SELECT constraint_id, count(*) AS k FROM conf GROUP BY ALL) c USING (constraint_id) LEFT JOIN (SELECT relation_a, relation_b, count(*) AS k FROM conf GROUP BY ALL) p USING (relation_a, relation_b)
             LEFT JOIN (SELECT constraint_id, count(*) AS t, {count_if("a.update_action = 'review'")} AS rv, {count_if("a.update_action = 'mark_mixed'")} AS mx FROM sides s JOIN after a USING (edge_id) GROUP BY ALL) e USING (constraint_id)"""),
         "fusion_summary": folded(f"UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM ({fusion})) ON COLUMNS(*) INTO NAME metric VALUE value"),
-        "conflict_summary": folded(f"""SELECT count(*) AS detected_conflicts, 0::BIGINT AS hidden_conflicts, {count_if("conflict_action = 'downgrade'")} AS downgrade_conflicts,
+        "conflict_summary": folded(f"""SELECT count(*) AS detected_conflicts, {count_if("conflict_action = 'hide_low_evidence'")} AS hidden_conflicts, {count_if("conflict_action = 'downgrade'")} AS downgrade_conflicts,
             {count_if("conflict_action = 'mark_mixed'")} AS mark_mixed_conflicts, {count_if("conflict_action = 'review'")} AS review_conflicts FROM conf"""),
         "case_cross_source": full("SELECT edge_id, confidence, event_count FROM scored WHERE source_datasets = 'GDELT;ICEWS' ORDER BY confidence DESC, edge_id LIMIT 30"),
-        "case_single_source": folded("SELECT edge_id, status, event_count FROM after WHERE source_datasets = 'GDELT' ORDER BY event_count, edge_id LIMIT 30"),
+        "case_single_source": folded("SELECT edge_id, status, event_count FROM after WHERE source_datasets = 'GDELT' AND status = 'hidden' ORDER BY event_count, edge_id LIMIT 30"),
         "case_filtered_constraints": folded("SELECT constraint_id, final_status AS final_decision FROM fin WHERE final_status = 'disabled' ORDER BY constraint_id LIMIT 30"),
         "case_complex": folded("SELECT edge_id, check_action FROM after WHERE check_action = 'mark_complex' ORDER BY edge_id LIMIT 30"),
         "case_conflicts": folded(" UNION ALL ".join((
             case.format(name="'case_mutex_mark_mixed'", month="month", src="conf", w="conflict_action = 'mark_mixed'", extra=""),
-            case.format(name="'case_mutex_hide_low_evidence'", month="month", src="conf", w="conflict_action = 'hide'", extra=""),
+            case.format(name="'case_mutex_hide_low_evidence'", month="month", src="conf", w="conflict_action = 'hide_low_evidence'", extra=""),
             case.format(name="'case_mutex_review'", month="month", src="conf", w="conflict_action = 'review'", extra=""),
             case.format(name="'case_mutex_downgrade'", month="event_month", src="dec", w="update_action = 'downgrade'", extra=", edge_id"),
             case.format(name="'case_mutex_keep_cross_source'", month="event_month", src="dec", w="update_action = 'mark_mixed'", extra=", edge_id")))),

@@ -16,9 +16,12 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+WHITE_SPACE = " \t\n\r\f\v"
+
+
 def clean_text(c: ColumnLike) -> Column:
     """Null to blank, outer white space removed."""
-    return F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    return F.trim(F.coalesce(col(c).cast("string"), F.lit("")), F.lit(WHITE_SPACE))
 
 
 def null_tokens_to_null(c: ColumnLike, tokens: Iterable[str] = NULL_TOKENS) -> Column:

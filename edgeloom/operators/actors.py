@@ -19,55 +19,51 @@ from edgeloom.functions.names import (
 from edgeloom.functions.parse import clean_text
 from edgeloom.operators.ids import dense_ids
 
-_HIT = ("name", "type_info", "sector_info", "source", "seq")
-
-
-def _seq(events: DataFrame) -> Column:
-    return F.col("event_seq") if "event_seq" in events.columns else F.struct(*[F.col(f"`{c}`") for c in events.columns])
+LATEST = 2**31 - 1  # unreadable dates sort last
 
 
 def feed_a_hits(events: DataFrame) -> DataFrame:
-    """One hit per sector and side; a side without sectors gives one hit."""
+    """Hits per name and sector: one per sector and side; a side without sectors gives one hit.
+
+    Events are counted per name and sector text before that text is split.
+    """
+    day = F.coalesce(F.unix_date(F.try_to_date(F.col("`Event Date`"))), F.lit(LATEST))
     sides = F.array(*[
-        F.struct(F.col(f"`{side} Name`").alias("name"), sector_list(F.col(f"`{side} Sectors`")).alias("sectors"), F.lit(i).alias("side"))
-        for i, side in enumerate(("Source", "Target"))
+        F.struct(F.col(f"`{side} Name`").alias("name"), F.col(f"`{side} Sectors`").alias("sectors")) for side in ("Source", "Target")
     ])
-    per_side = events.select(_seq(events).alias("event_seq"), F.inline(sides))
-    return per_side.select("name", "event_seq", "side", F.explode_outer("sectors").alias("sector")).select(
-        "name", F.lit(None).cast("string").alias("type_info"), F.col("sector").alias("sector_info"), F.lit(FEED_A).alias("source"),
-        F.struct(F.lit(0).alias("feed"), F.col("event_seq").cast("string").alias("event"), "side").alias("seq"),
+    counted = events.select(day.alias("day"), F.inline(sides)).groupBy("name", "sectors").agg(
+        F.count(F.lit(1)).alias("n"), F.min("day").alias("day")
+    )
+    return counted.select("name", "n", "day", F.explode_outer(sector_list("sectors")).alias("sector_info")).select(
+        "name", F.lit(None).cast("string").alias("type_info"), "sector_info", F.lit(FEED_A).alias("source"), "n",
+        F.lit(0).alias("feed"), "day",
     )
 
 
 def feed_b_hits(events: DataFrame) -> DataFrame:
-    """One hit per side, with the four packed type codes."""
+    """Hits per name and packed type codes: one per side of an event, counted before the codes are packed."""
+    day = F.coalesce(F.col("SQLDATE").try_cast("int"), F.lit(LATEST))
+    fields = ("KnownGroupCode", "Type1Code", "Type2Code", "Type3Code")
     sides = F.array(*[
-        F.struct(
-            F.col(f"{p}Name").alias("name"),
-            packed_types(f"{p}KnownGroupCode", f"{p}Type1Code", f"{p}Type2Code", f"{p}Type3Code").alias("type_info"),
-            F.lit(i).alias("side"),
-        )
-        for i, p in enumerate(("Actor1", "Actor2"))
+        F.struct(F.col(f"{p}Name").alias("name"), *[F.col(f"{p}{f}").alias(f) for f in fields]) for p in ("Actor1", "Actor2")
     ])
-    return events.select(_seq(events).alias("event_seq"), F.inline(sides)).select(
-        "name", "type_info", F.lit(None).cast("string").alias("sector_info"), F.lit(FEED_B).alias("source"),
-        F.struct(F.lit(1).alias("feed"), F.col("event_seq").cast("string").alias("event"), "side").alias("seq"),
+    counted = events.select(day.alias("day"), F.inline(sides)).groupBy("name", *fields).agg(
+        F.count(F.lit(1)).alias("n"), F.min("day").alias("day")
+    )
+    return counted.select(
+        "name", packed_types(*fields).alias("type_info"), F.lit(None).cast("string").alias("sector_info"),
+        F.lit(FEED_B).alias("source"), "n", F.lit(1).alias("feed"), "day",
     )
 
 
 def actors(*hits: DataFrame) -> DataFrame:
-    """Hits grouped by normalized name: frequency, first raw name, and the sets of sources, types and sectors.
-
-    Two steps. The first counts per raw name, type and sector, which is what a
-    hot name shrinks to before it is normalized; the second joins the spellings.
-    """
+    """Hits grouped by normalized name: frequency, first raw name (feed A first, then by day), and the sets of sources, types and sectors."""
     union = hits[0]
     for more in hits[1:]:
         union = union.unionByName(more)
-    spelled = union.groupBy("name", "type_info", "sector_info", "source").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
-    named = spelled.withColumn("normalized_name", light_name("name")).where("normalized_name <> ''")
+    named = union.withColumn("normalized_name", light_name("name")).where("normalized_name <> ''")
     grouped = named.groupBy("normalized_name").agg(
-        F.min_by(clean_text("name"), "seq").alias("raw_name"),
+        F.min_by(clean_text("name"), F.struct("feed", "day", "name")).alias("raw_name"),
         F.sum("n").alias("frequency"),
         F.array_sort(F.collect_set("source")).alias("source_set"),
         F.array_sort(F.collect_set("type_info")).alias("type_set"),

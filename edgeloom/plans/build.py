@@ -18,8 +18,8 @@ class Graph:
     """Edges from two feeds and an organization table.
 
     Frames are built on first use. With `cut`, the tables that several later
-    stages read (fused edges, pair counts, candidate pool, final constraints) are written to
-    the checkpoint folder, so the feeds are read once; without it everything stays lazy.
+    stages read (fused edges, intervals, pair counts, candidate pool, final constraints,
+    conflicts, updated edges) are written to the checkpoint folder, so the feeds are read once; without it everything stays lazy.
     """
 
     feed_a: DataFrame
@@ -62,7 +62,7 @@ class Graph:
 
     @cached_property
     def interval_table(self) -> DataFrame:
-        return intervals.edge_intervals(self.scored)
+        return self.stage(intervals.edge_intervals(self.scored))
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -120,7 +120,7 @@ class Check:
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return update.conflicts(self.sides)
+        return self.graph.stage(update.conflicts(self.sides))
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -128,7 +128,7 @@ class Check:
 
     @cached_property
     def after(self) -> DataFrame:
-        return update.legacy_edges(update.updated_edges(self.graph.scored, self.history))
+        return self.graph.stage(update.legacy_edges(update.updated_edges(self.graph.scored, self.history)))
 
     @cached_property
     def methods(self) -> DataFrame:
