@@ -546,7 +546,7 @@ def oracle_queries() -> dict[str, str]:
             SELECT 'b', substr(SQLDATE, 1, 4) || '-' || substr(SQLDATE, 5, 2), count(*) FROM fb WHERE CAST(SQLDATE AS INTEGER) BETWEEN 19960101 AND 19971231 GROUP BY ALL"""),
         "event_reduction": full(reduced.format(w=f"trim(Actor1Name) <> '' AND trim(Actor2Name) <> '' AND {reduction_signal('Actor1')} AND {reduction_signal('Actor2')}")),
         "event_reduction_any": full(reduced.format(w=f"(trim(Actor1Name) <> '' OR trim(Actor2Name) <> '') AND ({reduction_signal('Actor1')} OR {reduction_signal('Actor2')})")),
-        "position_sample": full("SELECT SQLDATE, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY SQLDATE ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM fb) WHERE k % 20 = 1"),
+        "position_sample": full("SELECT SQLDATE, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY SQLDATE, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM fb) WHERE k % 20 = 1"),
         "actor_candidates": full(f"SELECT {candidate} FROM gate WHERE candidate"),
         "organizations": full(f"SELECT org_id, normalized_name AS canonical_name, raw_name, normalized_name, small_name AS clean_name, {org_columns}, org_id AS old_org_id FROM orgs"),
         "aligned_organizations": full(f"""SELECT new_id AS org_id, normalized_name AS canonical_name, raw_name, normalized_name, k.clean_name, {org_columns}, k.old_org_id FROM kept k JOIN named n ON n.org_id = k.old_org_id"""),
@@ -596,6 +596,11 @@ def oracle_queries() -> dict[str, str]:
             FROM ({_proposals()}) x CROSS JOIN (SELECT unnest(['r1', 'r2']) AS response_id) v
             LEFT JOIN (SELECT pair_id, relation_a, relation_b FROM pool) pool USING (relation_a, relation_b)
             LEFT JOIN (SELECT relation_a, relation_b, recommended_action FROM rules WHERE candidate_level <> 'blocked') rules USING (relation_a, relation_b)"""),
+        "response_extraction": folded("""SELECT relation_a AS response_id, CAST(row_number() OVER (PARTITION BY relation_a ORDER BY relation_b) - 1 AS INTEGER) AS position,
+            relation_a, relation_b, 'same_subject_object' AS scope FROM ps"""),
+        "constraint_distributions": folded("""SELECT 'llm+patecon' AS value, count(*) AS count, 'source' AS field FROM fin UNION ALL SELECT 'soft', count(*), 'hard_or_soft' FROM fin
+            UNION ALL SELECT CASE final_status WHEN 'enabled_for_update' THEN 'enabled' WHEN 'enabled_for_mark_mixed' THEN 'enabled_mark_complex' WHEN 'review_only' THEN 'review' ELSE final_status END,
+            count(*), 'final_decision' FROM fin GROUP BY ALL"""),
         "accepted_candidates": folded(f"""SELECT 'LLM_MUTEX_' || lpad(CAST(row_number() OVER (ORDER BY position) AS VARCHAR), 4, '0') AS constraint_id, pool.pair_id AS constraint_key,
             {label_of('x.relation_a')} || '与' || {label_of('x.relation_b')} || '互斥候选' AS constraint_name, x.relation_a, x.relation_b, 'soft' AS hard_or_soft, recommended_action AS expected_action, candidate_level
             FROM ({_proposals()}) x JOIN pool ON pool.relation_a = x.relation_a AND pool.relation_b = x.relation_b WHERE n IN (0, 1)"""),

@@ -349,6 +349,22 @@ def candidate_validation(spark, folder):
     )
 
 
+def response_extraction(spark, folder):
+    """Response texts derived from the pair summary, in every form proposals come in, read back to rows."""
+    item = F.struct("relation_a", "relation_b", F.lit("same_subject_object").alias("scope"))
+    per_code = graph(spark, folder).pair_summary.groupBy("relation_a").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    body = F.to_json("items")
+    form = F.col("relation_a").cast("int") % 6
+    text = (
+        F.when(form == 0, body).when(form == 1, F.concat(F.lit("Proposals:\n```json\n"), body, F.lit("\n```\nDone.")))
+        .when(form == 2, F.concat(F.lit('{"rules": '), body, F.lit("}")))
+        .when(form == 3, F.regexp_replace(body, r"\]$", ",]")).when(form == 4, F.translate(body, '"', "'"))
+        .otherwise(F.array_join(F.transform("items", lambda x: F.to_json(x)), " and "))
+    )
+    responses = per_code.select(F.col("relation_a").alias("response_id"), text.alias("response_text"))
+    return candidates.extract_proposals(responses).select("response_id", "position", "relation_a", "relation_b", "scope")
+
+
 def accepted_candidates(spark, folder):
     g = graph(spark, folder)
     kept = candidates.accept_proposals(candidates.review_proposals(proposals(spark, folder), g.inventory, g.pool))
@@ -481,6 +497,12 @@ def constraint_summary(spark, folder):
     return metrics.constraint_summary(final)
 
 
+def constraint_distributions(spark, folder):
+    final = update.legacy_constraints(check(spark, folder, manual=True).final)
+    parts = [metrics.value_counts(final, c, "value").withColumn("field", F.lit(c)) for c in ("source", "hard_or_soft", "final_decision")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def constraint_quality(spark, folder):
     c = check(spark, folder, manual=True)
     return metrics.constraint_quality(c.final, c.conflicts, c.after)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from edgeloom.constants import REDUCTION_COLUMNS
 from edgeloom.functions.names import reduction_signal
 from edgeloom.functions.parse import clean_text
+from edgeloom.operators.ids import dense_ids
 from edgeloom.sources.columns import keep_existing, with_missing
 
 NEEDED = tuple(
@@ -30,12 +31,12 @@ def sample_by_hash(df: DataFrame, every: int, *key: str) -> DataFrame:
     return df if every <= 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(every)) == 0)
 
 
-def sample_by_position(df: DataFrame, every: int, *order: str, within: str = "SQLDATE") -> DataFrame:
-    """Rows 1, 1 + every, ... of each group in a declared order."""
+def sample_by_position(df: DataFrame, every: int, *order: str) -> DataFrame:
+    """Rows 1, 1 + every, ... in a declared total order, numbered without sorting everything in one task."""
     if every <= 1:
         return df
-    position = F.row_number().over(Window.partitionBy(within).orderBy(*order))
-    return df.withColumn("_position", position).where(F.col("_position") % every == 1).drop("_position")
+    numbered = dense_ids(df, list(order), "_position")
+    return numbered.where(F.col("_position").cast("bigint") % every == 1).drop("_position")
 
 
 def reduce_events(events: DataFrame, mode: str = "both_org", both_names: bool = True, every: int = 1, *key: str) -> DataFrame:

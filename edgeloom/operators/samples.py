@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.constants import FEED_A, FEED_B, STRONG_REASON_PATTERN
@@ -22,10 +22,10 @@ def review_sample(df: DataFrame, n: int, *key: str, fields: tuple[str, ...] = ("
 
 
 def first_aliases(aliases: DataFrame, k: int = 5) -> DataFrame:
-    """First k aliases per organization as one text. The aliases of one organization are a bounded set of spellings."""
-    return aliases.groupBy("org_id").agg(
-        F.array_join(F.slice(F.array_sort(F.collect_set("alias")), 1, k), "; ").alias("sample_aliases")
-    )
+    """First k aliases per organization as one text; only those k are ever collected."""
+    rank = Window.partitionBy("org_id").orderBy("alias")
+    first = aliases.select("org_id", "alias").distinct().withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= k)
+    return first.groupBy("org_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), "; ").alias("sample_aliases"))
 
 
 def alignment_sample(organizations: DataFrame, aliases: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:

@@ -1,9 +1,10 @@
 """Constraints applied to edges: conflicts, decisions and updated edges.
 
 All three come from one shuffle. Edges are placed by (subject, object, month);
-every later grouping key contains those columns, so Spark keeps the placement.
-No edge is ever paired with another: a window tells each edge which relations
-its group holds, and each constraint asks for its two.
+a window tells each edge which relations its group holds, and a broadcast join
+hands it the constraints on its own relation. No edge is ever paired with
+another, and nothing is joined back: an edge carries its own list of conflicts.
+Later grouping keys contain the placement, so Spark keeps it.
 """
 
 from __future__ import annotations
@@ -41,8 +42,15 @@ def prepare_edges(edges: DataFrame) -> DataFrame:
     })
 
 
+CONSTRAINT_FIELDS = (
+    "constraint_seq", "constraint_id", "constraint_key", "constraint_name", "relation_a", "relation_b", "final_status",
+    "expected_action", "reason", *SCORES,
+)
+
+
 def usable_constraints(final: DataFrame) -> DataFrame:
-    """Constraints in force, one row per side, numbered in id order. Bounded by the relation pairs."""
+    """Constraints in force by the relation they ask about, in id order: one row per relation with the list of its
+    constraints and the other relation of each. Bounded by the relation pairs."""
     order = Window.orderBy("constraint_id")
     rows = final.where("use_for_review and relation_a <> '' and relation_b <> '' and relation_a <> relation_b").select(
         F.row_number().over(order).alias("constraint_seq"),
@@ -53,7 +61,8 @@ def usable_constraints(final: DataFrame) -> DataFrame:
         F.struct(F.lit("a").alias("side"), F.col("relation_a").alias("own"), F.col("relation_b").alias("other")),
         F.struct(F.lit("b").alias("side"), F.col("relation_b").alias("own"), F.col("relation_a").alias("other")),
     )
-    return rows.select("*", F.inline(sides))
+    entry = F.struct(*CONSTRAINT_FIELDS, "side", "other")
+    return rows.select("*", F.inline(sides)).groupBy("own").agg(F.array_sort(F.collect_list(entry)).alias("constraints"))
 
 
 def edge_action(final_status: Column, expected: Column, derived: Column, cross: Column, low: Column) -> Column:
@@ -75,27 +84,35 @@ def severity(action: Column | str) -> Column:
     return lookup(action, ACTION_SEVERITY, F.lit(0))
 
 
-def edge_sides(edges: DataFrame, final: DataFrame) -> DataFrame:
-    """One row per edge and constraint in conflict: the edge's relation is one side and its group holds the other.
+def edge_entries(edges: DataFrame, final: DataFrame) -> DataFrame:
+    """All edges, each with the constraints it conflicts with (`entries`) and what they do to it, in order.
 
-    Edges are unique per subject, object, month and relation, so a window
-    partition holds at most 20 of them; constraints are few and broadcast.
+    An edge is in conflict with a constraint when its relation is one side and
+    its group holds the other. Edges are unique per subject, object, month and
+    relation, so a window partition holds at most 20 of them.
     """
-    prepared = prepare_edges(edges).where("event_month <> ''")
+    prepared = prepare_edges(edges)
     profile = source_profile(prepared, "original_confidence")
     derived = derived_flag(resolve(prepared, ("is_derived_relation", "derived", "is_derived"), F.lit("true")))
-    held = Window.partitionBy(*GROUP)
-    rows = prepared.select(
-        "edge_id", *GROUP, "relation_type", "original_confidence",
-        profile["cross_source"].alias("cross_source"), profile["low_evidence"].alias("low_evidence"),
-        derived.alias("derived"), F.collect_set("relation_type").over(held).alias("relations"),
-    ).where(F.size("relations") > 1)
-    sides = F.broadcast(usable_constraints(final))
-    matched = rows.join(sides, (F.col("relation_type") == F.col("own")) & F.array_contains("relations", F.col("other")))
-    return matched.withColumn(
-        "update_action",
-        edge_action(F.col("final_status"), F.col("expected_action"), F.col("derived"), F.col("cross_source"), F.col("low_evidence")),
-    ).drop("relations", "own", "other")
+    rows = prepared.withColumns({
+        "cross_source": profile["cross_source"], "low_evidence": profile["low_evidence"], "derived": derived,
+        "_held": F.collect_set("relation_type").over(Window.partitionBy(*GROUP)),
+    })
+    joined = rows.join(F.broadcast(usable_constraints(final)), F.col("relation_type") == F.col("own"), "left")
+    met = F.when(F.col("event_month") != "", F.filter("constraints", lambda c: F.array_contains("_held", c["other"])))
+
+    def with_action(c: Column) -> Column:
+        action = edge_action(c["final_status"], c["expected_action"], F.col("derived"), F.col("cross_source"), F.col("low_evidence"))
+        return F.struct(*[c[f].alias(f) for f in (*CONSTRAINT_FIELDS, "side")], action.alias("update_action"))
+
+    return joined.withColumn("entries", F.transform(met, with_action)).drop("_held", "own", "constraints")
+
+
+def edge_sides(entries: DataFrame) -> DataFrame:
+    """One row per edge and constraint in conflict."""
+    return entries.select(
+        "edge_id", *GROUP, "relation_type", "original_confidence", "cross_source", "low_evidence", "derived", F.inline("entries")
+    )
 
 
 def conflicts(sides: DataFrame) -> DataFrame:
@@ -146,61 +163,41 @@ def fold_actions(steps: Column, start: Column, factor: float = DOWNGRADE_FACTOR)
     return F.aggregate(steps, zero, step)
 
 
-def edge_history(sides: DataFrame, factor: float = DOWNGRADE_FACTOR) -> DataFrame:
-    """Per edge in conflict: its constraints in order and the folded outcome. At most one step per constraint."""
-    entries = F.array_sort(F.collect_list(F.struct(
-        "constraint_seq", "constraint_id", "constraint_key", "relation_a", "relation_b", "final_status",
-        "update_action", "reason", *SCORES,
-    )))
-    grouped = sides.groupBy(*GROUP, "edge_id").agg(
-        F.first("relation_type").alias("relation_type"), F.first("original_confidence").alias("original_confidence"),
-        entries.alias("entries"),
-    )
-    steps = F.transform("entries", lambda e: e["update_action"])
-    return grouped.withColumn("outcome", fold_actions(steps, F.col("original_confidence"), factor))
+def _outcome(factor: float) -> Column:
+    steps = F.transform(F.coalesce("entries", F.array()), lambda e: e["update_action"])
+    return fold_actions(steps, F.col("original_confidence"), factor)
 
 
-def decisions(history: DataFrame) -> DataFrame:
+def decisions(entries: DataFrame, factor: float = DOWNGRADE_FACTOR) -> DataFrame:
     """Log with one row per edge and constraint: the action asked for and the confidence after it."""
-    return history.select(
-        *GROUP, "edge_id", "relation_type", "original_confidence", "outcome", F.posexplode("entries").alias("position", "e")
+    return entries.where(F.size("entries") > 0).withColumn("_outcome", _outcome(factor)).select(
+        *GROUP, "edge_id", "relation_type", "original_confidence", "_outcome", F.posexplode("entries").alias("position", "e")
     ).select(
         F.col("e.constraint_id").alias("constraint_id"), F.col("e.constraint_key").alias("constraint_key"),
         "subject_org_id", "object_org_id", F.col("event_month").alias("month"), "edge_id", "relation_type",
         F.col("e.final_status").alias("final_status"), F.col("e.update_action").alias("update_action"),
-        "original_confidence", F.element_at("outcome.history", F.col("position") + 1).alias("final_confidence"),
+        "original_confidence", F.element_at("_outcome.history", F.col("position") + 1).alias("final_confidence"),
         F.col("e.reason").alias("reason"), *[F.col(f"e.{c}").alias(c) for c in SCORES],
     )
 
 
-def _joined_unique(field: str) -> Column:
-    texts = F.filter(F.transform("entries", lambda e: clean_text(e[field])), lambda x: x != "")
-    return F.array_join(F.array_distinct(texts), ";")
+def _joined_unique(part) -> Column:
+    texts = F.filter(F.transform("entries", part), lambda x: x != "")
+    return F.coalesce(F.array_join(F.array_distinct(texts), ";"), F.lit(""))
 
 
-def updated_edges(edges: DataFrame, history: DataFrame) -> DataFrame:
+def updated_edges(entries: DataFrame, factor: float = DOWNGRADE_FACTOR) -> DataFrame:
     """All edges with the outcome of their conflicts; untouched ones are kept as they are."""
-    prepared = prepare_edges(edges)
-    pairs = F.transform("entries", lambda e: F.concat_ws("-", e["relation_a"], e["relation_b"]))
-    touched = history.select(
-        *GROUP, "edge_id",
-        F.col("outcome.action").alias("_action"), F.col("outcome.confidence").alias("_confidence"),
-        _joined_unique("constraint_id").alias("_ids"), _joined_unique("constraint_key").alias("_keys"),
-        F.array_join(F.array_distinct(pairs), ";").alias("_pairs"), _joined_unique("reason").alias("_reason"),
-    )
-    joined = prepared.join(touched, [*GROUP, "edge_id"], "left")
-    action = F.coalesce("_action", F.lit("keep"))
-    blank = F.lit("")
-    return joined.withColumns({
-        "is_mutex_triggered": F.col("_action").isNotNull(),
-        "update_action": action,
-        "after_check_status": lookup(action, ACTION_STATUS),
-        "final_confidence": F.coalesce("_confidence", "original_confidence"),
-        "update_reason": F.coalesce("_reason", blank),
-        "triggered_constraint_ids": F.coalesce("_ids", blank),
-        "triggered_constraint_keys": F.coalesce("_keys", blank),
-        "triggered_mutex_relations": F.coalesce("_pairs", blank),
-    }).drop("_action", "_confidence", "_ids", "_keys", "_pairs", "_reason")
+    return entries.withColumn("_outcome", _outcome(factor)).withColumns({
+        "is_mutex_triggered": F.coalesce(F.size("entries") > 0, F.lit(False)),
+        "update_action": F.col("_outcome.action"),
+        "after_check_status": lookup(F.col("_outcome.action"), ACTION_STATUS),
+        "final_confidence": F.col("_outcome.confidence"),
+        "update_reason": _joined_unique(lambda e: clean_text(e["reason"])),
+        "triggered_constraint_ids": _joined_unique(lambda e: clean_text(e["constraint_id"])),
+        "triggered_constraint_keys": _joined_unique(lambda e: clean_text(e["constraint_key"])),
+        "triggered_mutex_relations": _joined_unique(lambda e: F.concat_ws("-", e["relation_a"], e["relation_b"])),
+    }).drop("_outcome", "entries", "cross_source", "low_evidence", "derived")
 
 
 # ---- older column names ---------------------------------------------------------

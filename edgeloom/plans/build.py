@@ -111,12 +111,12 @@ class Check:
         return self.graph.stage(constraints.final_constraints(self.scored, self.manual))
 
     @cached_property
-    def sides(self) -> DataFrame:
-        return update.edge_sides(self.graph.scored, self.final)
+    def entries(self) -> DataFrame:
+        return update.edge_entries(self.graph.scored, self.final)
 
     @cached_property
-    def history(self) -> DataFrame:
-        return update.edge_history(self.sides)
+    def sides(self) -> DataFrame:
+        return update.edge_sides(self.entries)
 
     @cached_property
     def conflicts(self) -> DataFrame:
@@ -124,11 +124,11 @@ class Check:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return update.decisions(self.history)
+        return update.decisions(self.entries)
 
     @cached_property
     def after(self) -> DataFrame:
-        return self.graph.stage(update.legacy_edges(update.updated_edges(self.graph.scored, self.history)))
+        return self.graph.stage(update.legacy_edges(update.updated_edges(self.entries)))
 
     @cached_property
     def methods(self) -> DataFrame:

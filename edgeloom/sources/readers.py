@@ -124,6 +124,26 @@ def union_drifted(frames: Iterable[DataFrame]) -> DataFrame:
     return result
 
 
+def read_feed_files(
+    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.tab", header: bool = True,
+    exclude_directory: str | None = None, file_column: str | None = "Source File",
+) -> DataFrame:
+    """All plain and zipped files of a feed below a folder, with their file names, exact repeats removed."""
+    plain = read_delimited(
+        spark, folder, schema, header=header, recursive=True, pattern=pattern, exclude_directory=exclude_directory, file_column=file_column
+    )
+    zipped = read_zipped(spark, folder, schema, header=header, file_column=file_column, recursive=True)
+    return union_drifted([plain, zipped]).distinct()
+
+
+def read_cases(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
+    """Case tables written side by side: their names, or the rows of one."""
+    if name is not None:
+        return spark.read.parquet(f"{folder.rstrip('/')}/case_name={name}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+    return files.select(F.regexp_extract("path", r"case_name=([^/]+)/", 1).alias("case_name")).distinct().orderBy("case_name")
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", *fallbacks: str, **options) -> DataFrame:
     """First of the paths that exists, else an empty table of the schema."""
     for candidate in (path, *fallbacks):

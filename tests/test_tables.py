@@ -33,6 +33,16 @@ def test_delimited_and_zipped_scans(spark, tmp_path):
     assert [(r[0], r[2], r[3]) for r in rows] == [("2023-01-02", "010", "one.tab"), ("2023-01-03", "020", "two.zip"), ("2023-01-04", "", "two.zip")]
 
 
+def test_feed_files_and_case_tables(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.tab").write_text("id\tv\n1\ta\n1\ta\n")
+    got = readers.read_feed_files(spark, str(tmp_path / "f"), schemas.text_schema("id", "v"))
+    assert [tuple(r) for r in got.collect()] == [("1", "a", "x.tab")]
+    writers.export_cases({"one": spark.range(2), "two": spark.range(3)}, str(tmp_path / "c"))
+    assert [r.case_name for r in readers.read_cases(spark, str(tmp_path / "c")).collect()] == ["one", "two"]
+    assert readers.read_cases(spark, str(tmp_path / "c"), "two").count() == 3
+
+
 def test_headerless_zip_is_named_and_cut(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.writestr("b.csv", "1\t20230101\tx\textra\n2\t20230501\ty\textra\n")
@@ -196,20 +206,19 @@ def test_update_hides_downgrades_and_protects(spark):
         "constraint_id string, constraint_key string, constraint_name string, relation_a string, relation_b string, final_status string, proposed_action string, proposed_reason string").withColumns({
             "use_for_review": F.lit(True), "structural_confidence": F.lit(0.9), "source_weighted_confidence": F.lit(0.9), "violation_rate": F.lit(0.1),
             "auto_filter_status": F.lit("pass"), "candidate_level": F.lit("strong_candidate")})
-    sides = update.edge_sides(e, final)
-    found = {r.constraint_id: r for r in update.conflicts(sides).collect()}
+    entries = update.edge_entries(e, final)
+    found = {r.constraint_id: r for r in update.conflicts(update.edge_sides(entries)).collect()}
     assert {k: r.conflict_action for k, r in found.items()} == {"C1": "hide_low_evidence", "C2": "downgrade"}
-    history = update.edge_history(sides)
-    after = {r.edge_id: r for r in update.legacy_edges(update.updated_edges(e, history)).collect()}
+    after = {r.edge_id: r for r in update.legacy_edges(update.updated_edges(entries)).collect()}
     assert (after["e1"].update_action, after["e1"].final_confidence, after["e1"].status) == ("hide_low_evidence", 0.25, "hidden")
     assert after["e1"].triggered_constraint_ids == "C1;C2" and after["e1"].update_reason == "r1;r2"
     assert (after["e2"].update_action, after["e2"].final_confidence) == ("mark_mixed", 1.0)
     assert (after["e3"].update_action, after["e3"].final_confidence) == ("downgrade", 0.48)
     assert (after["e4"].update_action, after["e4"].is_mutex_triggered) == ("keep", False)
-    log = update.decisions(history)
+    log = update.decisions(entries)
     assert log.count() == 2 * len(found)
     assert [r.final_confidence for r in log.where("edge_id = 'e1'").orderBy("constraint_id").collect()] == [0.25, 0.25]
-    hidden = samples.hidden_sample(update.legacy_edges(update.updated_edges(e, history)))
+    hidden = samples.hidden_sample(update.legacy_edges(update.updated_edges(entries)))
     assert [r.edge_id for r in hidden.collect()] == ["e1"]
 
 
