@@ -11,7 +11,7 @@ from edgeloom.functions import codes, names, parse
 from edgeloom.functions.sqlfuncs import register_sql_functions
 from edgeloom.operators import (
     actors, align, baselines, candidates, constraints, dimension, edges, facts, ids, intervals, inventory, metrics,
-    pairs, reduction, samples, scoring, update, views,
+    pairs, reduction, samples, update, views,
 )
 from edgeloom.plans.build import Check, Graph
 from edgeloom.session import stage_path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.constants import HIGH_EVIDENCE, LOW_EVIDENCE
+from edgeloom.constants import FEED_A, FEED_B, HIGH_EVIDENCE, LOW_EVIDENCE
 from edgeloom.functions.codes import relation_light
 from edgeloom.functions.parse import action_or_keep, to_double, to_flag
 from edgeloom.sources.columns import find_column, resolve
@@ -22,7 +22,7 @@ def evidence(edges: DataFrame, confidence: tuple[str, ...] = ("final_confidence"
         found = find_column(edges, names)
         return to_double(found) if found else F.when(sources.contains(feed), 1.0).otherwise(0.0)
 
-    cross = (count(("icews_event_count", "icews_count"), "ICEWS") > 0) & (count(("gdelt_event_count", "gdelt_count"), "GDELT") > 0)
+    cross = (count(("icews_event_count", "icews_count"), FEED_A) > 0) & (count(("gdelt_event_count", "gdelt_count"), FEED_B) > 0)
     return {
         "evidence_confidence": value,
         "is_cross_source": cross,

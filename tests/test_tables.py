@@ -287,3 +287,20 @@ def test_sql_functions_register(spark):
     assert len(register_sql_functions(spark)) == 13
     row = spark.sql("select relation_compact('73') a, relation_padded('51') b, lookup_name('The Police (X)') c, month_interval_relation(1, 5, 2, 3) d").first()
     assert tuple(row) == ("07", "05", "POLICE", "contains")
+
+
+def test_windowed_counts_and_new_keys_run_as_a_stream(spark, tmp_path):
+    rows = [("20230101", "a"), ("20230101", "b"), ("20230105", "a"), ("bad", "a"), ("20230110", "c")]
+    df = spark.createDataFrame(rows, "SQLDATE string, k string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = fuse.windowed_counts(stream)
+    query = out.writeStream.format("memory").queryName("daily_counts").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.date, r.processed_events) for r in spark.table("daily_counts").collect()} == {("2023-01-01", 2), ("2023-01-05", 1)}
+
+
+def test_responses_are_read_whole(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("line one\nline two\n")
+    assert [tuple(r) for r in readers.read_responses(spark, str(tmp_path)).collect()] == [("r.txt", "line one\nline two\n")]
