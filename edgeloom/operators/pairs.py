@@ -38,7 +38,9 @@ def pair_counts(intervals: DataFrame, relations: Sequence[str] = RELATION_CODES)
     sum comparable_count.
     """
     relations = tuple(relations)
-    distinct = _distinct_intervals(intervals, relations)
+    # Distinct intervals of one pair of organizations are bounded by calendar and codes, so they may share a
+    # partition; placed that way once, the groupings and the window below need no further shuffle.
+    distinct = _distinct_intervals(intervals, relations).repartition(*PAIR)
     steps = _disjoint_counts(distinct, relations)
     shared = _shared_counts(distinct)
     long = steps.unionByName(shared, allowMissingColumns=True).na.fill(0)
