@@ -12,9 +12,24 @@ from pyspark.sql import functions as F
 
 #: Bytes of text a Python task works on at a time.
 SLICE_BYTES = 2_000_000
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, unless they find it by themselves as the driver does."""
+    import shutil
+    import tempfile
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "edgeloom"), "zip", root, "edgeloom"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import packing, token_files
+from edgeloom.llm import packing, simhash, token_files
 from edgeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,12 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup)}
 
 
 def llm_oracle() -> dict[str, str]:
