@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import packing, simhash, token_files
+from edgeloom.llm import decontaminate, packing, simhash, token_files
 from edgeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op8_benchmark_decontamination)}
 
 
 def llm_oracle() -> dict[str, str]:
