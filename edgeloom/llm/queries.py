@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import decontaminate, lm_score, packing, quality, simhash, token_files
+from edgeloom.llm import decontaminate, licenses, lm_score, packing, quality, simhash, token_counts, token_files
 from edgeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,17 +29,28 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """The target is what is labelled as of quality."""
     return lm_score.cross_entropy_difference(table(spark, folder, "documents"), table(spark, folder, "labels").where("quality = 1"))
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op6_quality_classifier, op8_benchmark_decontamination, op10_lm_scoring)}
+    return {f.__name__: f for f in (
+        op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op6_quality_classifier, op7_token_counts,
+        op8_benchmark_decontamination, op9_license_scan, op10_lm_scoring,
+    )}
 
 
 def llm_oracle() -> dict[str, str]:
