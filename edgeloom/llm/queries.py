@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import decontaminate, licenses, lm_score, packing, quality, simhash, token_counts, token_files
+from edgeloom.llm import decontaminate, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_counts, token_files
 from edgeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, folder, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -48,7 +52,7 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op6_quality_classifier, op7_token_counts,
+        op1_suffix_array_dedup, op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op6_quality_classifier, op7_token_counts,
         op8_benchmark_decontamination, op9_license_scan, op10_lm_scoring,
     )}
 
