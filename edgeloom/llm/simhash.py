@@ -14,7 +14,9 @@ all its documents have none. An empty table gives no row. Other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +30,21 @@ from edgeloom.session import cut_lineage
 SEED = 42
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """XXH64 of each run of so many words, repeats included; of the whole where there are fewer words."""
-    import xxhash
-
+def _runs(text: str, words: int) -> list[bytes]:
+    """Each run of so many words, repeats included; the whole where there are fewer words."""
     found = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z and ASCII white space only
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    joined = b" ".join(found)
     if len(found) <= words:
-        return np.array([digest(joined, SEED)], np.uint64)
+        return [joined] if found else []
     starts = list(accumulate((len(w) + 1 for w in found), initial=0))
-    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words:])], np.uint64)
+    return [joined[a : b - 1] for a, b in zip(starts, starts[words:])]
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(run, SEED) for run in _runs(text, words)], np.uint64)
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -63,9 +68,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return id_and_text(docs).withColumn("key", text_key(F.col("text"))).mapInArrow(each, "doc_id bigint, key bigint, fp bigint")
 
 
-def ball(radius: int) -> Column:
-    """All masks of at most so many bits, a constant array."""
-    flips = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
+def ball(radius: int, width: int = 64) -> Column:
+    """All masks of at most so many of the lowest bits, a constant array."""
+    flips = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
     return F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in flips))
 
 
@@ -79,14 +84,95 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(close).select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def _named(found: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds component_id to `found`. `prints` has each fp of it once, with the `least` doc_id."""
+    groups = components(edges)
+    rooted = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return found.join(rooted.join(names, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, key, fp and component_id, the smallest doc_id that links reach."""
     found = cut_lineage(fingerprints(docs, words))
     prints = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(links(prints, radius))
-    rooted = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(rooted.join(names, "root").select("fp", "component_id"), "fp")
+    return _named(found, prints, links(prints, radius))
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Fingerprints in several parts, for pairs too far apart for a radius in one piece.
+
+    Each part of `bits` bits is matched within `radius` of its own; pairs that meet in any
+    part are verified on all bits, against the distance expected at `similarity` (of the
+    sets of shingles) plus half a standard deviation. A pair at
+    the threshold meets with a chance of about five in six, a closer one with more; `bits`
+    should exceed the logarithm of the rows by eight, so that few others meet.
+    """
+
+    words: int = 5
+    similarity: float = 0.8
+    parts: int = 9
+    bits: int = 28
+    radius: int = 2
+
+    @property
+    def most(self) -> int:
+        total = self.parts * self.bits
+        p = acos(2 * self.similarity / (1 + self.similarity)) / pi
+        return int(total * p + sqrt(total * p * (1 - p)) / 2)
+
+
+def part_fingerprint(text: str, scheme: Parts) -> list[int]:
+    """The parts of a SimHash fingerprint of as many bits as they have in all."""
+    import xxhash
+
+    total, digest = scheme.parts * scheme.bits, xxhash.xxh3_128_digest
+    runs = _runs(text, scheme.words)
+    ones = np.zeros(-(-total // 128) * 128, np.int64)
+    for k in range(0, len(runs), 1 << 14):
+        for seed in range(len(ones) // 128):
+            part = np.frombuffer(b"".join([digest(r, SEED + seed) for r in runs[k : k + (1 << 14)]]), np.uint8).reshape(-1, 16)
+            ones[seed * 128 : seed * 128 + 128] += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    bits = (2 * ones[:total] > len(runs)).reshape(scheme.parts, scheme.bits)
+    return (bits @ (1 << np.arange(scheme.bits, dtype=np.int64))).tolist()
+
+
+def part_fingerprints(docs: DataFrame, scheme: Parts) -> DataFrame:
+    """doc_id, key and the parts; fp, their hash, stands for them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, list[int]] = {}  # copies are worked out once
+            found = [known[t] if t in known else known.setdefault(t, part_fingerprint(t, scheme)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "parts"])
+
+    texts = id_and_text(docs).withColumn("key", text_key(F.col("text")))
+    return texts.mapInArrow(each, "doc_id bigint, key bigint, parts array<bigint>").withColumn("fp", F.xxhash64("parts"))
+
+
+def part_links(prints: DataFrame, scheme: Parts) -> DataFrame:
+    """Edges (a, b) between fingerprints that meet in a part and agree on the whole.
+
+    What meets is linked to the smallest fp on the variant and to the one before it, never in
+    all pairs; members of a group meet on many variants.
+    """
+    split = prints.select("fp", F.posexplode("parts").alias("part", "value"))
+    variants = split.select("fp", "part", "value", F.explode(ball(scheme.radius // 2, scheme.bits)).alias("mask"))
+    placed = variants.select("fp", (F.shiftleft(F.col("part").cast("bigint"), 48) + F.col("value").bitwiseXOR(F.col("mask"))).alias("variant"))
+    on = Window.partitionBy("variant").orderBy("fp")
+    met = placed.select("fp", F.first("fp").over(on).alias("first"), F.lag("fp").over(on).alias("before")).where("before is not null")
+    asked = met.select(F.explode(F.array("first", "before")).alias("a"), F.col("fp").alias("b")).distinct()
+    one, other = prints.select(F.col("fp").alias("a"), F.col("parts").alias("x")), prints.select(F.col("fp").alias("b"), F.col("parts").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    return asked.join(one, "a").join(other, "b").where(apart <= scheme.most).select("a", "b")
+
+
+def near_duplicates_by_parts(docs: DataFrame, scheme: Parts) -> DataFrame:
+    """doc_id, key, fp and component_id, of fingerprints in parts."""
+    found = cut_lineage(part_fingerprints(docs, scheme))
+    prints = cut_lineage(found.groupBy("fp", "parts").agg(F.min("doc_id").alias("least")))
+    return _named(found.drop("parts"), prints.drop("parts"), part_links(prints.drop("least"), scheme))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -94,9 +180,9 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     return near_duplicates(docs, words, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, scheme: Parts = Parts()) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id, ties to the smaller key."""
-    kept = near_duplicates(docs, words, radius).groupBy(F.col("component_id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
+    kept = near_duplicates_by_parts(docs, scheme).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
     kept = kept.select(F.col("one.doc_id").alias("__doc"), F.col("one.key").alias("__key")).distinct()
     named = docs.withColumn("__key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     chosen = named.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__doc")) & (F.col("d.__key") == F.col("k.__key")), "left_semi")
