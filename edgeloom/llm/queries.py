@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgeloom.llm import decontaminate, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_counts, token_files
+from edgeloom.llm import ann, decontaminate, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_counts, token_files
 from edgeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, folder, "labels")))
@@ -52,7 +57,7 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_suffix_array_dedup, op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op6_quality_classifier, op7_token_counts,
+        op1_suffix_array_dedup, op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op5_nearest_neighbours, op6_quality_classifier, op7_token_counts,
         op8_benchmark_decontamination, op9_license_scan, op10_lm_scoring,
     )}
 
