@@ -354,10 +354,14 @@ def response_extraction(spark, folder):
     item = F.struct("relation_a", "relation_b", F.lit("same_subject_object").alias("scope"))
     per_code = graph(spark, folder).pair_summary.groupBy("relation_a").agg(F.array_sort(F.collect_list(item)).alias("items"))
     body = F.to_json("items")
-    form = F.col("relation_a").cast("int") % 6
+    form = F.col("relation_a").cast("int") % 9
+    wrapper = F.concat(F.lit('{"rules": '), body, F.lit("}"))
+    nested = F.transform("items", lambda x: F.regexp_replace(F.translate(F.to_json(x), '"', "'"), r"\}$", ", 'note': {'why': None}}"))
     text = (
         F.when(form == 0, body).when(form == 1, F.concat(F.lit("Proposals:\n```json\n"), body, F.lit("\n```\nDone.")))
-        .when(form == 2, F.concat(F.lit('{"rules": '), body, F.lit("}")))
+        .when(form == 2, wrapper).when(form == 5, F.translate(wrapper, '"', "'"))
+        .when(form == 6, F.concat(F.lit("As [1] and {x} say: "), wrapper, F.lit(", see [2] and {y}.")))
+        .when(form == 7, F.array_join(nested, " or "))
         .when(form == 3, F.regexp_replace(body, r"\]$", ",]")).when(form == 4, F.translate(body, '"', "'"))
         .otherwise(F.array_join(F.transform("items", lambda x: F.to_json(x)), " and "))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -89,56 +90,107 @@ def _tidy(text: Column) -> Column:
     return F.translate(text, "“”‘’", "\"\"''")
 
 
-def _bodies(response: Column) -> list[Column]:
-    """Parts of a response that may hold the proposals, most likely first."""
-    fence = F.regexp_extract(response, r"(?is)```(?:json)?(.*?)```", 1)
-    array = F.regexp_extract(response, r"(?s)(\[.*\])", 1)
-    braces = F.regexp_extract(response, r"(?s)(\{.*\})", 1)
-    return [_tidy(F.trim(b)) for b in (fence, response, array, braces)]
-
-
 def _is_json(body: Column, first: str) -> Column:
     """Whole text parses as JSON and starts as asked; Spark's reader alone would accept a valid head."""
     return F.try_parse_json(body).isNotNull() & F.trim(body).startswith(first)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _loose_objects(bodies: pd.Series) -> pd.Series:
-    """Flat objects in texts that are not JSON as a whole: one JSON text per readable object, single quotes allowed."""
+def tidy_text(text: str) -> str:
+    """As `_tidy`, for the texts that Spark's reader can't take."""
+    text = re.sub(r"^\s*json\s*", "", text.strip(), flags=re.IGNORECASE)
+    text = re.sub(r",\s*([\]}])", r"\1", re.sub(r"//[^\n]*", "", text))
+    return text.translate(str.maketrans("“”‘’", "\"\"''"))
+
+
+def _items(value: object) -> list[dict]:
+    """The objects of an array, or of the first wrapper key that holds one."""
+    if isinstance(value, dict):
+        value = next((value[k] for k in RESPONSE_WRAPPER_KEYS if isinstance(value.get(k), list)), [])
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+
+def _literal(text: str) -> object:
+    """Value of a JSON or a Python literal text, None if it is neither."""
+    for parse in (json.loads, ast.literal_eval):
+        try:
+            return parse(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            continue
+    return None
+
+
+def _between(text: str, opening: str, closing: str) -> str:
+    start, end = text.find(opening), text.rfind(closing)
+    return text[start : end + 1] if 0 <= start < end else ""
+
+
+def _embedded(text: str) -> list[dict]:
+    """Items of the first JSON value that starts at any opening bracket and has some."""
+    decoder = json.JSONDecoder()
+    for m in re.finditer(r"[\[{]", text):
+        try:
+            found = _items(decoder.raw_decode(text, m.start())[0])
+        except (ValueError, RecursionError):
+            continue
+        if found:
+            return found
+    return []
+
+
+def _loose(text: str) -> list[dict]:
+    """Readable objects that name a relation, each the outermost of its nest."""
+    opened, spans = [], []
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            spans.append((opened.pop(), m.end()))
+    found, reached = [], 0
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        value = _literal(text[start:end]) if start >= reached else None
+        if isinstance(value, dict) and ("relation_a" in value or "relation_b" in value):
+            found.append(value)
+            reached = end
+    return found
+
+
+def read_response(text: str) -> list[dict]:
+    """Proposals of a response: its likely parts as wholes first, then values and objects within it."""
+    fence = re.search(r"```(?:json)?(.*?)```", text, flags=re.IGNORECASE | re.DOTALL)
+    for body in (fence[1] if fence else "", text, _between(text, "[", "]"), _between(text, "{", "}")):
+        body = tidy_text(body)
+        found = _items(_literal(body)) if body else []
+        if found:
+            return found
+    text = tidy_text(text)
+    return _embedded(text) or _loose(text)
 
-    def read(text: str):
-        for parse in (json.loads, ast.literal_eval):
-            try:
-                value = parse(text)
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-                continue
-            if isinstance(value, dict):
-                return json.dumps(value, ensure_ascii=False)
-        return None
 
-    return bodies.map(lambda texts: [r for r in map(read, texts) if r] if texts is not None else [])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _tolerant_items(texts: pd.Series) -> pd.Series:
+    """One JSON text for each proposal of responses that are no plain JSON; null stays empty."""
+    return texts.map(lambda t: [json.dumps(x, ensure_ascii=False, default=str) for x in read_response(t)] if t is not None else [])
 
 
 def extract_proposals(responses: DataFrame) -> DataFrame:
     """One row per proposed constraint in each response text, in order of appearance.
 
-    JSON arrays and wrapped arrays are read by Spark's own reader; only texts
-    that no form of it can read go through the object-by-object fallback.
+    A response, or the fenced part of it, that is a JSON array or wrapper is read by Spark's
+    own reader, once; only other texts go through the tolerant reader.
     """
     items = T.ArrayType(RESPONSE_ITEM)
     wrapper = T.StructType([T.StructField(k, items) for k in RESPONSE_WRAPPER_KEYS])
-    readings = []
-    for body in _bodies(F.col("response_text")):
-        array = F.when(_is_json(body, "["), F.from_json(body, items))
-        wrapped = F.when(_is_json(body, "{"), F.from_json(body, wrapper))
-        for reading in (array, *[wrapped[k] for k in RESPONSE_WRAPPER_KEYS]):
-            kept = F.filter(reading, lambda x: x.isNotNull())
-            readings.append(F.when(F.size(kept) > 0, kept))
-    read = responses.select("response_id", "response_text", F.coalesce(*readings).alias("items"))
-    flat = F.transform(F.regexp_extract_all("response_text", F.lit(r"(?s)(\{.*?\})"), 1), _tidy)
-    loose = F.transform(_loose_objects(F.when(F.col("items").isNull(), flat)), lambda x: F.from_json(x, RESPONSE_ITEM))
-    related = F.filter(loose, lambda x: x["relation_a"].isNotNull() | x["relation_b"].isNotNull())
-    return read.select("response_id", F.posexplode(F.coalesce("items", related)).alias("position", "p")).select(
+    fence = F.regexp_extract("response_text", r"(?is)```(?:json)?(.*?)```", 1)
+    body = _tidy(F.trim(F.when(F.trim(fence) != "", fence).otherwise(F.col("response_text"))))
+    parsed = responses.select("response_id", "response_text", body.alias("_body"))
+    wrapped = F.when(_is_json(F.col("_body"), "{"), F.from_json("_body", wrapper))
+    array = F.when(_is_json(F.col("_body"), "["), F.from_json("_body", items))
+    parsed = parsed.withColumns({"_array": array, "_wrapped": wrapped})
+    first = F.coalesce("_array", *[F.col("_wrapped")[k] for k in RESPONSE_WRAPPER_KEYS])
+    plain = F.filter(first, lambda x: x.isNotNull())
+    read = parsed.select("response_id", "response_text", F.when(F.size(plain) > 0, plain).alias("items"))
+    tolerant = F.transform(_tolerant_items(F.when(F.col("items").isNull(), F.col("response_text"))), lambda x: F.from_json(x, RESPONSE_ITEM))
+    return read.select("response_id", F.posexplode(F.coalesce("items", tolerant)).alias("position", "p")).select(
         "response_id", "position", "p.*"
     )
 

@@ -109,10 +109,14 @@ def test_response_forms(spark):
         "plain": f"[{ITEM}, {ITEM}]", "fenced": f"Here:\n```json\n[{ITEM}]\n```\nDone.", "wrapped": f'{{"constraints": [{ITEM}]}}',
         "comma": f"[{ITEM},]", "prose": f"I think [{ITEM}] fits.", "loose": f"First {ITEM} and then {ITEM} too",
         "single": "[{'relation_a': '08', 'relation_b': '17'}]", "empty": "", "none": "no proposals",
+        "single_wrapper": "{'rules': [{'relation_a': '08', 'relation_b': '17'}, {'relation_a': '08', 'relation_b': '17'}]}",
+        "brackets_around": f'As [1] and {{x}} say: {{"rules": [{ITEM}, {ITEM}]}}, see [2] and {{y}}.',
+        "nested": "first {'relation_a': '08', 'relation_b': '17', 'note': {'why': None}}, then {'other': 1}",
+        "fenced_single": "```\n[{'relation_a': '08', 'relation_b': '17', 'exception': None},]\n```",
     }
     df = spark.createDataFrame(list(texts.items()), "response_id string, response_text string")
     got = {r.response_id: r.n for r in candidates.extract_proposals(df).where("relation_a = '08' and relation_b = '17'").groupBy("response_id").agg(F.count("*").alias("n")).collect()}
-    assert got == {"plain": 2, "fenced": 1, "wrapped": 1, "comma": 1, "prose": 1, "loose": 2, "single": 1}
+    assert got == {"plain": 2, "fenced": 1, "wrapped": 1, "comma": 1, "prose": 1, "loose": 2, "single": 1, "single_wrapper": 2, "brackets_around": 2, "nested": 1, "fenced_single": 1}
 
 
 def test_every_gate_and_first_wins(spark):
