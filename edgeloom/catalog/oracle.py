@@ -336,7 +336,7 @@ def graph_ctes(fold: bool) -> dict[str, str]:
             WHEN final_confidence < 0.5 THEN 'low' ELSE 'middle' END AS evidence_group FROM after""",
         "links": f"""SELECT event_month AS month, edge_id, subject_org_id AS source, object_org_id AS target, subject_name AS source_name, object_name AS target_name,
             relation_type AS relation, {choose('relation_type', C.RELATION_LABELS)} AS relation_label, final_confidence AS confidence, original_confidence,
-            after_check_status AS status, update_action, {choose('update_action', C.ACTION_LABELS)} AS update_action_label, source_datasets AS sources, is_mutex_triggered FROM after""",
+            after_check_status AS status, update_action, {choose('update_action', C.ACTION_LABELS)} AS update_action_label, source_datasets AS sources, is_mutex_triggered, triggered_constraint_ids, triggered_constraint_keys, triggered_mutex_relations FROM after""",
         "ends": "SELECT month, edge_id, source AS node, source_name AS name, 0 AS side FROM links UNION ALL SELECT month, edge_id, target, target_name, 1 FROM links",
         "gnode": """SELECT org_id, arg_max(name, edge_id || side) AS name FROM (SELECT edge_id, subject_org_id AS org_id, subject_name AS name, '0' AS side FROM scored
             UNION ALL SELECT edge_id, object_org_id, object_name, '1' FROM scored) GROUP BY org_id""",
@@ -551,6 +551,10 @@ def oracle_queries() -> dict[str, str]:
         "organizations": full(f"SELECT org_id, normalized_name AS canonical_name, raw_name, normalized_name, small_name AS clean_name, {org_columns}, org_id AS old_org_id FROM orgs"),
         "aligned_organizations": full(f"""SELECT new_id AS org_id, normalized_name AS canonical_name, raw_name, normalized_name, k.clean_name, {org_columns}, k.old_org_id FROM kept k JOIN named n ON n.org_id = k.old_org_id"""),
         "aliases": full("SELECT * FROM alias_rows"),
+        "alignment_sample": full(f"""SELECT o.*, a.sample_aliases, '' AS manual_is_correct_alignment, '' AS manual_note FROM (
+            SELECT new_id AS org_id, normalized_name AS canonical_name, raw_name, normalized_name, k.clean_name, {org_columns}, k.old_org_id FROM kept k JOIN named n ON n.org_id = k.old_org_id
+            ORDER BY md5('42|' || new_id), new_id LIMIT 100) o LEFT JOIN (SELECT org_id, string_agg(alias, '; ' ORDER BY alias) AS sample_aliases FROM (
+            SELECT org_id, alias, row_number() OVER (PARTITION BY org_id ORDER BY alias) AS k FROM (SELECT DISTINCT org_id, alias FROM alias_rows)) WHERE k <= 5 GROUP BY org_id) a USING (org_id)"""),
         "organization_scale": full("SELECT (SELECT count(*) FROM kept) AS organization_count, count(*) AS alias_count, count(DISTINCT org_id) AS organizations_with_alias_count FROM alias_rows"),
         "name_clean": full(rf"""SELECT name, {light('name')} AS light, {aligned('name')} AS aligned, {lookup('name')} AS lookup, {choose(light('name'), C.SMALL_ALIAS_MAP)} AS alias,
             array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(name, '{paren}', 1), lambda x: upper(trim(x))), lambda x: x <> ''))), ',') AS qualifiers,
@@ -569,9 +573,9 @@ def oracle_queries() -> dict[str, str]:
         "relation_labels": full(f"""SELECT relation_type, count(*) AS edges, {label_of('relation_type')} AS relation_label, {group_of('relation_type')} AS eval_group,
             relation_type <= '08' AS is_cooperation, relation_type = '01' AS is_broad FROM edges GROUP BY relation_type"""),
         "sql_functions": folded(f"""SELECT e.edge_id, {light('e.subject_name')} AS light, {lookup('e.subject_name')} AS lookup, {aligned_text('e.subject_name')} AS aligned, relation_type AS padded, relation_type AS compact,
-            relation_type AS strict, s.confidence AS score, CASE WHEN icews_event_count > 0 AND gdelt_event_count > 0 THEN 1.2 WHEN icews_event_count > 0 THEN 1.0 ELSE 0.6 END::DOUBLE AS weight,
+            relation_type AS strict, e.confidence AS score, CASE WHEN icews_event_count > 0 AND gdelt_event_count > 0 THEN 1.2 WHEN icews_event_count > 0 THEN 1.0 ELSE 0.6 END::DOUBLE AS weight,
             kind AS relation_to_spring, CASE WHEN kind IN ('before', 'after', 'meet') THEN 1 ELSE -1 END AS truth
-            FROM (SELECT *, CAST(substr(event_month, 6, 2) AS INTEGER) AS m, {time_relation('m', 'm', '2', '3')} AS kind FROM edges) e JOIN (SELECT edge_id, confidence FROM scored) s USING (edge_id)"""),
+            FROM (SELECT *, CAST(substr(event_month, 6, 2) AS INTEGER) AS m, {time_relation('m', 'm', '2', '3')} AS kind FROM scored) e"""),
         "month_intervals": full("""SELECT s AS subject, r AS property, o AS object, strftime(make_date(m1 // 12, m1 % 12 + 1, 1), '%Y%m%d') AS start_time,
             strftime(last_day(make_date(m1 // 12, m1 % 12 + 1, 1)), '%Y%m%d') AS end_time, m1 AS start_no, m1 AS end_no FROM iv"""),
         "merged_intervals": full(f"SELECT s AS subject_org_id, r AS relation_type, o AS object_org_id, m1 AS start_no, m2 AS end_no, months, {month_label('m1')} AS start_month, {month_label('m2')} AS end_month FROM isl"),
@@ -615,6 +619,9 @@ def oracle_queries() -> dict[str, str]:
             round({share('entity_negative_count', '(entity_support_count + entity_negative_count)')}, 6) AS entity_violation_rate FROM ent"""),
         "trigger_instances": folded(_instances("true")),
         "violation_instances": folded(_instances("truth = -1")),
+        "all_instances": folded(f"""SELECT constraint_id, pair_id AS constraint_key, s AS subject_org_id, o AS object_org_id, j.relation_a, j.relation_b,
+            {month_label('a1')} AS a_start_time, {month_label('a2')} AS a_end_time, {month_label('b1')} AS b_start_time, {month_label('b2')} AS b_end_time,
+            kind AS interval_relation, truth, truth = -1 AS is_violation, round(pw, 6) AS pair_weight FROM judged j JOIN cand USING (constraint_id)"""),
         "final_constraints": folded(f"""SELECT constraint_id, constraint_key, auto_filter_status, auto_final_status, manual_final_status, manual_comment, final_status, {flags} AS is_enabled,
             final_status IN ('enabled_for_update', 'enabled_for_mark_mixed') AS use_for_update, {flags} AS use_for_review FROM fin"""),
         "edge_actions": folded("SELECT edge_id, constraint_id, side, cross_source, low_evidence, derived, final_status, update_action FROM sides"),
@@ -650,6 +657,10 @@ def oracle_queries() -> dict[str, str]:
             LEFT JOIN (SELECT constraint_id, count(*) AS k FROM conf GROUP BY ALL) c USING (constraint_id) LEFT JOIN (SELECT relation_a, relation_b, count(*) AS k FROM conf GROUP BY ALL) p USING (relation_a, relation_b)
             LEFT JOIN (SELECT constraint_id, count(*) AS t, {count_if("a.update_action = 'review'")} AS rv, {count_if("a.update_action = 'mark_mixed'")} AS mx FROM sides s JOIN after a USING (edge_id) GROUP BY ALL) e USING (constraint_id)"""),
         "fusion_summary": folded(f"UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM ({fusion})) ON COLUMNS(*) INTO NAME metric VALUE value"),
+        "review_sample": full("SELECT edge_id, confidence, '' AS manual_is_reasonable, '' AS manual_note FROM leveled ORDER BY md5('42|' || edge_id), edge_id LIMIT 100"),
+        "hidden_sample": folded("""SELECT edge_id, status, check_action, '' AS manual_is_reasonable, '' AS manual_note FROM (
+            SELECT *, bool_or(status IN ('hidden', 'removed')) OVER () AS named FROM after) WHERE CASE WHEN named THEN status IN ('hidden', 'removed') ELSE check_action IN ('hide', 'remove') END
+            ORDER BY md5('42|' || edge_id), edge_id LIMIT 100"""),
         "conflict_summary": folded(f"""SELECT count(*) AS detected_conflicts, {count_if("conflict_action = 'hide_low_evidence'")} AS hidden_conflicts, {count_if("conflict_action = 'downgrade'")} AS downgrade_conflicts,
             {count_if("conflict_action = 'mark_mixed'")} AS mark_mixed_conflicts, {count_if("conflict_action = 'review'")} AS review_conflicts FROM conf"""),
         "case_cross_source": full("SELECT edge_id, confidence, event_count FROM scored WHERE source_datasets = 'GDELT;ICEWS' ORDER BY confidence DESC, edge_id LIMIT 30"),
@@ -683,6 +694,8 @@ def oracle_queries() -> dict[str, str]:
             JOIN (SELECT * FROM ends JOIN (SELECT edge_id AS top_id FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY confidence DESC, edge_id) AS k0 FROM links) WHERE k0 <= 100) ON top_id = edge_id) e ON e.month = t.month
             JOIN (SELECT month, node FROM (SELECT month, node, row_number() OVER (PARTITION BY month ORDER BY count(*) DESC, node) AS p FROM (SELECT * FROM ends JOIN (
             SELECT edge_id AS top_id FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY confidence DESC, edge_id) AS k0 FROM links) WHERE k0 <= 100) ON top_id = edge_id) GROUP BY month, node) WHERE p = 1) n ON n.month = t.month GROUP BY t.month"""[7:]),
+        "timeline_nodes": folded(f"SELECT month, id, name, id AS org_id, '组织机构' AS category, size AS symbolSize, degree AS value FROM (SELECT *, {SIZE} FROM ({TOUCHED.format(src='ends')}))"),
+        "timeline_links": folded("""SELECT *, source AS source_org_id, target AS target_org_id, relation AS relation_code, relation_label AS edge_label, status AS status_label FROM links"""),
         "graph_nodes": folded("SELECT * FROM gnode"),
         "graph_edges": folded("SELECT edge_id, event_count, confidence FROM scored"),
         "graph_query": folded(graph_query.format(w=f"{named_2} AND relation_type IN ('03', '06', '12') AND status = 'active'", n=300)),

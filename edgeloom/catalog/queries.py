@@ -174,7 +174,7 @@ def organization_scale(spark, folder):
 
 def alignment_sample(spark, folder):
     orgs, found = align.align(actors.organizations(found_actors(spark, folder)))
-    return samples.alignment_sample(orgs, found)
+    return samples.alignment_sample(orgs, found).drop("all_raw_names", "known_group_info")
 
 
 # ---- scalar rules ---------------------------------------------------------------
@@ -393,10 +393,10 @@ def entity_scores(spark, folder):
         "entity_instantiation_count", "entity_level_confidence", "entity_violation_rate")
 
 
-def _instances(spark, folder, violations):
+def _instances(spark, folder, violations, limit=500):
     c = check(spark, folder)
     g = c.graph
-    return constraints.trigger_instances(g.intervals, c.candidates, g.weights, g.pair_counts, 500, violations).drop("constraint_name")
+    return constraints.trigger_instances(g.intervals, c.candidates, g.weights, g.pair_counts, limit, violations).drop("constraint_name")
 
 
 def trigger_instances(spark, folder):
@@ -407,6 +407,11 @@ def violation_instances(spark, folder):
     return _instances(spark, folder, True)
 
 
+def all_instances(spark, folder):
+    """Every judged interval pair of every constraint."""
+    return _instances(spark, folder, False, None)
+
+
 def final_constraints(spark, folder):
     return check(spark, folder, manual=True).final.select(
         "constraint_id", "constraint_key", "auto_filter_status", "auto_final_status", "manual_final_status", "manual_comment",
@@ -524,11 +529,11 @@ def conflict_summary(spark, folder):
 # ---- samples and cases ----------------------------------------------------------
 
 def review_sample(spark, folder):
-    return samples.review_sample(graph(spark, folder, fold=False).scored, 100, "edge_id")
+    return samples.review_sample(graph(spark, folder, fold=False).scored, 100, "edge_id").select("edge_id", "confidence", "manual_is_reasonable", "manual_note")
 
 
 def hidden_sample(spark, folder):
-    return samples.hidden_sample(check(spark, folder, manual=True).after)
+    return samples.hidden_sample(check(spark, folder, manual=True).after).select("edge_id", "status", "check_action", "manual_is_reasonable", "manual_note")
 
 
 def case_cross_source(spark, folder):
@@ -616,6 +621,15 @@ def timeline(spark, folder):
                        F.col("nodes")[0]["id"].alias("top_node"), F.col("links")[0]["edge_id"].alias("top_link"))
 
 
+def timeline_nodes(spark, folder):
+    return views.timeline_rows(_links(spark, folder))[0]
+
+
+def timeline_links(spark, folder):
+    """All links of all months."""
+    return views.timeline_rows(_links(spark, folder))[1].drop("update_reason")
+
+
 def graph_nodes(spark, folder):
     return views.graph_nodes(graph(spark, folder, cut=False).scored)
 

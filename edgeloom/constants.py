@@ -309,11 +309,8 @@ STATUS_THRESHOLDS = {
     "review": {"comparable": 30, "confidence": 0.70},
     "weak_review": {"comparable": 10, "confidence": 0.60},
 }
-MAX_INSTANCES = 5000
 POOL_MIN_COMPARABLE = 5
 POOL_MIN_INTERVALS = 10
-POOL_MAX_PAIRS = 80
-SUMMARY_MAX_PAIRS = 500
 
 MANUAL_STATUS_MAP = {
     "pass": "enabled_for_update",

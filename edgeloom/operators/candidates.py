@@ -16,7 +16,6 @@ from edgeloom.constants import (
     ALLOWED_FORBIDDEN,
     CONSTRAINT_ID_FORMAT,
     MEANINGLESS_REASONS,
-    POOL_MAX_PAIRS,
     POOL_MIN_COMPARABLE,
     POOL_MIN_INTERVALS,
     RELATION_LABELS,
@@ -36,7 +35,7 @@ SUMMARY_TEXTS = ("top_overlap_examples", "top_non_overlap_examples")
 
 def candidate_pool(
     inventory: DataFrame, summary: DataFrame, examples: DataFrame | None = None,
-    min_comparable: int = POOL_MIN_COMPARABLE, min_intervals: int = POOL_MIN_INTERVALS, max_pairs: int = POOL_MAX_PAIRS,
+    min_comparable: int = POOL_MIN_COMPARABLE, min_intervals: int = POOL_MIN_INTERVALS, max_pairs: int = 0,
 ) -> DataFrame:
     """Usable relation pairs of the inventory with enough data, strong ones first.
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from edgeloom.constants import (
     MANUAL_STATUS_MAP,
-    MAX_INSTANCES,
     REVIEW_STATUSES,
     STATUS_THRESHOLDS,
     UPDATE_STATUSES,
@@ -179,12 +178,13 @@ def score_constraints(
 
 def trigger_instances(
     intervals: DataFrame, candidates: DataFrame, weights: DataFrame | None = None, counts: DataFrame | None = None,
-    limit: int = MAX_INSTANCES, violations_only: bool = False,
+    limit: int | None = None, violations_only: bool = False,
 ) -> DataFrame:
-    """The first interval pairs per constraint, with their verdict; or the first violations.
+    """Interval pairs of each constraint with their verdict, or the violations only.
 
-    The counts say which (subject, object) groups the first pairs lie in, so
-    only those groups are expanded into pairs.
+    All of them, without a number; with a limit the first per constraint, numbered.
+    The counts then say which (subject, object) groups the first pairs lie in,
+    so only those groups are expanded into pairs.
     """
     standard = standard_candidates(candidates)
     counts = pair_counts(intervals) if counts is None else counts
@@ -194,7 +194,7 @@ def trigger_instances(
         "constraint_id", *PAIR, "relation_a", "relation_b", "mirrored", "forbidden_temporal_relation", "pair_weight",
         size.alias("_size"),
     )
-    chosen = first_groups(groups, "_size", limit, "constraint_id").drop("_size")
+    chosen = (groups.where("_size > 0") if limit is None else first_groups(groups, "_size", limit, "constraint_id")).drop("_size")
     swap = chosen.select(
         "constraint_id", *PAIR, "forbidden_temporal_relation", "pair_weight",
         F.when(F.col("mirrored"), F.col("relation_b")).otherwise(F.col("relation_a")).alias("relation_a"),
@@ -203,12 +203,14 @@ def trigger_instances(
     pairs = expand_pairs(swap, intervals).withColumn("truth", exclusion_truth("interval_relation", "forbidden_temporal_relation"))
     if violations_only:
         pairs = pairs.where("truth = -1")
-    order = Window.partitionBy("constraint_id").orderBy(*PAIR_ORDER)
-    first = pairs.withColumn("instance", F.row_number().over(order)).where(F.col("instance") <= limit)
+    first = pairs
+    if limit is not None:
+        order = Window.partitionBy("constraint_id").orderBy(*PAIR_ORDER)
+        first = pairs.withColumn("instance", F.row_number().over(order)).where(F.col("instance") <= limit)
     names = F.broadcast(standard.select("constraint_id", "constraint_key", "constraint_name"))
     ids = [c for c in ("interval_a_id", "interval_b_id") if c in first.columns]
     return first.join(names, "constraint_id").select(
-        "constraint_id", "constraint_key", "constraint_name", "instance", *PAIR, "relation_a", "relation_b", *ids,
+        "constraint_id", "constraint_key", "constraint_name", *([] if limit is None else ["instance"]), *PAIR, "relation_a", "relation_b", *ids,
         month_text("a_start").alias("a_start_time"), month_text("a_end").alias("a_end_time"),
         month_text("b_start").alias("b_start_time"), month_text("b_end").alias("b_end_time"),
         "interval_relation", "truth", (F.col("truth") == -1).alias("is_violation"),

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.constants import DISJOINT_RELATIONS, OVERLAP_RELATIONS, RELATION_CODES, SUMMARY_MAX_PAIRS
+from edgeloom.constants import DISJOINT_RELATIONS, OVERLAP_RELATIONS, RELATION_CODES
 from edgeloom.functions.parse import month_text, ratio
 from edgeloom.functions.temporal import interval_relation
 
@@ -141,7 +141,7 @@ def disjoint_sum(prefix: str = "") -> Column:
     return sum((F.col(f"{prefix}{k}_count") for k in DISJOINT_RELATIONS if k != "disjoint"), F.lit(0).cast("bigint"))
 
 
-def pair_summary(intervals: DataFrame, counts: DataFrame | None = None, max_pairs: int = SUMMARY_MAX_PAIRS) -> DataFrame:
+def pair_summary(intervals: DataFrame, counts: DataFrame | None = None, max_pairs: int = 0) -> DataFrame:
     """Per relation pair over all subjects and objects: counts, rates and the totals of both relations."""
     counts = pair_counts(intervals) if counts is None else counts
     totals = intervals.groupBy("relation_type").agg(F.count(F.lit(1)).alias("k"))

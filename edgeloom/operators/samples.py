@@ -12,8 +12,8 @@ HIDE_ACTIONS = ("hide", "hide_low_evidence")
 
 
 def seeded_sample(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFrame:
-    """n rows in a pseudo-random order that depends only on key and seed. Spark keeps n rows per task, then n in all."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """n rows in a pseudo-random order that depends only on key and seed, by a hash that SQL has too. Spark keeps n rows per task, then n in all."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *key)), *key).limit(n)
 
 
 def review_sample(df: DataFrame, n: int, *key: str, fields: tuple[str, ...] = ("manual_is_reasonable", "manual_note"), seed: int = 42) -> DataFrame:

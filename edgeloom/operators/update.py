@@ -1,6 +1,7 @@
 """Constraints applied to edges: conflicts, decisions and updated edges.
 
-All three come from one shuffle. Edges are placed by (subject, object, month);
+All three come from one frame of edges with their conflicts, which a plan writes once
+(`plans/build.py`), so one window shuffles the edges. Edges are placed by (subject, object, month);
 a window tells each edge which relations its group holds, and a broadcast join
 hands it the constraints on its own relation. No edge is ever paired with
 another, and nothing is joined back: an edge carries its own list of conflicts.

@@ -152,30 +152,38 @@ def enriched_links(rows: DataFrame) -> DataFrame:
     }).drop("source_display", "target_display")
 
 
-def timeline(rows: DataFrame, max_edges_per_month: int = 500) -> DataFrame:
-    """One row per month: its nodes and links as arrays. The number per month bounds the arrays.
-
-    For all edges of a month write the links themselves, partitioned by month:
-    one row could not hold them.
-    """
-    if max_edges_per_month <= 0:
-        raise ValueError("a month's document needs a number of edges; write links() by month for all of them")
-    top = top_per_month(rows, max_edges_per_month)
-    nodes = month_nodes(top).groupBy("month").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("degree")).alias("order"), "id", "name", F.col("id").alias("org_id"), F.lit("组织机构").alias("category"),
+def timeline_rows(rows: DataFrame, max_edges_per_month: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links of every month as rows, nodes with their degree over the links; all links by default."""
+    kept = top_per_month(rows, max_edges_per_month) if max_edges_per_month > 0 else rows
+    nodes = month_nodes(kept).select(
+        "month", "id", "name", F.col("id").alias("org_id"), F.lit("组织机构").alias("category"),
         F.col("size").alias("symbolSize"), F.col("degree").alias("value"),
-    ))).alias("nodes"))
-    nodes = nodes.withColumn("nodes", F.transform("nodes", lambda x: x.dropFields("order")))
-    link = F.struct(
-        (-F.col("confidence")).alias("order"), "edge_id", "source", "target", "source_name", "target_name",
+    )
+    found = kept.select(
+        "month", "edge_id", "source", "target", "source_name", "target_name",
         F.col("source").alias("source_org_id"), F.col("target").alias("target_org_id"), "relation",
         F.col("relation").alias("relation_code"), "relation_label", F.col("relation_label").alias("edge_label"),
         "confidence", "original_confidence", "status", F.col("status").alias("status_label"), "update_action", "update_action_label",
         "sources", *LINK_LISTS, "is_mutex_triggered",
     )
-    grouped = top.groupBy("month").agg(F.array_sort(F.collect_list(link)).alias("links"))
-    grouped = grouped.withColumn("links", F.transform("links", lambda x: x.dropFields("order")))
-    return nodes.join(grouped, "month").select("month", "nodes", "links")
+    return nodes, found
+
+
+def timeline(rows: DataFrame, max_edges_per_month: int) -> DataFrame:
+    """One row per month, its top links and their nodes as arrays: a document for display, which the number bounds.
+
+    `timeline_rows` has all links of all months; one row could not hold them.
+    """
+    if max_edges_per_month <= 0:
+        raise ValueError("a month's document needs a number of edges; timeline_rows() has all of them")
+    nodes, found = timeline_rows(rows, max_edges_per_month)
+
+    def gathered(df: DataFrame, by: str, name: str) -> DataFrame:
+        fields = [c for c in df.columns if c != "month"]
+        listed = df.groupBy("month").agg(F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("order"), *fields))).alias(name))
+        return listed.withColumn(name, F.transform(name, lambda x: x.dropFields("order")))
+
+    return gathered(nodes, "value", "nodes").join(gathered(found, "confidence", "links"), "month").select("month", "nodes", "links")
 
 
 def month_view(rows: DataFrame, n: int, keyword: str = "", **criteria) -> tuple[DataFrame, DataFrame]:

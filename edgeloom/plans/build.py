@@ -112,7 +112,8 @@ class Check:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return update.edge_entries(self.graph.scored, self.final)
+        # The one window over edges: conflicts, decisions and updated edges are all read from its result.
+        return self.graph.stage(update.edge_entries(self.graph.scored, self.final))
 
     @cached_property
     def sides(self) -> DataFrame:

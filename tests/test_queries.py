@@ -8,6 +8,7 @@ from tests.compare import compare, connection
 SMALL = "/root/testdata/sf0.001"
 CHECKED = (
     "fused_edges", "daily_log", "actor_candidates", "name_predicates", "month_parse", "merged_interval_pairs", "pair_examples",
+    "all_instances", "timeline_links", "timeline_nodes", "review_sample", "hidden_sample", "alignment_sample", "response_extraction",
     "constraint_scores", "decisions", "edge_updates", "method_evidence", "constraint_quality", "timeline", "graph_query",
 )
 
@@ -41,3 +42,12 @@ def test_invariants_of_an_update(spark):
     assert scores.where("abs(structural_confidence + violation_rate - 1) > 1e-5 and instantiation_count > 0").isEmpty()
     m = q.method_metrics(spark, SMALL)
     assert m.where("kept_edges + changed_edges <> total_edges").isEmpty()
+
+
+def test_one_window_over_edges(spark):
+    """Conflicts, decisions and updated edges are read from one staged frame."""
+    from edgeloom.catalog import queries as q
+
+    c = q.check(spark, SMALL, manual=True)
+    for frame in (c.entries, c.sides, c.decisions):
+        assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
