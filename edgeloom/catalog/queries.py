@@ -15,7 +15,8 @@ from edgeloom.operators import (
 )
 from edgeloom.plans.build import Check, Graph
 from edgeloom.session import stage_path
-from edgeloom.sources import readers, testfeed
+from edgeloom.sources import readers, testfeed, writers
+from edgeloom.sources.schemas import text_schema
 from edgeloom.streaming import fuse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +178,29 @@ def alignment_sample(spark, folder):
     return samples.alignment_sample(orgs, found).drop("all_raw_names", "known_group_info")
 
 
+# ---- files ----------------------------------------------------------------------
+
+def feed_scan(spark, folder):
+    """Customers as damaged feed lines, half of them zipped, written below the stage folder and read back.
+
+    Lines are plain, quoted, hold a null spelling, or have a field too many or too few; a
+    folder beside them is excluded.
+    """
+    f = F.col("c_custkey") % 5
+    name = F.when(f == 1, F.concat(F.lit('"'), "c_name", F.lit(' ""q"""'))).when(f == 2, "NA").otherwise(F.col("c_name"))
+    note = F.concat(F.lit("n"), f.cast("string"))
+    rest = F.when(f == 3, F.concat(F.lit("\t"), note, F.lit("\textra"))).when(f == 4, "").otherwise(F.concat(F.lit("\t"), note))
+    rows = testfeed.table(spark, folder, "customer")
+    lines = rows.select(F.concat(F.concat_ws("\t", F.col("c_custkey").cast("string"), name, "c_mktsegment"), rest).alias("value"), ((F.col("c_custkey") / 5).cast("bigint") % 2 == 0).alias("even"))
+    path = stage_path(spark, "feed")
+    even, odd = (lines.where(w).select("value") for w in ("even", "not even"))
+    even.write.text(f"{path}/plain")
+    writers.export_zipped_lines(odd, f"{path}/zipped")
+    even.write.text(f"{path}/all_tabs/plain")
+    writers.export_zipped_lines(odd, f"{path}/all_tabs/zipped")
+    return readers.read_feed_files(spark, path, text_schema("id", "name", "segment", "note"), "*.txt", header=False, exclude_directory="all_tabs", file_column=None)
+
+
 # ---- scalar rules ---------------------------------------------------------------
 
 def raw_names(spark, folder):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-import pyarrow.csv as pacsv
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +18,7 @@ from edgeloom.functions.codes import relation_light
 from edgeloom.functions.parse import month_number, month_text, null_tokens_to_null
 from edgeloom.sources.schemas import INTERVAL_TEXT_SCHEMA, TIMELINE_SCHEMA
 
-ZIP_BLOCK_BYTES = 8 << 20
-
-
-def null_tokens(df: DataFrame, tokens: Iterable[str] = NULL_TOKENS) -> DataFrame:
-    """Turn the usual null spellings of text files into nulls."""
-    tokens = tuple(tokens)
-    return df.select(*[null_tokens_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in df.columns])
+ZIP_ROWS = 20_000
 
 
 def read_delimited(
@@ -37,11 +31,17 @@ def read_delimited(
     pattern: str | None = None,
     exclude_directory: str | None = None,
     file_column: str | None = None,
+    nulls: Iterable[str] = NULL_TOKENS,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
-    """Plain delimited text files. Corrupt files are skipped, short rows are filled with nulls."""
+    """Plain delimited text files; quotes within quoted fields are doubled.
+
+    Short rows are filled with nulls, long ones cut; the null spellings become null. A file
+    that can't be read is an error unless `skip_corrupt` says otherwise.
+    """
     reader = (
-        spark.read.option("sep", sep).option("header", header).option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True).option("recursiveFileLookup", recursive).option("encoding", "UTF-8")
+        spark.read.option("sep", sep).option("header", header).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+        .option("ignoreCorruptFiles", skip_corrupt).option("recursiveFileLookup", recursive).option("encoding", "UTF-8")
     )
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -51,11 +51,40 @@ def read_delimited(
     first = df.columns[0]
     if first.startswith("﻿"):
         df = df.withColumnRenamed(first, first.lstrip("﻿"))
+    file_path, file_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    tokens = tuple(nulls)
     if exclude_directory:
-        df = df.where(~F.array_contains(F.split(F.col("_metadata.file_path"), "/"), exclude_directory))
-    if file_column:
-        df = df.select("*", F.col("_metadata.file_name").alias(file_column))
-    return df
+        df = df.where(~F.array_contains(F.split(file_path, "/"), exclude_directory))
+    columns = [null_tokens_to_null(F.col(f"`{c}`"), tokens).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
+    return df.select(*columns, *([file_name.alias(file_column)] if file_column else []))
+
+
+def _archives(spark: SparkSession, paths: str | Sequence[str], recursive: bool, pattern: str, exclude_directory: str | None) -> DataFrame:
+    found = (
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+        .load(paths if isinstance(paths, str) else list(paths))
+    )
+    if exclude_directory:
+        found = found.where(~F.array_contains(F.split("path", "/"), exclude_directory))
+    return found.select("path", "content")
+
+
+def unreadable_archives(
+    spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, pattern: str = "*.zip", exclude_directory: str | None = None,
+) -> DataFrame:
+    """Paths of the archives that `read_zipped` skips when told to."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = [p for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not zipfile.is_zipfile(io.BytesIO(c))]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["path"])
+
+    return _archives(spark, paths, recursive, pattern, exclude_directory).mapInArrow(test, "path string")
+
+
+def _split_line(line: str, sep: str) -> list[str]:
+    """Fields of a line; a quote that isn't closed ends with it, as in plain files."""
+    return next(csv.reader([line], delimiter=sep)) if '"' in line else line.split(sep)
 
 
 def read_zipped(
@@ -66,53 +95,59 @@ def read_zipped(
     header: bool = True,
     file_column: str | None = None,
     recursive: bool = False,
+    pattern: str = "*.zip",
+    exclude_directory: str | None = None,
+    nulls: Iterable[str] = NULL_TOKENS,
+    members: str = "all",
+    skip_corrupt: bool = False,
 ) -> DataFrame:
-    """Delimited text inside zip archives, one archive per task unit, streamed block by block.
+    """Delimited text inside zip archives, one archive per task unit, its members streamed line by line.
 
-    Zip is no splittable codec, so the archive is the unit of parallelism; the
-    members are decompressed as a stream and never held whole. Archives that do
-    not open are skipped. Columns beyond the schema are cut.
+    Zip is no splittable codec, so the archive is the unit of parallelism and of reading (2 GB
+    at most). All members are read, or with members="first" the first. Columns go by name where
+    there is a header; rows, nulls, quotes and unreadable archives are treated as in plain
+    files (`unreadable_archives` names the latter).
     """
     names = [f.name for f in schema.fields]
-    out_schema = T.StructType([*schema.fields, *([T.StructField(file_column, T.StringType())] if file_column else [])])
-    # Every column is read as text, whether it has a name or a number.
-    all_text = {n: pa.string() for n in [*names, *(f"f{i}" for i in range(256))]}
-
-    def blocks(raw) -> Iterator[pa.RecordBatch]:
-        with pacsv.open_csv(
-            raw,
-            read_options=pacsv.ReadOptions(block_size=ZIP_BLOCK_BYTES, autogenerate_column_names=not header),
-            parse_options=pacsv.ParseOptions(delimiter=sep, quote_char=False, invalid_row_handler=lambda row: "skip"),
-            convert_options=pacsv.ConvertOptions(column_types=all_text, strings_can_be_null=True, null_values=[""]),
-        ) as reader:
-            yield from reader
+    out_schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], *([T.StructField(file_column, T.StringType())] if file_column else [])])
+
+    def batch_of(rows: list[list[str | None]], path: str) -> pa.RecordBatch:
+        arrays = [pa.array(column, pa.string()) for column in zip(*rows)]
+        if file_column:
+            arrays.append(pa.array([path.rsplit("/", 1)[-1]] * len(rows), pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema.fields])
+
+    def lines(archive: zipfile.ZipFile, member: zipfile.ZipInfo, path: str) -> Iterator[pa.RecordBatch]:
+        places, rows = (None if header else list(range(len(names)))), []
+        with io.TextIOWrapper(archive.open(member), encoding="utf-8-sig", errors="replace", newline="") as text:
+            for line in text:
+                line = line.rstrip("\r\n")
+                if not line:
+                    continue
+                fields = _split_line(line, sep)
+                if places is None:
+                    places = [fields.index(n) if n in fields else len(fields) for n in names]
+                    continue
+                rows.append([(fields[i] or None) if i < len(fields) else None for i in places])
+                if len(rows) >= ZIP_ROWS:
+                    yield batch_of(rows, path)
+                    rows = []
+        if rows:
+            yield batch_of(rows, path)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    member = archive.namelist()[0]
-                except (zipfile.BadZipFile, IndexError):
+                if skip_corrupt and not zipfile.is_zipfile(io.BytesIO(content)):
                     continue
-                with archive.open(member) as raw:
-                    for block in blocks(raw):
-                        arrays = []
-                        for i, name in enumerate(names):
-                            index = block.schema.get_field_index(name) if header else (i if i < block.num_columns else -1)
-                            arrays.append(
-                                block.column(index).cast(pa.string()) if index >= 0 else pa.nulls(block.num_rows, pa.string())
-                            )
-                        if file_column:
-                            arrays.append(pa.array([path.rsplit("/", 1)[-1]] * block.num_rows, pa.string()))
-                        yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema.fields])
-
-    archives = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", recursive)
-        .option("ignoreCorruptFiles", True)
-        .load(paths if isinstance(paths, str) else list(paths)).select("path", "content")
-    )
-    return archives.mapInArrow(unpack, out_schema)
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    found = [m for m in archive.infolist() if not m.is_dir()]
+                    for member in found[:1] if members == "first" else found:
+                        yield from lines(archive, member, path)
+
+    tokens = tuple(nulls)
+    df = _archives(spark, paths, recursive, pattern, exclude_directory).mapInArrow(unpack, out_schema)
+    return df.select(*[null_tokens_to_null(F.col(f"`{n}`"), tokens).alias(n) for n in names], *([file_column] if file_column else []))
 
 
 def union_drifted(frames: Iterable[DataFrame]) -> DataFrame:
@@ -128,11 +163,14 @@ def read_feed_files(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.tab", header: bool = True,
     exclude_directory: str | None = None, file_column: str | None = "Source File",
 ) -> DataFrame:
-    """All plain and zipped files of a feed below a folder, with their file names, exact repeats removed."""
+    """All plain and zipped files of a feed below a folder (zipped ones end in .zip after the pattern), with their
+    file names, exact repeats removed."""
     plain = read_delimited(
         spark, folder, schema, header=header, recursive=True, pattern=pattern, exclude_directory=exclude_directory, file_column=file_column
     )
-    zipped = read_zipped(spark, folder, schema, header=header, file_column=file_column, recursive=True)
+    zipped = read_zipped(
+        spark, folder, schema, header=header, file_column=file_column, recursive=True, pattern=f"{pattern}.zip", exclude_directory=exclude_directory
+    )
     return union_drifted([plain, zipped]).distinct()
 
 

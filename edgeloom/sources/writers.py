@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +90,26 @@ def export_cases(cases: dict[str, DataFrame], folder: str) -> None:
 def timeline_document(timeline: DataFrame) -> DataFrame:
     """Month rows as JSON text, for sinks that take one document per month."""
     return timeline.select("month", F.to_json(F.struct("month", "nodes", "links")).alias("document"))
+
+
+def export_zipped_lines(lines: DataFrame, folder: str, suffix: str = ".txt") -> int:
+    """Write rows of one text column as zip archives of text, one for each partition; returns the number of lines.
+
+    The folder must be one that executors can write to as files, or a store pyarrow knows.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [line or "" for batch in batches for line in batch.column(0).to_pylist()]
+        if held:
+            name = f"part-{TaskContext.get().partitionId():06d}{suffix}"
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr(name, "\n".join(held) + "\n")
+            store, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            store.create_dir(path, recursive=True)
+            # The same name and content however often the task runs.
+            with store.open_output_stream(f"{path}/{name}.zip") as out:
+                out.write(data.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], names=["lines"])
+
+    return lines.mapInArrow(write, "lines bigint").agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n")).first()["n"]

@@ -28,7 +28,10 @@ def test_delimited_and_zipped_scans(spark, tmp_path):
     (tmp_path / "a" / "broken.zip").write_bytes(b"not a zip")
     schema = schemas.text_schema("Event Date", "Source Name", "CAMEO Code")
     plain = readers.read_delimited(spark, str(tmp_path), schema, recursive=True, pattern="*.tab", exclude_directory="all_tabs", file_column="Source File")
-    zipped = readers.read_zipped(spark, str(tmp_path), schema, file_column="Source File", recursive=True)
+    zipped = readers.read_zipped(spark, str(tmp_path), schema, file_column="Source File", recursive=True, skip_corrupt=True)
+    assert [r.path.rsplit("/", 1)[-1] for r in readers.unreadable_archives(spark, str(tmp_path), recursive=True).collect()] == ["broken.zip"]
+    with pytest.raises(Exception, match="not a zip file"):
+        readers.read_zipped(spark, str(tmp_path), schema, recursive=True).collect()
     rows = sorted(tuple(r) for r in readers.union_drifted([plain, zipped]).fillna("").collect())
     assert [(r[0], r[2], r[3]) for r in rows] == [("2023-01-02", "010", "one.tab"), ("2023-01-03", "020", "two.zip"), ("2023-01-04", "", "two.zip")]
 
@@ -43,6 +46,21 @@ def test_feed_files_and_case_tables(spark, tmp_path):
     assert readers.read_cases(spark, str(tmp_path / "c"), "two").count() == 3
 
 
+def test_zipped_rows_of_any_width_quotes_members_and_exclusion(spark, tmp_path):
+    for folder in ("in", "all_tabs"):
+        (tmp_path / folder).mkdir()
+        with zipfile.ZipFile(tmp_path / folder / "x.tab.zip", "w") as z:
+            z.writestr("one.tab", 'id\tv\n1\t"plain ""q"" x"\textra\n2\n\n3\tNA\n')
+            z.writestr("two.tab", 'v\tid\nw\t4\n"open\t5\n')
+    with zipfile.ZipFile(tmp_path / "in" / "foreign.zip", "w") as z:
+        z.writestr("a.bin", "x")
+    schema = schemas.text_schema("id", "v")
+    got = readers.read_feed_files(spark, str(tmp_path), schema, exclude_directory="all_tabs", file_column=None)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("1", 'plain "q" x'), ("2", None), ("3", None), ("4", "w"), (None, "open\t5")], key=str)
+    first = readers.read_zipped(spark, str(tmp_path), schema, recursive=True, pattern="*.tab.zip", members="first", exclude_directory="all_tabs")
+    assert first.count() == 3
+
+
 def test_headerless_zip_is_named_and_cut(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.writestr("b.csv", "1\t20230101\tx\textra\n2\t20230501\ty\textra\n")
