@@ -62,8 +62,12 @@ def actors(*hits: DataFrame) -> DataFrame:
     for more in hits[1:]:
         union = union.unionByName(more)
     named = union.withColumn("normalized_name", light_name("name")).where("normalized_name <> ''")
-    grouped = named.groupBy("normalized_name").agg(
-        F.min_by(clean_text("name"), F.struct("feed", "day", "name")).alias("raw_name"),
+    # The first grouping keeps two numbers, so it is a hash aggregation; texts are picked and gathered from what it leaves.
+    first = (F.col("feed").cast("bigint") * (1 << 32) + F.col("day")).alias("first")
+    texts = ("normalized_name", "name", "source", "type_info", "sector_info")
+    counted = named.select(*texts, "n", first).groupBy(*texts).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    grouped = counted.groupBy("normalized_name").agg(
+        F.min_by(clean_text("name"), F.struct("first", "name")).alias("raw_name"),
         F.sum("n").alias("frequency"),
         F.array_sort(F.collect_set("source")).alias("source_set"),
         F.array_sort(F.collect_set("type_info")).alias("type_set"),

@@ -127,10 +127,14 @@ def keep_edge(min_b_only: int = MIN_B_ONLY_EVENTS) -> Column:
 
 
 def fused_edges(seed: DataFrame, classified: DataFrame, min_b_only: int = MIN_B_ONLY_EVENTS) -> DataFrame:
-    """Seed and feed B in one union and one grouping (no outer join), then weak edges pruned."""
-    usable = classified.where("reason = 'mapped'").select(
-        *KEY, F.col("subject_canonical").alias("subject_name"), F.col("object_canonical").alias("object_name"), "n"
-    )
+    """Seed and feed B in one union and one grouping (no outer join), then weak edges pruned.
+
+    Feed B is summed by key and names first: only a number per group, so the event-sized
+    shuffle is a hash aggregation, and the grouping that picks names and sources sees edges.
+    """
+    usable = classified.where("reason = 'mapped'").groupBy(
+        *KEY, F.col("subject_canonical").alias("subject_name"), F.col("object_canonical").alias("object_name")
+    ).agg(F.sum("n").alias("n"))
     partials = _partials_from_seed(seed).unionByName(_partials_from_feed_b(usable))
     return merge_partials(partials).where(keep_edge(min_b_only))
 
