@@ -561,6 +561,7 @@ def oracle_queries() -> dict[str, str]:
             {base_name} AS base, array_to_string(list_sort(string_split({squeeze('name')}, ' ')), ' ') AS tokens FROM raw_names"""),
         "name_predicates": full(f"""SELECT name, {bad_name('n')} AS bad, {org_name('n')} AS org_name, regexp_matches(upper(name), {alternation(C.ORG_SECTOR_KEYWORDS)}) AS org_sector,
             {aligned('name')} IN {words(C.GENERIC_ORG_NAMES)} AS generic FROM (SELECT name, {light('name')} AS n FROM raw_names)"""),
+        "fuzzy_merged": "SELECT printf('V%08d', c_custkey) AS old_org_id, printf('B%08d', c_custkey) AS survivor_id, round(200.0 * 28 / 57, 4)::DOUBLE AS ratio FROM customer WHERE c_custkey % 3 = 0",
         "feed_scan": """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 5 WHEN 1 THEN c_name || ' "q"' WHEN 2 THEN NULL ELSE c_name END AS name, c_mktsegment AS segment,
             CASE c_custkey % 5 WHEN 4 THEN NULL ELSE 'n' || CAST(c_custkey % 5 AS VARCHAR) END AS note FROM customer""",
         "code_top2": full(f"""SELECT code, root, count(*) AS events, {padded('code')} AS padded, {from_padded('code')} AS from_padded, {from_compact('code')} AS from_compact,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import codes, names, parse
 from edgeloom.functions.sqlfuncs import register_sql_functions
 from edgeloom.operators import (
-    actors, align, baselines, candidates, constraints, dimension, edges, facts, ids, intervals, inventory, metrics,
+    actors, align, baselines, candidates, constraints, dimension, edges, facts, fuzzy, ids, intervals, inventory, metrics,
     pairs, reduction, samples, update, views,
 )
 from edgeloom.plans.build import Check, Graph
@@ -178,6 +178,19 @@ def alignment_sample(spark, folder):
     return samples.alignment_sample(orgs, found).drop("all_raw_names", "known_group_info")
 
 
+def fuzzy_merged(spark, folder):
+    """Customers under spelled-out names, every third one again with a letter missing: who is merged into whom."""
+    key = F.col("c_custkey")
+    letter = lambda i: F.translate(F.substring(F.lpad(key.cast("string"), 5, "0"), i + 1, 1), "0123456789", "ABCDEFGHIJ")
+    name = F.concat_ws(" ", *[F.concat(F.lit("KLMNO"[i]), F.repeat(letter(i), 4)) for i in range(5)])
+    base = testfeed.table(spark, folder, "customer").select(F.format_string("B%08d", key).alias("org_id"), name.alias("clean_name"), key.alias("k"))
+    cut = (F.col("k") % 5 * 6 + 2).cast("int")
+    again = base.where("k % 3 = 0").select(
+        F.format_string("V%08d", "k").alias("org_id"), F.concat(F.substring("clean_name", F.lit(1), cut - 1), F.substring("clean_name", cut + 1, F.lit(40))).alias("clean_name"))
+    merged = fuzzy.fuzzy_merge(base.drop("k").unionByName(again))
+    return merged.select("old_org_id", "survivor_id", F.round("ratio", 4).alias("ratio"))
+
+
 # ---- files ----------------------------------------------------------------------
 
 def feed_scan(spark, folder):

@@ -1,8 +1,11 @@
 """Fuzzy merge of near-equal organization names.
 
 Two names merge when their token-sorted forms are at least 97 % alike, counting
-insertions and deletions against both lengths. For names up to 49 characters or
-so that allows one or two edits; longer names allow more.
+insertions and deletions against both lengths, so the edits allowed grow with the names.
+
+Candidates come from a prefix filter. An edit touches at most q of a name's q-grams, so of
+two names within k edits each holds all but q*k grams of the other, and the q*k + 1 rarest
+grams of both have one in common. A name thus has about a fifth as many keys as characters.
 """
 
 from __future__ import annotations
@@ -10,14 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.constants import FUZZY_MIN_LENGTH, FUZZY_MIN_RATIO
 from edgeloom.functions.names import qualifiers_differ, token_sorted
 from edgeloom.session import cut_lineage
 
-DEEPEST = 2
+GRAM = 3
 
 
 def edit_budget(total_length: Column) -> Column:
@@ -30,71 +33,28 @@ def own_budget(length: Column) -> Column:
     return F.floor(length * (2 * (100 - FUZZY_MIN_RATIO)) / F.lit(FUZZY_MIN_RATIO)).cast("int")
 
 
-def _without_one(text: Column) -> Column:
-    """All texts with one character left out."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
-    )
-
-
-def deletion_keys(text: Column, depth: int) -> Column:
-    """The text itself and every text left after deleting up to `depth` characters."""
-    layers = [F.array(text)]
-    for _ in range(depth):
-        layers.append(F.array_distinct(F.flatten(F.transform(layers[-1], _without_one))))
-    return F.array_distinct(F.concat(*layers))
-
+def rare_grams(names: DataFrame) -> DataFrame:
+    """org_id, gram, place, size and budget: of each name the q*k + 1 grams that fewest names have.
 
-def _short_pairs(names: DataFrame) -> DataFrame:
-    """Pairs among names with a budget of at most two edits.
-
-    Texts at distance k reach a common text by k deletions in all, so equal
-    deletion keys find every near pair. Distinct texts that share one key differ
-    in at most two places, so a key cannot gather a crowd of names.
+    Repeats of a gram within a name are told apart by their number.
     """
-    depth = F.when(F.col("budget") <= 0, deletion_keys(F.col("t"), 0)).when(F.col("budget") == 1, deletion_keys(F.col("t"), 1)).otherwise(
-        deletion_keys(F.col("t"), 2))
-    keys = names.where(F.col("budget") <= DEEPEST).select("org_id", F.explode(depth).alias("text")).select("org_id", F.xxhash64("text").alias("key"))
-    other = keys.withColumnRenamed("org_id", "other_id")
-    return keys.join(other, "key").where("org_id < other_id").select(F.col("org_id").alias("low_id"), F.col("other_id").alias("high_id"))
-
+    grams = F.transform(F.sequence(F.lit(1), F.length("t") - (GRAM - 1)), lambda i: F.substring("t", i, F.lit(GRAM)))
+    placed = names.select("org_id", "budget", F.length("t").alias("size"), F.posexplode(grams).alias("place", "text"))
+    again = F.row_number().over(Window.partitionBy("org_id", "text").orderBy("place"))
+    numbered = placed.withColumn("gram", F.concat_ws("|", "text", again.cast("string"))).drop("text")
+    counted = numbered.join(numbered.groupBy("gram").count(), "gram")
+    rarest = F.row_number().over(Window.partitionBy("org_id").orderBy("count", "gram"))
+    return counted.withColumn("_rank", rarest).where(F.col("_rank") <= F.col("budget") * GRAM + 1).drop("_rank", "count")
 
-def _long_pairs(names: DataFrame) -> DataFrame:
-    """Pairs in which one name has a larger budget.
 
-    Of k + 2 pieces of a name, k edits leave two whole, and they move by at most
-    k places. Two pieces together form the key, so a common word alone does not
-    bring names together. Every partner cuts itself by the same widths.
-    """
-    longest = names.where(F.col("budget") > DEEPEST)
-    # A cut is given by its budget k; the width is that of the shortest name with this budget, so both sides use the same.
-    width = lambda k: F.greatest(F.lit(1), F.floor(F.ceil(k * FUZZY_MIN_RATIO / F.lit(2 * (100 - FUZZY_MIN_RATIO))) / (k + 2)).cast("int"))
-    anchored = longest.select("org_id", "t", F.col("budget").alias("k")).withColumn("w", width(F.col("k")))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.transform(
-        F.sequence(i + 1, F.col("k") + 1),
-        lambda j: F.struct(i.alias("i"), j.alias("j"), F.xxhash64(
-            F.substring("t", i * F.col("w") + 1, F.col("w")), F.substring("t", j * F.col("w") + 1, F.col("w")), i, j, F.col("k")).alias("key")),
-    )))
-    left = anchored.select("org_id", F.explode(pieces).alias("p")).select("org_id", F.col("p.key").alias("key"))
-    # Partners: any name long enough, under the budgets of the names it may meet, with both pieces shifted.
-    partner = names.where(F.col("budget") >= DEEPEST).select(
-        F.col("org_id").alias("other_id"), "t", F.explode(F.sequence(F.greatest(F.lit(DEEPEST + 1), F.col("budget") - 1), F.col("budget") + 1)).alias("k")
-    ).withColumn("w", width(F.col("k")))
-
-    def shifted(i: Column, j: Column) -> Column:
-        shifts = F.sequence(-F.col("k"), F.col("k"))
-        return F.flatten(F.transform(shifts, lambda a: F.transform(shifts, lambda b: F.when(
-            (i * F.col("w") + a >= 0) & (j * F.col("w") + b >= 0),
-            F.xxhash64(
-                F.substring("t", i * F.col("w") + a + 1, F.col("w")), F.substring("t", j * F.col("w") + b + 1, F.col("w")), i, j, F.col("k")),
-        ))))
-
-    spread = partner.select("other_id", "t", "k", "w", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select(
-        "other_id", "t", "k", "w", "i", F.explode(F.sequence(F.col("i") + 1, F.col("k") + 1)).alias("j"))
-    right = spread.select("other_id", F.explode(shifted(F.col("i"), F.col("j"))).alias("key")).where("key is not null")
-    met = left.join(right, "key").where("org_id <> other_id")
-    return met.select(F.least("org_id", "other_id").alias("low_id"), F.greatest("org_id", "other_id").alias("high_id"))
+def candidate_pairs(names: DataFrame) -> DataFrame:
+    """Pairs (smaller id first) with a rare gram in common, at nearly the same place in names of nearly the same length."""
+    left = rare_grams(names)
+    right = left.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("org_id", "budget", "size", "place")])
+    slack = F.greatest("budget", "other_budget")
+    near = (F.abs(F.col("size") - F.col("other_size")) <= slack) & (F.abs(F.col("place") - F.col("other_place")) <= slack)
+    met = left.join(right, "gram").where((F.col("org_id") < F.col("other_org_id")) & near)
+    return met.select(F.col("org_id").alias("low_id"), F.col("other_org_id").alias("high_id")).distinct()
 
 
 def _common_length(a: str, b: str) -> int:
@@ -120,7 +80,7 @@ def similar_names(kept: DataFrame) -> DataFrame:
     """Pairs of organizations (smaller id first) with similar names, and how similar they are in percent."""
     names = kept.where(F.length("clean_name") >= FUZZY_MIN_LENGTH).select("org_id", "clean_name", token_sorted("clean_name").alias("t"))
     names = names.withColumn("budget", own_budget(F.length("t")))
-    pairs = _short_pairs(names).unionByName(_long_pairs(names)).distinct()
+    pairs = candidate_pairs(names)
 
     def side(s: str, p: str) -> DataFrame:
         return names.select(F.col("org_id").alias(f"{s}_id"), F.col("t").alias(p), F.col("clean_name").alias(f"name_{p}"))
@@ -132,7 +92,7 @@ def similar_names(kept: DataFrame) -> DataFrame:
     return rated.where(F.col("ratio") >= FUZZY_MIN_RATIO)
 
 
-def fuzzy_merge(kept: DataFrame, rounds: int = 100) -> DataFrame:
+def fuzzy_merge(kept: DataFrame) -> DataFrame:
     """Removed organizations with the survivor that takes them over: old_org_id, survivor_id, ratio.
 
     Going by id, a name survives unless a surviving earlier name is similar; it
@@ -144,7 +104,7 @@ def fuzzy_merge(kept: DataFrame, rounds: int = 100) -> DataFrame:
     edges = cut_lineage(similar_names(kept))
     nodes = edges.select(F.col("low_id").alias("id")).unionByName(edges.select(F.col("high_id").alias("id"))).distinct()
     state = nodes.withColumn("state", F.lit("open"))
-    for _ in range(rounds):
+    while not state.where("state = 'open'").isEmpty():
         earlier = edges.join(state.select(F.col("id").alias("low_id"), F.col("state").alias("low_state")), "low_id")
         seen = earlier.groupBy(F.col("high_id").alias("id")).agg(
             F.bool_or(F.col("low_state") == "kept").alias("beaten"), F.bool_or(F.col("low_state") == "open").alias("waiting")
@@ -152,10 +112,6 @@ def fuzzy_merge(kept: DataFrame, rounds: int = 100) -> DataFrame:
         no = F.lit(False)
         state = cut_lineage(state.join(seen, "id", "left").select("id", F.when(F.col("state") != "open", F.col("state"))
                             .when(F.coalesce("beaten", no), "gone").when(F.coalesce("waiting", no), "open").otherwise("kept").alias("state")))
-        if state.where("state = 'open'").isEmpty():
-            break
-    else:
-        raise RuntimeError("chains of similar names are longer than the rounds allowed; raise rounds")
     kept_ids = state.where("state = 'kept'").select(F.col("id").alias("low_id"))
     gone_ids = state.where("state = 'gone'").select(F.col("id").alias("high_id"))
     return edges.join(kept_ids, "low_id", "left_semi").join(gone_ids, "high_id", "left_semi").groupBy(F.col("high_id").alias("old_org_id")).agg(

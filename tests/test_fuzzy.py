@@ -67,3 +67,12 @@ def test_qualifiers_keep_names_apart_and_align_redirects(spark):
     owned = {(r.old_org_id, r.alias) for r in aliases.collect()}
     assert ("ORG_000003", "Northern Federation of Worker Unions") in owned
     assert ("ORG_000003", "The  Northern Federation of Workers Unions") in owned
+
+
+def test_keys_grow_no_faster_than_names(spark):
+    from edgeloom.operators.fuzzy import own_budget, rare_grams
+
+    names = spark.createDataFrame([(f"O{n}", " ".join(f"W{k:03d}" for k in range(n))) for n in (4, 20, 40)], "org_id string, t string").selectExpr("*", "length(t) as size")
+    names = names.withColumn("budget", own_budget(names["size"])).drop("size")
+    keys = {r.org_id: r["count"] for r in rare_grams(names).groupBy("org_id").count().collect()}
+    assert keys == {"O4": 4, "O20": 19, "O40": 37}
