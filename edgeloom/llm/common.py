@@ -55,6 +55,11 @@ def slices(texts: list[str], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """The hint where `df` has so few rows; else the planner decides. It is counted, so it should be a stage table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def local_path(uri: str) -> str | None:
     """Path of a folder that is mounted, None for a store that only file system clients reach."""
     parsed = urlparse(uri)

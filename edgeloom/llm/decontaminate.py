@@ -20,13 +20,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text
+from edgeloom.llm.common import broadcast_if_small, id_and_text
 from edgeloom.session import cut_lineage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a null doc_id in joins; `key` tells it from a document that has this id.
 NO_ID = -(1 << 63)
+#: Rows of a few numbers that are sent to all executors, some 10 MB; a larger benchmark is joined by shuffles.
+SMALL = 200_000
 
 
 def words(text: Column) -> Column:
@@ -57,7 +59,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> Index:
     # The null after the last word stands at the number of words.
     placed = texts.select("doc", "key", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
     placed = placed.select("doc", "key", "pos", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"), F.col("word").isNull().alias("end"))
-    wanted = terms.select(F.col("term").alias("known"))
+    wanted = broadcast_if_small(terms.select(F.col("term").alias("known")), SMALL)
     kept = cut_lineage(placed.join(wanted, F.col("term") == F.col("known"), "left").where("end or known is not null").drop("known"))
     return Index(kept.where("not end").drop("end"), kept.where("end").select("doc", "key", F.col("pos").alias("n_words")))
 
@@ -75,7 +77,7 @@ def find(index: Index, sought: DataFrame, slop: int = 0) -> DataFrame:
     # A window with a word that no document has can't occur.
     ordered = counted.withColumn("rank", F.row_number().over(rarity)).withColumn("n", F.count("*").over(whole)).where("n = width").drop("n", "count")
     ordered = cut_lineage(ordered)
-    first = ordered.where("rank = 1").select("term", "window_id", "width", "off")
+    first = broadcast_if_small(ordered.where("rank = 1").select("term", "window_id", "width", "off"), SMALL)
     found = index.postings.join(first, "term").select("doc", "key", "window_id", "width", (F.col("pos") - F.col("off")).alias("start"))
     if not slop:
         found = found.where("start >= 0")
@@ -91,7 +93,7 @@ def _confirm(index: Index, found: DataFrame, terms: DataFrame, slop: int) -> Dat
     shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
     due = due.select("doc", "key", "window_id", "width", "start", "n", F.col("t.off").alias("off"), F.col("t.term").alias("term"), shifts.alias("shift"))
     due = due.withColumn("pos", F.col("start") + F.col("off") + F.col("shift"))
-    held = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    held = index.postings.join(broadcast_if_small(terms.select("term").distinct(), SMALL), "term", "left_semi")
     met = due.join(held, ["doc", "key", "pos", "term"]).select("doc", "key", "window_id", "width", "start", "n", "off").distinct()
     whole = met.groupBy("doc", "key", "window_id", "width", "start", "n").count().where("count = n").drop("n", "count")
     return asked.where("rest is null").drop("rest").unionByName(whole)
