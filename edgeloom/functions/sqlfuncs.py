@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from edgeloom.constants import FEED_A, FEED_B, LOW_EVIDENCE, SCORE_BASE, SCORE_COUNT_CAP, SCORE_CROSS_BONUS, SCORE_PENALTY, SOURCE_WEIGHTS
+
+_IN_A, _IN_B = (f"contains(sources, '{feed}')" for feed in (FEED_A, FEED_B))
+_UPPER_A, _UPPER_B = (f"contains(upper(sources), '{feed}')" for feed in (FEED_A, FEED_B))
+
+# `aligned_text` cleans a name as `aligned_name` does before it replaces whole-name abbreviations.
 _FUNCTIONS = {
     "light_name(name STRING)": (
         "STRING", r"trim(regexp_replace(upper(coalesce(name, '')), '\\s+', ' '))"),
@@ -47,19 +53,18 @@ _FUNCTIONS = {
     "edge_confidence(sources STRING, events BIGINT, a_events BIGINT, b_events BIGINT, old DOUBLE)": (
         "DOUBLE",
         "round(greatest(0.0D, least(1.0D,"
-        " CASE WHEN contains(sources, 'ICEWS') AND contains(sources, 'GDELT') THEN 0.7D"
-        " WHEN contains(sources, 'ICEWS') THEN 0.55D WHEN contains(sources, 'GDELT') THEN 0.4D ELSE old END"
-        " + CASE WHEN a_events > 0 AND b_events > 0 THEN 0.2D ELSE 0D END"
-        " + CASE WHEN events > 0 THEN least(log1p(events) / 10.0D, 0.2D) ELSE 0D END"
-        " - CASE WHEN events <= 1 THEN 0.15D ELSE 0D END"
-        " - CASE WHEN contains(sources, 'GDELT') AND NOT contains(sources, 'ICEWS') AND b_events <= 2 THEN 0.15D ELSE 0D END)), 4)"),
+        f" CASE WHEN {_IN_A} AND {_IN_B} THEN {SCORE_BASE['cross']}D WHEN {_IN_A} THEN {SCORE_BASE['a']}D WHEN {_IN_B} THEN {SCORE_BASE['b']}D ELSE old END"
+        f" + CASE WHEN a_events > 0 AND b_events > 0 THEN {SCORE_CROSS_BONUS}D ELSE 0D END"
+        f" + CASE WHEN events > 0 THEN least(log1p(events) / 10.0D, {SCORE_COUNT_CAP}D) ELSE 0D END"
+        f" - CASE WHEN events <= 1 THEN {SCORE_PENALTY}D ELSE 0D END"
+        f" - CASE WHEN {_IN_B} AND NOT {_IN_A} AND b_events <= 2 THEN {SCORE_PENALTY}D ELSE 0D END)), 4)"),
     "source_weight(sources STRING, a_events BIGINT, b_events BIGINT, confidence DOUBLE, mentions DOUBLE, articles DOUBLE)": (
         "DOUBLE",
-        "CASE WHEN (a_events > 0 OR contains(upper(sources), 'ICEWS')) AND (b_events > 0 OR contains(upper(sources), 'GDELT')) THEN 1.2D"
-        " WHEN a_events > 0 OR contains(upper(sources), 'ICEWS') THEN 1.0D"
-        " WHEN b_events > 0 OR contains(upper(sources), 'GDELT') THEN"
-        " CASE WHEN confidence < 0.5D OR (coalesce(mentions, 0) <= 1 AND coalesce(articles, 0) <= 1) THEN 0.6D ELSE 0.85D END"
-        " ELSE 0.75D END"),
+        f"CASE WHEN (a_events > 0 OR {_UPPER_A}) AND (b_events > 0 OR {_UPPER_B}) THEN {SOURCE_WEIGHTS['cross']}D"
+        f" WHEN a_events > 0 OR {_UPPER_A} THEN {SOURCE_WEIGHTS['a']}D"
+        f" WHEN b_events > 0 OR {_UPPER_B} THEN"
+        f" CASE WHEN confidence < {LOW_EVIDENCE}D OR (coalesce(mentions, 0) <= 1 AND coalesce(articles, 0) <= 1) THEN {SOURCE_WEIGHTS['b_low']}D ELSE {SOURCE_WEIGHTS['b']}D END"
+        f" ELSE {SOURCE_WEIGHTS['none']}D END"),
 }
 
 
