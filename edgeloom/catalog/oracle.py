@@ -462,6 +462,9 @@ def _pair_examples(flag: str) -> str:
     return f"(SELECT relation_a, relation_b, string_agg({t}, ' | ' ORDER BY k) AS t FROM (SELECT *, row_number() OVER (PARTITION BY relation_a, relation_b ORDER BY s, o, a1, a2, b1, b2) AS k FROM pairs WHERE kind {flag} ('overlap', 'during', 'contains', 'equal')) WHERE k <= 3 GROUP BY ALL)"
 
 
+NUMBERED = "(SELECT s, r, o, m1, 'I_' || lpad(CAST(row_number() OVER (ORDER BY s, r, o, m1) AS VARCHAR), 9, '0') AS id FROM iv)"
+
+
 def _instances(where: str) -> str:
     return f"""SELECT constraint_id, pair_id AS constraint_key, CAST(k AS INTEGER) AS instance, s AS subject_org_id, o AS object_org_id, j.relation_a, j.relation_b,
         {month_label('a1')} AS a_start_time, {month_label('a2')} AS a_end_time, {month_label('b1')} AS b_start_time, {month_label('b2')} AS b_end_time,
@@ -534,6 +537,7 @@ def oracle_queries() -> dict[str, str]:
     base_name = squeeze(r"regexp_replace(name, '\(.*?\)', ' ', 'g')")
     q = {
         "event_facts": full(facts),
+        "source_evidence": full(f"SELECT source_dataset, publisher, story_id, sentence_number, '' AS source_url FROM ({facts})"),
         "name_dictionary": folded("SELECT 'a' AS feed, name_key, org_id FROM da UNION ALL SELECT 'b', name_key, org_id FROM db"),
         "gate_reasons": full("SELECT reason, count(*) AS events FROM fbm GROUP BY reason"),
         "seed_edges": full(f"SELECT {seed_columns} FROM seed"),
@@ -581,6 +585,10 @@ def oracle_queries() -> dict[str, str]:
             FROM (SELECT *, CAST(substr(event_month, 6, 2) AS INTEGER) AS m, {time_relation('m', 'm', '2', '3')} AS kind FROM scored) e"""),
         "month_intervals": full("""SELECT s AS subject, r AS property, o AS object, strftime(make_date(m1 // 12, m1 % 12 + 1, 1), '%Y%m%d') AS start_time,
             strftime(last_day(make_date(m1 // 12, m1 % 12 + 1, 1)), '%Y%m%d') AS end_time, m1 AS start_no, m1 AS end_no FROM iv"""),
+        "interval_ids": full("""SELECT s AS subject, r AS property, o AS object, strftime(make_date(m1 // 12, m1 % 12 + 1, 1), '%Y%m%d') AS start_time,
+            'I_' || lpad(CAST(row_number() OVER (ORDER BY s, r, o, m1) AS VARCHAR), 9, '0') AS interval_id FROM iv"""),
+        "instance_ids": folded(f"""SELECT constraint_id, x.id AS interval_a_id, y.id AS interval_b_id, truth FROM judged j
+            JOIN {NUMBERED} x ON x.s = j.s AND x.o = j.o AND x.r = j.relation_a AND x.m1 = j.a1 JOIN {NUMBERED} y ON y.s = j.s AND y.o = j.o AND y.r = j.relation_b AND y.m1 = j.b1"""),
         "merged_intervals": full(f"SELECT s AS subject_org_id, r AS relation_type, o AS object_org_id, m1 AS start_no, m2 AS end_no, months, {month_label('m1')} AS start_month, {month_label('m2')} AS end_month FROM isl"),
         "interval_quarantine": full(f"""SELECT 'good' AS kind, CASE WHEN r = '04' THEN '1990-01' ELSE {month_label('m1')} END AS start_time, {month_label('m1')} AS end_time, count(*) AS rows FROM iv WHERE r <> '03' GROUP BY ALL
             UNION ALL SELECT 'bad', 'n/a', strftime(last_day(make_date(m1 // 12, m1 % 12 + 1, 1)), '%Y%m%d'), count(*) FROM iv WHERE r = '03' GROUP BY ALL"""),

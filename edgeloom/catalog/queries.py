@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Stage tables are written once per session and folder and then read by every query that needs them.
 _GRAPHS: dict[tuple, Graph] = {}
 _CHECKS: dict[tuple, Check] = {}
+_STREAMS: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def graph(spark: SparkSession, folder: str, fold: bool = True, cut: bool = True) -> Graph:
@@ -54,6 +55,7 @@ def forget_stages() -> None:
     """Start over with fresh stage tables."""
     _GRAPHS.clear()
     _CHECKS.clear()
+    _STREAMS.clear()
 
 
 def found_candidates(g: Graph) -> DataFrame:
@@ -80,6 +82,11 @@ def event_facts(spark, folder):
     return g.facts.drop("event_seq", "num_sources", "num_articles", "num_mentions")
 
 
+def source_evidence(spark, folder):
+    """Where each fact of feed A was reported."""
+    return facts.evidence_table(graph(spark, folder, fold=False, cut=False).facts).drop("event_seq")
+
+
 def name_dictionary(spark, folder):
     g = graph(spark, folder, cut=False)
     both = g.a_dictionary.select(F.lit("a").alias("feed"), "name_key", "org_id").unionByName(
@@ -298,6 +305,18 @@ def month_intervals(spark, folder):
     return graph(spark, folder, fold=False, cut=False).interval_table
 
 
+def interval_ids(spark, folder):
+    return intervals.with_interval_ids(graph(spark, folder, fold=False).interval_table).select("subject", "property", "object", "start_time", "interval_id")
+
+
+def instance_ids(spark, folder):
+    """Judged interval pairs by the ids of their intervals."""
+    c = check(spark, folder)
+    g = c.graph
+    rows = intervals.numbered(intervals.with_interval_ids(g.interval_table))
+    return constraints.trigger_instances(rows, c.candidates, g.weights, g.pair_counts).select("constraint_id", "interval_a_id", "interval_b_id", "truth")
+
+
 def merged_intervals(spark, folder):
     return intervals.merge_intervals(graph(spark, folder, fold=False, cut=False).intervals)
 
@@ -719,14 +738,21 @@ def conflict_list(spark, folder):
 # ---- stream ---------------------------------------------------------------------
 
 def _streamed(spark, folder):
-    """Line items as a file stream, fused batch by batch; returns the partial table's path and the seed."""
+    """Line items as a stream of three files, each with rows of all months, fused file by file; returns the partial
+    table's path and the seed."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key in _STREAMS:
+        return _STREAMS[key]
     source = testfeed.table(spark, folder, "lineitem")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "lineitem.parquet").parquet(folder)
+    files = stage_path(spark, "feed")
+    source.repartition(3, "l_orderkey").write.parquet(files)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(files)
     g = graph(spark, folder, fold=False, cut=False)
     path = stage_path(spark, "stream")
     events = testfeed.feed_b(spark, folder, lineitem=stream)
     fuse.fuse_stream(events, g.b_dictionary, path, path + "-state").awaitTermination()
-    return path, g.seed
+    _STREAMS[key] = path, g.seed
+    return _STREAMS[key]
 
 
 def stream_fuse(spark, folder):

@@ -256,8 +256,8 @@ def _first_filled(df: DataFrame, *names: str) -> Column:
 def final_constraints(scored: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Scored constraints with automatic and reviewed status; a review by id outranks one by key.
 
-    Both tables are bounded by the relation pairs. Of several reviews for one
-    constraint the last one (by review_seq, if given) counts.
+    Of several reviews for one constraint the last one counts, by review_seq or,
+    where there is none, by the place in the review file.
     """
     base = scored.withColumn("auto_final_status", auto_final_status())
     empty = {c: F.lit("") for c in ("manual_final_status", "manual_score", "manual_comment")}
@@ -269,7 +269,7 @@ def final_constraints(scored: DataFrame, manual: DataFrame | None = None) -> Dat
             if {"relation_a", "relation_b", "forbidden_temporal_relation"} <= set(manual.columns) else F.lit("")
         )
         cid = clean_text("constraint_id") if "constraint_id" in manual.columns else F.lit("")
-        seq = F.col("review_seq") if "review_seq" in manual.columns else F.lit(0)
+        seq = F.col("review_seq") if "review_seq" in manual.columns else F.monotonically_increasing_id()
         reviews = manual.select(
             cid.alias("cid"), F.when(cid == "", clean_text(key)).otherwise("").alias("ckey"), seq.alias("seq"),
             F.struct(
@@ -281,8 +281,8 @@ def final_constraints(scored: DataFrame, manual: DataFrame | None = None) -> Dat
         by_id = reviews.where("cid <> ''").groupBy("cid").agg(F.max_by("review", "seq").alias("by_id"))
         by_key = reviews.where("ckey <> ''").groupBy("ckey").agg(F.max_by("review", "seq").alias("by_key"))
         joined = (
-            base.join(F.broadcast(by_id), F.col("constraint_id") == F.col("cid"), "left")
-            .join(F.broadcast(by_key), F.col("constraint_key") == F.col("ckey"), "left")
+            base.join(by_id, F.col("constraint_id") == F.col("cid"), "left")
+            .join(by_key, F.col("constraint_key") == F.col("ckey"), "left")
             .withColumn("_review", F.coalesce("by_id", "by_key"))
             .withColumns({
                 "manual_final_status": F.coalesce("_review.status", F.lit("")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edgeloom.constants import INTERVAL_STATUSES
 from edgeloom.functions.codes import relation_strict
 from edgeloom.functions.parse import clean_text, month_first_day, month_number, month_text, to_double, to_long
+from edgeloom.operators.ids import dense_ids
 
 
 def edge_intervals(edges: DataFrame, min_events: int = 1, min_confidence: float = 0.0) -> DataFrame:
@@ -36,6 +37,11 @@ def edge_intervals(edges: DataFrame, min_events: int = 1, min_confidence: float
     )
 
 
+def with_interval_ids(intervals: DataFrame) -> DataFrame:
+    """The interval table with dense ids in the order of subject, relation, object and time; instances then carry them."""
+    return dense_ids(intervals, ["subject", "property", "object", "start_time", "end_time"], "interval_id", "I_%09d")
+
+
 def numbered(intervals: DataFrame) -> DataFrame:
     """Interval table under edge-table names; month ordinals are parsed from the texts unless they are there."""
     start, end = (
@@ -45,6 +51,7 @@ def numbered(intervals: DataFrame) -> DataFrame:
     return intervals.select(
         F.col("subject").alias("subject_org_id"), F.col("property").alias("relation_type"),
         F.col("object").alias("object_org_id"), start.alias("start_no"), end.alias("end_no"),
+        *(["interval_id"] if "interval_id" in intervals.columns else []),
     )
 
 

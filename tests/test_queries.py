@@ -8,7 +8,7 @@ from tests.compare import compare, connection
 SMALL = "/root/testdata/sf0.001"
 CHECKED = (
     "fused_edges", "daily_log", "actor_candidates", "name_predicates", "month_parse", "merged_interval_pairs", "pair_examples",
-    "all_instances", "timeline_links", "timeline_nodes", "review_sample", "hidden_sample", "alignment_sample", "response_extraction",
+    "interval_ids", "instance_ids", "source_evidence", "fuzzy_merged", "feed_scan", "stream_log", "all_instances", "timeline_links", "timeline_nodes", "review_sample", "hidden_sample", "alignment_sample", "response_extraction",
     "constraint_scores", "decisions", "edge_updates", "method_evidence", "constraint_quality", "timeline", "graph_query",
 )
 
