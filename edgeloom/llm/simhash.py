@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, combinations
-from math import acos, pi, sqrt
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -105,22 +105,33 @@ class Parts:
 
     Each part of `bits` bits is matched within `radius` of its own; pairs that meet in any
     part are verified on all bits, against the distance expected at `similarity` (of the
-    sets of shingles) plus half a standard deviation. A pair at
-    the threshold meets with a chance of about five in six, a closer one with more; `bits`
-    should exceed the logarithm of the rows by eight, so that few others meet.
+    sets of shingles) plus one standard deviation.
     """
 
+    parts: int
+    bits: int
     words: int = 5
     similarity: float = 0.8
-    parts: int = 9
-    bits: int = 28
     radius: int = 2
 
+    @classmethod
+    def for_rows(cls, rows: int, words: int = 5, similarity: float = 0.8, radius: int = 2, found: float = 0.9) -> Parts:
+        """Bits beyond the logarithm of the rows by eight, so that few others meet, and as many parts as it takes
+        for a pair at the threshold to meet with the chance `found`. Holds at every size."""
+        bits = max(24, ceil(log2(max(rows, 1))) + 8)
+        p = _apart(similarity)
+        meets = sum(comb(bits, n) * p**n * (1 - p) ** (bits - n) for n in range(radius + 1))
+        return cls(ceil(log(1 - found) / log(1 - meets)), bits, words, similarity, radius)
+
     @property
     def most(self) -> int:
-        total = self.parts * self.bits
-        p = acos(2 * self.similarity / (1 + self.similarity)) / pi
-        return int(total * p + sqrt(total * p * (1 - p)) / 2)
+        total, p = self.parts * self.bits, _apart(self.similarity)
+        return int(total * p + sqrt(total * p * (1 - p)))
+
+
+def _apart(similarity: float) -> float:
+    """Chance that a fingerprint bit differs, at a similarity of sets."""
+    return acos(2 * similarity / (1 + similarity)) / pi
 
 
 def part_fingerprint(text: str, scheme: Parts) -> list[int]:
@@ -180,9 +191,9 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     return near_duplicates(docs, words, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, scheme: Parts = Parts()) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id, ties to the smaller key."""
-    kept = near_duplicates_by_parts(docs, scheme).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
+    kept = near_duplicates_by_parts(docs, Parts.for_rows(docs.count(), words, similarity)).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
     kept = kept.select(F.col("one.doc_id").alias("__doc"), F.col("one.key").alias("__key")).distinct()
     named = docs.withColumn("__key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     chosen = named.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__doc")) & (F.col("d.__key") == F.col("k.__key")), "left_semi")
