@@ -221,6 +221,29 @@ def feed_scan(spark, folder):
     return readers.read_feed_files(spark, path, text_schema("id", "name", "segment", "note"), "*.txt", header=False, exclude_directory="all_tabs", file_column=None)
 
 
+def appended_edges(spark, folder):
+    """The edge table written by months, in two appends, and read back."""
+    rows = graph(spark, folder).edges
+    path = stage_path(spark, "appended")
+    writers.append_table(rows.where("relation_type <= '10'"), path)
+    writers.append_table(rows.where("relation_type > '10'"), path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def interval_files(spark, folder):
+    """The interval table as headerless text files, read back."""
+    path = stage_path(spark, "intervals")
+    writers.export_intervals(graph(spark, folder).interval_table, path)
+    return readers.read_intervals(spark, path)[0]
+
+
+def timeline_files(spark, folder):
+    """Links of the top of each month, from month documents written and read back."""
+    path = stage_path(spark, "timeline")
+    writers.export_timeline(views.timeline(_links(spark, folder), 100), path)
+    return readers.timeline_links(readers.read_timeline(spark, path)).select("month", "edge_id", "source_name", "target_name", "relation_code", "confidence", "status")
+
+
 # ---- scalar rules ---------------------------------------------------------------
 
 def raw_names(spark, folder):
