@@ -38,7 +38,7 @@ LENGTH = 200
 GRAM = 20
 #: Distinct fragments of an anchor that one task takes, and windows of a batch.
 FAMILY = 4_000
-BATCH = 100_000
+BATCH = 30_000
 #: Bits of the place in an anchor's sort key; a slice has fewer bytes.
 PLACE = 24
 #: Window starts of a long text that are looked at together.
@@ -109,8 +109,31 @@ def stretches(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list
             yield [a], [start], [texts[a][start : start + STRETCH + length - 1]]
 
 
+def once_per_text(found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Of places with equal fragments in one text the first, how many there are, and the ranges they cover if several.
+
+    Periodic texts repeat a fragment at every period.
+    """
+    text, start, count, anchor, whole = found
+    order = np.lexsort((start, text, anchor, whole))
+    keys = np.stack([whole, anchor, text])[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([first, [len(order)]]))
+    ranges: list = [None] * len(first)
+    for g in np.flatnonzero(times > 1).tolist():
+        begin = start[order[first[g] : first[g] + times[g]]]
+        end = begin + int(count[order[first[g]]]) + length - 1
+        cut = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+        last = np.concatenate([cut[1:], [len(begin)]]) - 1
+        ranges[g] = np.stack([begin[cut], end[last]], axis=1)
+    return order[first], times, ranges
+
+
 def places(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, whole, copies, key, size, start, windows): all fragments of all texts; copies within a slice once."""
+    """(anchor, whole, copies, key, size, start, windows, ranges): all fragments of all texts.
+
+    Copies within a slice come once, and so do equal fragments of a text, with the ranges of all.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +144,18 @@ def places(docs: DataFrame, length: int) -> DataFrame:
                     held.setdefault(data, [key, 0])[1] += 1
             texts, keys = list(held), np.array(list(held.values()), np.int64).reshape(-1, 2)
             for numbers, offsets, part in stretches(texts, length):
-                text, start, count, anchor, whole = fragments(part, length)
+                found = fragments(part, length)
+                at, times, ranges = once_per_text(found, length)
+                text, start, count, anchor, whole = (x[at] for x in found)
+                shift = np.array(offsets, np.int64)[text]
+                spans = [None if r is None else [{"start": int(a + s), "end": int(b + s)} for a, b in r] for r, s in zip(ranges, shift.tolist(), strict=True)]
                 own, size = np.array(numbers)[text], np.array([len(texts[i]) for i in numbers], np.int64)[text]
                 yield pa.RecordBatch.from_pydict({
-                    "anchor": pa.array(anchor), "whole": pa.array(whole), "copies": pa.array(keys[own, 1].astype(np.int32)), "key": pa.array(keys[own, 0]),
-                    "size": pa.array(size), "start": pa.array(start + np.array(offsets, np.int64)[text]), "windows": pa.array(count.astype(np.int32))})
+                    "anchor": pa.array(anchor), "whole": pa.array(whole), "copies": pa.array(keys[own, 1] * times), "key": pa.array(keys[own, 0]),
+                    "size": pa.array(size), "start": pa.array(start + shift), "windows": pa.array(count.astype(np.int32)), "ranges": pa.array(spans, kind)})
 
-    schema = "anchor bigint, whole bigint, copies int, key bigint, size bigint, start bigint, windows int"
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = "anchor bigint, whole bigint, copies bigint, key bigint, size bigint, start bigint, windows int, ranges array<struct<start: bigint, end: bigint>>"
     return keyed(docs).select("key", "text").mapInArrow(each, schema)
 
 
@@ -202,6 +230,7 @@ class Family:
         """Numbers of all windows found equal to another, in the batch or in a level."""
         order = np.argsort(keys, kind="stable")
         level = (keys[order], numbers[order])
+        del keys, order
         found = [level[1][_twins(level[0])]]
         for other in self.levels:
             at = np.searchsorted(other[0], level[0])
@@ -220,12 +249,16 @@ def _twins(keys: np.ndarray) -> np.ndarray:
 
 
 def _merge(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The union in order; of equal windows the first stays, the others are known to be twins."""
-    keys, numbers = np.concatenate([one[0], other[0]]), np.concatenate([one[1], other[1]])
-    order = np.argsort(keys, kind="stable")  # merges two sorted runs
-    keys, numbers = keys[order], numbers[order]
-    kept = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    return keys[kept], numbers[kept]
+    """The union in order; of equal windows the first stays, the others are known to be twins.
+
+    Windows of `other` are put where they belong in `one`, so only the result is allocated.
+    """
+    fresh = np.concatenate([[True], other[0][1:] != other[0][:-1]]) if len(other[0]) else np.zeros(0, bool)
+    at = np.searchsorted(one[0], other[0])
+    known = at < len(one[0])
+    known[known] = one[0][at[known]] == other[0][known]
+    fresh &= ~known
+    return np.insert(one[0], at[fresh], other[0][fresh]), np.insert(one[1], at[fresh], other[1][fresh])
 
 
 def windows_of(data: bytes, length: int) -> np.ndarray:
@@ -302,7 +335,8 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, size, spans): the byte ranges that texts lose; they may touch or overlap."""
     shared = shared_places(docs, length)
     found = cut_lineage(twin_windows(cut_out(docs, shared, length), length))
-    whole = shared.where("times > 1").select("key", "size", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
+    own = F.array(F.struct("start", (F.col("start") + F.col("windows") + (length - 1)).alias("end")))
+    whole = shared.where("times > 1").select("key", "size", F.explode(F.coalesce("ranges", own)).alias("r")).select("key", "size", "r.start", "r.end")
     parts = shared.where("times = 1").join(found, ["anchor", "whole"]).select(
         "key", "size", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("past") + (length - 1)).alias("end"))
     # The ranges of one text; a text that has many of them is long itself.
