@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text
+from edgeloom.llm.common import broadcast_if_small, id_and_text
 from edgeloom.session import cut_lineage
 
 #: Hashed feature space; the model and the class counts have so many entries.
@@ -39,6 +39,8 @@ EPOCHS = 15
 #: Share of the fitted weights; the rest is their mean size, as naive Bayes alone would have it.
 MIX = 0.5
 THRESHOLD = 0.3
+#: Labels that are sent to all executors, some 5 MB; more are joined by a shuffle of the texts.
+SMALL = 200_000
 
 
 def features(text: str, seen: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("label")).where("label in (0, 1)")
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").groupBy("doc_id", "fold").agg(F.min("label").alias("label"))
     texts = id_and_text(docs).where(fold(F.col("doc_id")) != 0)
-    return cut_lineage(texts.join(known, "doc_id"))
+    return cut_lineage(texts.join(broadcast_if_small(cut_lineage(known), SMALL), "doc_id"))
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
