@@ -128,6 +128,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 def clean_only(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    dirty = decontaminate(docs, items, width).where("contaminated").select("key").distinct().withColumnRenamed("key", "__key")
+    dirty = cut_lineage(decontaminate(docs, items, width).where("contaminated").select(F.col("key").alias("__key")).distinct())
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(dirty, key == F.col("__key"), "left_anti")
+    return docs.join(broadcast_if_small(dirty, SMALL), key == F.col("__key"), "left_anti")
