@@ -118,7 +118,7 @@ class Parts:
     def for_rows(cls, rows: int, words: int = 5, similarity: float = 0.8, radius: int = 2, found: float = 0.9) -> Parts:
         """Bits beyond the logarithm of the rows by eight, so that few others meet, and as many parts as it takes
         for a pair at the threshold to meet with the chance `found`. Holds at every size."""
-        bits = max(24, ceil(log2(max(rows, 1))) + 8)
+        bits = max(26, ceil(log2(max(rows, 1))) + 8)
         p = _apart(similarity)
         meets = sum(comb(bits, n) * p**n * (1 - p) ** (bits - n) for n in range(radius + 1))
         return cls(ceil(log(1 - found) / log(1 - meets)), bits, words, similarity, radius)
@@ -165,15 +165,14 @@ def part_fingerprints(docs: DataFrame, scheme: Parts) -> DataFrame:
 def part_links(prints: DataFrame, scheme: Parts) -> DataFrame:
     """Edges (a, b) between fingerprints that meet in a part and agree on the whole.
 
-    What meets is linked to the smallest fp on the variant and to the one before it, never in
-    all pairs; members of a group meet on many variants.
+    What meets is linked to the smallest fp on the variant, never in all pairs; members of a
+    group meet on many variants.
     """
     split = prints.select("fp", F.posexplode("parts").alias("part", "value"))
     variants = split.select("fp", "part", "value", F.explode(ball(scheme.radius // 2, scheme.bits)).alias("mask"))
     placed = variants.select("fp", (F.shiftleft(F.col("part").cast("bigint"), 48) + F.col("value").bitwiseXOR(F.col("mask"))).alias("variant"))
-    on = Window.partitionBy("variant").orderBy("fp")
-    met = placed.select("fp", F.first("fp").over(on).alias("first"), F.lag("fp").over(on).alias("before")).where("before is not null")
-    asked = met.select(F.explode(F.array("first", "before")).alias("a"), F.col("fp").alias("b")).distinct()
+    met = placed.withColumn("first", F.min("fp").over(Window.partitionBy("variant"))).where("fp <> first")
+    asked = met.select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
     one, other = prints.select(F.col("fp").alias("a"), F.col("parts").alias("x")), prints.select(F.col("fp").alias("b"), F.col("parts").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
     return asked.join(one, "a").join(other, "b").where(apart <= scheme.most).select("a", "b")
