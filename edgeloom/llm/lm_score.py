@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, slices
+from edgeloom.llm.common import broadcast_if_small, id_and_text, slices
+from edgeloom.session import cut_lineage
 
 #: Symbols, with the start (0) and other characters (1).
 SYMBOLS = 48
 ORDER = 4
+#: Target ids that are sent to all executors, some 3 MB; more are joined by a shuffle of the texts.
+SMALL = 200_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -68,7 +71,7 @@ def grams(text: str, table: np.ndarray, symbols: int, order: int) -> np.ndarray:
 def gram_counts(docs: DataFrame, target: DataFrame, points: list[int], symbols: int = SYMBOLS, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """How often each n-gram occurs in target documents and in all. `target` has the doc_ids (distinct)."""
     size = symbols**order
-    marked = id_and_text(docs).join(target.select(F.col("doc_id"), F.lit(True).alias("t")), "doc_id", "left").select("text", F.coalesce("t", F.lit(False)).alias("t"))
+    marked = id_and_text(docs).join(target.withColumn("t", F.lit(True)), "doc_id", "left").select("text", F.coalesce("t", F.lit(False)).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sums = symbol_table(points), np.zeros((2, size), np.int64)
@@ -133,6 +136,6 @@ def score_documents(docs: DataFrame, points: list[int], tables: tuple[np.ndarray
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, symbols: int = SYMBOLS, order: int = ORDER) -> DataFrame:
     """Score all documents against the model of those whose doc_id is in `target`."""
     points = vocabulary(docs, symbols)
-    wanted = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    inside, every = gram_counts(docs, wanted, points, symbols, order)
+    wanted = cut_lineage(target.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct())
+    inside, every = gram_counts(docs, broadcast_if_small(wanted, SMALL), points, symbols, order)
     return score_documents(docs, points, (losses(inside, symbols, order), losses(every, symbols, order)), symbols, order)
