@@ -163,21 +163,56 @@ def part_fingerprints(docs: DataFrame, scheme: Parts) -> DataFrame:
 
 
 def part_links(prints: DataFrame, scheme: Parts) -> DataFrame:
-    """Edges (a, b) between fingerprints that meet in a part and agree on the whole.
+    """Edges (a, b) that connect all fingerprints that meet in a part and agree on the whole.
 
-    What meets is linked to the smallest fp on the variant, never in all pairs; members of a
-    group meet on many variants.
+    Meeting in one part doesn't prove closeness. So what meets is first asked of the smallest
+    fp on the variant, which connects most; then all members of a variant that are in
+    different components are asked of each other, so none stays unchecked because the
+    smallest was a stranger to it. Members of one component are never asked in all pairs.
     """
+    met = cut_lineage(_meetings(prints, scheme))
+    stars = cut_lineage(_agree(met.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct(), prints, scheme))
+    rest = cut_lineage(_agree(_unasked(met, components(stars), prints, scheme), prints, scheme))
+    return stars.unionByName(rest)
+
+
+def _meetings(prints: DataFrame, scheme: Parts) -> DataFrame:
+    """(variant, fp, first): what is not alone on a variant, with the smallest fp there."""
     split = prints.select("fp", F.posexplode("parts").alias("part", "value"))
     variants = split.select("fp", "part", "value", F.explode(ball(scheme.radius // 2, scheme.bits)).alias("mask"))
     placed = variants.select("fp", (F.shiftleft(F.col("part").cast("bigint"), 48) + F.col("value").bitwiseXOR(F.col("mask"))).alias("variant"))
-    met = placed.withColumn("first", F.min("fp").over(Window.partitionBy("variant"))).where("fp <> first")
-    asked = met.select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
+    own = Window.partitionBy("variant")
+    return placed.withColumn("first", F.min("fp").over(own)).withColumn("last", F.max("fp").over(own)).where("first < last").drop("last")
+
+
+def _agree(asked: DataFrame, prints: DataFrame, scheme: Parts) -> DataFrame:
+    """Of the pairs (a, b) those that agree on the whole."""
     one, other = prints.select(F.col("fp").alias("a"), F.col("parts").alias("x")), prints.select(F.col("fp").alias("b"), F.col("parts").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
     return asked.join(one, "a").join(other, "b").where(apart <= scheme.most).select("a", "b")
 
 
+def _unasked(met: DataFrame, groups: DataFrame, prints: DataFrame, scheme: Parts) -> DataFrame:
+    """Pairs (a, b) on one variant, in different components and within the limit; those with the smallest fp have been asked."""
+    named = met.where("fp <> first").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("variant", "fp", F.coalesce("component", "fp").alias("own"))
+    same = Window.partitionBy("variant")
+    mixed = named.withColumn("low", F.min("own").over(same)).withColumn("high", F.max("own").over(same)).where("low < high").select("variant", "fp", "own")
+    held = mixed.join(prints.select("fp", "parts"), "fp").groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("fp", "own", "parts"))).alias("held"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column("held"):
+                fp, own = (row.values.field(k).to_numpy() for k in (0, 1))
+                parts = row.values.field(2).flatten().to_numpy().reshape(len(fp), -1)
+                for k in range(len(fp) - 1):
+                    near = (np.bitwise_count(parts[k + 1 :] ^ parts[k]).sum(axis=1) <= scheme.most) & (own[k + 1 :] != own[k])
+                    b = fp[k + 1 :][near]
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), fp[k])), pa.array(b)], names=["a", "b"])
+
+    return held.select("held").distinct().mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
 def near_duplicates_by_parts(docs: DataFrame, scheme: Parts) -> DataFrame:
     """doc_id, key, fp and component_id, of fingerprints in parts."""
     found = cut_lineage(part_fingerprints(docs, scheme))

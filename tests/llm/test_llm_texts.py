@@ -192,6 +192,15 @@ def test_one_document_of_a_group_stays(spark, docs):
     assert {10, 11, 12, None} <= set(ids)
 
 
+def test_strangers_on_a_variant_hide_no_link(spark):
+    """b and c meet only where a, smaller and far from both on the whole, meets them too."""
+    full = (1 << 26) - 1
+    prints = [(1, [7, 0, 0]), (2, [7, full, full]), (3, [7, full ^ 7, full ^ 7]), (4, [7, full ^ (7 << 9), full ^ (7 << 9)])]
+    edges = simhash.part_links(spark.createDataFrame(prints, "fp bigint, parts array<bigint>"), simhash.Parts(3, 26))
+    got = {frozenset((r.a, r.b)) for r in edges.collect()}
+    assert {frozenset((2, 3)), frozenset((2, 4))} <= got and not any(1 in e for e in got)
+
+
 def repeats_brute(rows, length):
     data = [(t or "").encode() for _, t in rows]
     seen: dict[bytes, int] = {}
