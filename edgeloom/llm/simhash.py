@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, combinations
-from math import acos, ceil, comb, log, log2, pi, sqrt
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -103,9 +103,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 class Parts:
     """Fingerprints in several parts, for pairs too far apart for a radius in one piece.
 
-    Each part of `bits` bits is matched within `radius` of its own; pairs that meet in any
-    part are verified on all bits, against the distance expected at `similarity` (of the
-    sets of shingles) plus one standard deviation.
+    Each part of `bits` bits is matched within `radius` of its own. Pairs that meet in any
+    part and differ in at most `most` bits, the distance expected at `similarity` plus four
+    standard deviations, are candidates; the sets of shingles themselves decide.
     """
 
     parts: int
@@ -115,10 +115,8 @@ class Parts:
     radius: int = 2
 
     @classmethod
-    def for_rows(cls, rows: int, words: int = 5, similarity: float = 0.8, radius: int = 2, found: float = 0.9) -> Parts:
-        """Bits beyond the logarithm of the rows by eight, so that few others meet, and as many parts as it takes
-        for a pair at the threshold to meet with the chance `found`. Holds at every size."""
-        bits = max(26, ceil(log2(max(rows, 1))) + 8)
+    def at(cls, similarity: float = 0.8, words: int = 5, bits: int = 30, radius: int = 2, found: float = 0.9) -> Parts:
+        """As many parts as it takes for a pair at the threshold to meet with the chance `found`, whatever the rows."""
         p = _apart(similarity)
         meets = sum(comb(bits, n) * p**n * (1 - p) ** (bits - n) for n in range(radius + 1))
         return cls(ceil(log(1 - found) / log(1 - meets)), bits, words, similarity, radius)
@@ -126,7 +124,7 @@ class Parts:
     @property
     def most(self) -> int:
         total, p = self.parts * self.bits, _apart(self.similarity)
-        return int(total * p + sqrt(total * p * (1 - p)))
+        return int(total * p + 4 * sqrt(total * p * (1 - p)))
 
 
 def _apart(similarity: float) -> float:
@@ -134,12 +132,17 @@ def _apart(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of the runs, in order."""
+    return np.unique(shingle_hashes(text, words))
+
+
 def part_fingerprint(text: str, scheme: Parts) -> list[int]:
-    """The parts of a SimHash fingerprint of as many bits as they have in all."""
+    """The parts of a SimHash fingerprint, of the set of runs, of as many bits as they have in all."""
     import xxhash
 
     total, digest = scheme.parts * scheme.bits, xxhash.xxh3_128_digest
-    runs = _runs(text, scheme.words)
+    runs = list(set(_runs(text, scheme.words)))
     ones = np.zeros(-(-total // 128) * 128, np.int64)
     for k in range(0, len(runs), 1 << 14):
         for seed in range(len(ones) // 128):
@@ -150,30 +153,57 @@ def part_fingerprint(text: str, scheme: Parts) -> list[int]:
 
 
 def part_fingerprints(docs: DataFrame, scheme: Parts) -> DataFrame:
-    """doc_id, key and the parts; fp, their hash, stands for them."""
+    """doc_id, key and the parts; fp, a hash of the set of shingles, stands for them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            known: dict[str, list[int]] = {}  # copies are worked out once
-            found = [known[t] if t in known else known.setdefault(t, part_fingerprint(t, scheme)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "parts"])
+            known: dict[str, tuple[list[int], int]] = {}  # copies are worked out once
+            for t in batch.column("text").to_pylist():
+                if t not in known:
+                    known[t] = part_fingerprint(t, scheme), int(np.uint64(xxhash.xxh3_64_intdigest(shingle_set(t, scheme.words).tobytes())).view(np.int64))
+            parts, fp = zip(*(known[t] for t in batch.column("text").to_pylist()), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(parts, pa.list_(pa.int64())), pa.array(fp, pa.int64())], names=["doc_id", "key", "parts", "fp"])
 
     texts = id_and_text(docs).withColumn("key", text_key(F.col("text")))
-    return texts.mapInArrow(each, "doc_id bigint, key bigint, parts array<bigint>").withColumn("fp", F.xxhash64("parts"))
+    return texts.mapInArrow(each, "doc_id bigint, key bigint, parts array<bigint>, fp bigint")
 
 
-def part_links(prints: DataFrame, scheme: Parts) -> DataFrame:
+def part_links(prints: DataFrame, scheme: Parts, docs: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that connect all fingerprints that meet in a part and agree on the whole.
 
+    With `docs`, whose text with the key `least_key` each fp stands for, sets of shingles must agree too.
+
     Meeting in one part doesn't prove closeness. So what meets is first asked of the smallest
     fp on the variant, which connects most; then all members of a variant that are in
     different components are asked of each other, so none stays unchecked because the
     smallest was a stranger to it. Members of one component are never asked in all pairs.
     """
     met = cut_lineage(_meetings(prints, scheme))
-    stars = cut_lineage(_agree(met.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct(), prints, scheme))
-    rest = cut_lineage(_agree(_unasked(met, components(stars), prints, scheme), prints, scheme))
-    return stars.unionByName(rest)
+    stars = _agree(met.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct(), prints, scheme)
+    stars = cut_lineage(stars if docs is None else similar_pairs(stars, prints, docs, scheme))
+    rest = _unasked(met, components(stars), prints, scheme)
+    return stars.unionByName(cut_lineage(rest if docs is None else similar_pairs(rest, prints, docs, scheme)))
+
+
+def similar_pairs(pairs: DataFrame, prints: DataFrame, docs: DataFrame, scheme: Parts) -> DataFrame:
+    """Of the pairs (a, b) those whose sets of shingle hashes have the similarity, by exact Jaccard."""
+    pairs = cut_lineage(pairs)
+    texts = prints.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("fp", F.col("least_key").alias("key"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, scheme.words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    own = id_and_text(docs).withColumn("key", text_key(F.col("text"))).join(texts, "key").dropDuplicates(["fp"]).select("fp", "text")
+    sets = cut_lineage(own.mapInArrow(each, "fp bigint, shingles array<bigint>"))
+    one, other = (sets.select(F.col("fp").alias(n), F.col("shingles").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+    common = F.size(F.array_intersect("x", "y"))
+    similarity = common / (F.size("x") + F.size("y") - common)
+    return pairs.join(one, "a").join(other, "b").where(similarity >= scheme.similarity).select("a", "b")
 
 
 def _meetings(prints: DataFrame, scheme: Parts) -> DataFrame:
@@ -216,8 +246,8 @@ def _unasked(met: DataFrame, groups: DataFrame, prints: DataFrame, scheme: Parts
 def near_duplicates_by_parts(docs: DataFrame, scheme: Parts) -> DataFrame:
     """doc_id, key, fp and component_id, of fingerprints in parts."""
     found = cut_lineage(part_fingerprints(docs, scheme))
-    prints = cut_lineage(found.groupBy("fp", "parts").agg(F.min("doc_id").alias("least")))
-    return _named(found.drop("parts"), prints.drop("parts"), part_links(prints.drop("least"), scheme))
+    prints = cut_lineage(found.groupBy("fp", "parts").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key")))
+    return _named(found.drop("parts"), prints.select("fp", "least"), part_links(prints.drop("least"), scheme, docs))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -227,7 +257,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id, ties to the smaller key."""
-    kept = near_duplicates_by_parts(docs, Parts.for_rows(docs.count(), words, similarity)).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
+    kept = near_duplicates_by_parts(docs, Parts.at(similarity, words)).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
     kept = kept.select(F.col("one.doc_id").alias("__doc"), F.col("one.key").alias("__key")).distinct()
     named = docs.withColumn("__key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     chosen = named.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__doc")) & (F.col("d.__key") == F.col("k.__key")), "left_semi")

@@ -201,6 +201,30 @@ def test_strangers_on_a_variant_hide_no_link(spark):
     assert {frozenset((2, 3)), frozenset((2, 4))} <= got and not any(1 in e for e in got)
 
 
+def test_near_copies_in_a_family_of_half_similar_texts(spark):
+    """keep_one against brute-force Jaccard; what is deleted never depends on how many rows there are."""
+    r, half = random.Random(9), words(90, 60)
+    more = [(i, half + " " + words(1000 + i, 60)) for i in range(300)]
+    for k in range(150):  # near copies at about 0.6 to 0.97
+        w = more[k][1].split()
+        for at in r.sample(range(len(w)), r.randint(1, 6)):
+            w[at] = f"changed{k}x{at}"
+        more.append((1000 + k, " ".join(w)))
+    sets = [{tuple(w[s : s + 5]) for s in range(len(w) - 4)} for w in (t.lower().split() for _, t in more)]
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    group = list(range(len(more)))
+    for (a, b), j in near.items():
+        if j >= 0.8:
+            one, other = group[a], group[b]
+            group = [min(one, other) if g in (one, other) else g for g in group]
+    gone = {i for k, (i, _) in enumerate(more) if group[k] != k}
+    found = {i for i, _ in more} - {x.doc_id for x in simhash.keep_one(frame(spark, more)).collect()}
+    assert len(gone) > 50 and found <= gone
+    assert len(found) >= 0.9 * len(gone)
+    clear = {i for k, (i, _) in enumerate(more) if any(near.get((k, b), 0) >= 0.9 for b in range(k))}
+    assert len(clear - found) <= 0.02 * len(clear)
+
+
 def repeats_brute(rows, length):
     data = [(t or "").encode() for _, t in rows]
     seen: dict[bytes, int] = {}
