@@ -85,11 +85,11 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def _named(found: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds component_id to `found`. `prints` has each fp of it once, with the `least` doc_id."""
+    """Adds component_id and root, which is unique for each component, to `found`. `prints` has each fp of it once, with the `least` doc_id."""
     groups = components(edges)
     rooted = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(rooted.join(names, "root").select("fp", "component_id"), "fp")
+    return found.join(rooted.join(names, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -244,7 +244,7 @@ def _unasked(met: DataFrame, groups: DataFrame, prints: DataFrame, scheme: Parts
 
 
 def near_duplicates_by_parts(docs: DataFrame, scheme: Parts) -> DataFrame:
-    """doc_id, key, fp and component_id, of fingerprints in parts."""
+    """doc_id, key, fp, root (of the component) and component_id, of fingerprints in parts."""
     found = cut_lineage(part_fingerprints(docs, scheme))
     prints = cut_lineage(found.groupBy("fp", "parts").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key")))
     return _named(found.drop("parts"), prints.select("fp", "least"), part_links(prints.drop("least"), scheme, docs))
@@ -257,7 +257,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id, ties to the smaller key."""
-    kept = near_duplicates_by_parts(docs, Parts.at(similarity, words)).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
+    kept = near_duplicates_by_parts(docs, Parts.at(similarity, words)).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
     kept = kept.select(F.col("one.doc_id").alias("__doc"), F.col("one.key").alias("__key")).distinct()
     named = docs.withColumn("__key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     chosen = named.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__doc")) & (F.col("d.__key") == F.col("k.__key")), "left_semi")

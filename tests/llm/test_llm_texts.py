@@ -225,6 +225,13 @@ def test_near_copies_in_a_family_of_half_similar_texts(spark):
     assert len(clear - found) <= 0.02 * len(clear)
 
 
+def test_documents_without_an_id_of_their_own_stay(spark):
+    more = texts() + [(None, words(52, 40)), (None, words(53, 40))]
+    kept = simhash.keep_one(frame(spark, more)).collect()
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted(t for i, t in more if i is None)
+    assert sorted(r.text for r in kept if r.doc_id == 8) == sorted(t for i, t in more if i == 8)
+
+
 def repeats_brute(rows, length):
     data = [(t or "").encode() for _, t in rows]
     seen: dict[bytes, int] = {}
