@@ -80,6 +80,7 @@ def fragments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
+    assert len(data) < 1 << PLACE
     h = gram_hashes(data)
     low = np.uint64((1 << PLACE) - 1)
     # Ties go to the first place in the window, which only its content decides.
@@ -102,11 +103,13 @@ def fragments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 def stretches(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Numbers, offsets and bytes to look at together; a very long text comes in stretches that share no window."""
     for a, b in slices(texts):
-        if b - a > 1 or len(texts[a]) <= STRETCH:
-            yield list(range(a, b)), [0] * (b - a), texts[a:b]
-            continue
-        for start in range(0, len(texts[a]), STRETCH):
-            yield [a], [start], [texts[a][start : start + STRETCH + length - 1]]
+        done = a
+        for i in [*(i for i in range(a, b) if len(texts[i]) > STRETCH), b]:
+            if done < i:
+                yield list(range(done, i)), [0] * (i - done), texts[done:i]
+            for start in range(0, len(texts[i]) if i < b else 0, STRETCH):
+                yield [i], [start], [texts[i][start : start + STRETCH + length - 1]]
+            done = i + 1
 
 
 def once_per_text(found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, np.ndarray, list]:

@@ -283,6 +283,19 @@ def test_repeated_bytes_of_very_long_and_periodic_texts(spark, docs, monkeypatch
     assert suffix_dedup.repeated_bytes(docs.limit(0)).count() == 0
 
 
+def test_a_long_text_after_a_short_one_has_the_anchors_of_its_windows(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    monkeypatch.setattr(suffix_dedup, "PLACE", 11)
+    given = [words(71, 30).encode(), words(70, 400).encode(), words(72, 30).encode()]
+    got = {}
+    for numbers, offsets, part in suffix_dedup.stretches(given, 200):
+        assert sum(len(x) for x in part) < 1 << 11
+        for text, start, count, anchor, _ in zip(*suffix_dedup.fragments(part, 200), strict=True):
+            got |= {(numbers[text], offsets[text] + int(start) + k): anchor for k in range(count)}
+    assert len(given[1]) > 1 << 11
+    assert got == {(i, k): suffix_dedup.fragments([t[k : k + 200]], 200)[3][0] for i, t in enumerate(given) for k in range(len(t) - 199)}
+
+
 def hits_brute(rows, items, width):
     pattern, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: pattern.findall((t or "").translate(lower))
