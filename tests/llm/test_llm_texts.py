@@ -426,3 +426,37 @@ def test_cross_entropy_difference(spark, docs):
         assert abs(r.target_loss - a) < 1e-4 and abs(r.background_loss - b) < 1e-4 and abs(r.score - (a - b)) < 1e-4
     assert lm_score.cross_entropy_difference(docs.limit(0), target).count() == 0
     assert lm_score.cross_entropy_difference(docs, target.limit(0)).count() == len(texts())
+
+
+def test_all_characters_are_told_apart(spark):
+    """More than 46 characters: two texts of rare ones differ, by brute force, sent and joined alike."""
+    common = "".join(chr(c) for c in range(0x61, 0x7B)) + "".join(chr(c) for c in range(0xE0, 0xFF) if c != 0xF7)
+    more = [(k, common * 3) for k in range(3)] + [(10, "δελταζητα"), (11, "δελτα"), (12, "жукъездит"), (12, "жукъездит"), (None, "日本語日本"), (13, None), (14, "")]
+    made, target = frame(spark, more), frame(spark, [(10, None), (11, None)])
+    size = len({c for _, t in more for c in t or ""}) + 1
+
+    def model(inside):
+        counts: dict[str, int] = {}
+        for i, t in more:
+            s = "^^^" + (t or "")
+            for k in range(3, len(s)):
+                for n in range(4) if inside is None or i in inside else ():
+                    counts[s[k - n : k + 1]] = counts.get(s[k - n : k + 1], 0) + 1
+
+        def p(context, w):
+            after = [n for g, n in counts.items() if len(g) == len(context) + 1 and g.startswith(context)]
+            below = p(context[1:], w) if context else 1 / size
+            return (counts.get(context + w, 0) + len(after) * below) / (sum(after) + len(after)) if after else below
+
+        return p
+
+    models = model({10, 11}), model(None)
+    expected = []
+    for i, t in more:
+        s = "^^^" + (t or "")
+        a, b = (-sum(np.log(m(s[k - 3 : k], s[k])) for k in range(3, len(s))) / max(1, len(s) - 3) for m in models)
+        expected.append((str(i), len(t or ""), round(a - b, 9)))
+    for sent in (lm_score.SENT, 0):
+        got = lm_score.cross_entropy_difference(made, target, sent=sent).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in got) == sorted(expected)
+        assert all((r.target_loss is None) == (r.n_tokens == 0) for r in got)
