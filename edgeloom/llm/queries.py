@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import ann, decontaminate, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_counts, token_files
+from edgeloom.llm import ann, decontaminate, licenses, lm_score, merkle, oracle, packing, quality, simhash, suffix_dedup, token_counts, token_files
 from edgeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +55,17 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.cross_entropy_difference(table(spark, folder, "documents"), table(spark, folder, "labels").where("quality = 1"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third document or so is lower-cased after the manifest was made."""
+    return merkle.verify(table(spark, folder, "documents"), merkle.third_lowered(F.col("doc_id"), F.col("text")))
+
+
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op5_nearest_neighbours, op6_quality_classifier, op7_token_counts,
-        op8_benchmark_decontamination, op9_license_scan, op10_lm_scoring,
+        op8_benchmark_decontamination, op9_license_scan, op10_lm_scoring, op11_merkle_manifest,
     )}
 
 
 def llm_oracle() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": oracle.MERKLE}
