@@ -50,3 +50,29 @@ SELECT l.doc_id, l.leaf, r.hash AS subroot, o.hash AS root, coalesce(p.proof, sh
 FROM leaves l JOIN subroots r USING (tree) JOIN outer_nodes o ON o.n = 1
 JOIN last_folds f ON f.tree = l.tree AND f.place = l.pos LEFT JOIN proofs p ON p.tree = l.tree AND p.place = l.pos
 """
+
+TRIE = f"""
+WITH own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS k, digest, words
+    FROM (SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (
+    SELECT c.conv_id, 0 AS side, o.k, o.digest, o.words FROM convs c JOIN own o ON o.conv_id = c.base AND o.k <= c.h
+    UNION ALL SELECT c.conv_id, 1, o.k, o.digest, o.words FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.k > c.h),
+paths AS (
+    SELECT c.conv_id, coalesce(string_agg(r.digest, '' ORDER BY r.side, r.k), '') AS path, list(r.words ORDER BY r.side, r.k) AS words, count(r.k) AS turns
+    FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id),
+members AS (SELECT conv_id, path, words, turns, unnest(range(0, turns + 1)) AS depth FROM paths),
+nodes AS (
+    SELECT left(path, 64 * depth) AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+    FROM members GROUP BY left(path, 64 * depth), depth),
+kids AS (SELECT left(prefix, 64 * (depth - 1)) AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (prefix)),
+below AS (
+    SELECT left(prefix, 64 * above) AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM counted) GROUP BY 1)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves, b.saved_tokens, c.ends_sha256
+FROM counted c JOIN below b USING (prefix) LEFT JOIN nodes p ON c.depth > 0 AND p.prefix = left(c.prefix, 64 * (c.depth - 1))
+"""
