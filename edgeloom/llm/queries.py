@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import ann, decontaminate, licenses, lm_score, merkle, oracle, packing, quality, simhash, suffix_dedup, token_counts, token_files, trie
+from edgeloom.llm import ann, decontaminate, hyperminhash, licenses, lm_score, merkle, oracle, packing, quality, simhash, suffix_dedup, token_counts, token_files, trie
 from edgeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verify(table(spark, folder, "documents"), merkle.third_lowered(F.col("doc_id"), F.col("text")))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.kept_documents(table(spark, folder, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(trie.paths_of(table(spark, folder, "conversations")))
 
@@ -67,7 +71,7 @@ def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_token_files, op4_simhash_near_dedup, op5_nearest_neighbours, op6_quality_classifier, op7_token_counts,
-        op8_benchmark_decontamination, op9_license_scan, op10_lm_scoring, op11_merkle_manifest, op13_conversation_trie,
+        op8_benchmark_decontamination, op9_license_scan, op10_lm_scoring, op11_merkle_manifest, op12_minhash_near_dedup, op13_conversation_trie,
     )}
 
 
