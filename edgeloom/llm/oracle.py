@@ -76,3 +76,27 @@ below AS (
 SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves, b.saved_tokens, c.ends_sha256
 FROM counted c JOIN below b USING (prefix) LEFT JOIN nodes p ON c.depth > 0 AND p.prefix = left(c.prefix, 64 * (c.depth - 1))
 """
+
+#: Exact join by prefixes: a set's rarest shingles, as many as a similar set cannot all lack.
+MINHASH = """
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (
+    SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) END AS s FROM worded),
+sets AS (SELECT s, row_number() OVER (ORDER BY min(doc_id)) AS set_id, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT set_id, n, unnest(s) AS x FROM sets),
+ranked AS (SELECT set_id, n, x, row_number() OVER (PARTITION BY set_id ORDER BY df, x) AS k FROM (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM items)),
+prefixes AS (SELECT * FROM ranked WHERE k <= n - (80 * n + 99) // 100 + 1),
+pairs AS (
+    SELECT DISTINCT a.set_id AS a, b.set_id AS b FROM prefixes a JOIN prefixes b ON a.x = b.x AND a.set_id < b.set_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links AS (
+    SELECT a, b FROM (SELECT p.a, p.b, x.n AS n, y.n AS m, len(list_intersect(x.s, y.s)) AS common FROM pairs p JOIN sets x ON x.set_id = p.a JOIN sets y ON y.set_id = p.b)
+    WHERE 100 * common >= 80 * (n + m - common)),
+reached AS (
+    SELECT set_id AS a, set_id AS b FROM sets
+    UNION SELECT r.a, l.b FROM reached r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.b),
+roots AS (SELECT a AS set_id, min(b) AS root FROM reached GROUP BY a),
+placed AS (SELECT d.doc_id, coalesce(len(d.s), 0) AS n_shingles, r.root FROM shingled d LEFT JOIN sets USING (s) LEFT JOIN roots r USING (set_id))
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM (SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, CASE WHEN root IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY root) END AS component_id FROM placed)
+"""

@@ -76,4 +76,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op11_merkle_manifest": oracle.MERKLE, "op13_conversation_trie": oracle.TRIE}
+    return {"op11_merkle_manifest": oracle.MERKLE, "op12_minhash_near_dedup": oracle.MINHASH, "op13_conversation_trie": oracle.TRIE}
