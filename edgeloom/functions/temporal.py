@@ -33,3 +33,37 @@ def exclusion_truth(relation: ColumnLike, forbidden: ColumnLike) -> Column:
         .when(r.isin(*DISJOINT_RELATIONS), 1)
         .otherwise(0)
     )
+
+
+#: A node of the dyadic tree over months is level * NODE + index; it covers 2 ** level months from index * 2 ** level.
+NODE = 1 << 40
+
+
+def dyadic_nodes(start: ColumnLike, end: ColumnLike) -> Column:
+    """The canonical nodes of a closed interval, disjoint and at most two for each level: every month in it has exactly one of them above it."""
+    first, stop = col(start).cast("bigint"), col(end).cast("bigint") + 1
+    levels = F.sequence(F.lit(0), F.length(F.bin(stop - first)) - 1)
+
+    def at(level: Column) -> Column:
+        # What the levels below have left of the interval, in nodes of this level.
+        power = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        low, high = F.floor((first + power - 1) / power), F.floor(stop / power)
+        odd_low, odd_high = F.pmod(low, F.lit(2)) == 1, F.pmod(high, F.lit(2)) == 1
+        left = F.when(odd_low & (low < high), level * NODE + low)
+        right = F.when(odd_high & (high - 1 >= low + odd_low.cast("bigint")), level * NODE + high - 1)
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(levels, at)), lambda node: node.isNotNull())
+
+
+def node_levels(nodes: ColumnLike) -> Column:
+    """The levels of nodes, a bit for each."""
+    return F.aggregate(col(nodes), F.lit(0).cast("bigint"), lambda held, node: held.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(node / NODE).cast("int"))))
+
+
+def dyadic_ancestors(month: ColumnLike, levels: ColumnLike) -> Column:
+    """The nodes above a month, at the levels whose bits are set."""
+    point, mask = col(month).cast("bigint"), col(levels)
+    every = F.sequence(F.lit(0), F.length(F.bin(mask)) - 1)
+    used = F.filter(every, lambda level: F.call_function("shiftright", mask, level).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(used, lambda level: level * NODE + F.floor(point / F.call_function("shiftleft", F.lit(1).cast("bigint"), level)))

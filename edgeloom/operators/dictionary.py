@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,16 +53,28 @@ def feed_b_dictionary(organizations: DataFrame) -> DataFrame:
     return name_dictionary(organizations, None, light_name)
 
 
+def hot_names(events: DataFrame, *keys: str, most: int = 50_000) -> dict[str, list[str]]:
+    """Per key column the names that hold over half a shuffle partition of the rows.
+
+    One pass: each task keeps a frequent-items sketch of bounded size, and the sketches are
+    merged. There cannot be more than two such names for each partition. The sketch may
+    overstate a count, so a name may be called hot that just isn't; none that is hot is missed.
+    """
+    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = min(2 * partitions, most)
+    sketches = [F.expr(f"approx_top_k({key}, {k}, {min(32 * k, 1_000_000)})").alias(key) for key in keys]
+    found = events.agg(F.count(F.lit(1)).alias("n"), *sketches).first()
+    return {key: [x["item"] for x in found[key] or () if x["item"] is not None and x["count"] * 2 * partitions > found["n"]] for key in keys}
+
+
 def look_up(
-    events: DataFrame, dictionary: DataFrame, key: str, prefix: str,
-    how: str = "inner", salts: int = 1, spread_by: Column | None = None,
+    events: DataFrame, dictionary: DataFrame, key: str, prefix: str, how: str = "inner", hot: Sequence[str] = (),
 ) -> DataFrame:
     """Attach org id and canonical name for a normalized name column.
 
-    No broadcast hint: a dictionary grows with the data, so Spark's own size
-    check picks the join, and adaptive execution splits skewed partitions. With
-    salts > 1 the lookup is also salted by hand: each dictionary row is copied
-    once per salt, and a hot name spreads over that many partitions.
+    Rows with `hot` names (see `hot_names`, which bounds their number) never enter a shuffle:
+    their dictionary rows, one for each name, are broadcast. The rest meets the dictionary
+    in a join that Spark's size check picks.
     """
     table = dictionary.select(
         F.col("name_key").alias("_key"),
@@ -70,9 +82,10 @@ def look_up(
         F.col("canonical_name").alias(f"{prefix}_canonical"),
     )
     condition = F.col(key) == F.col("_key")
-    if salts > 1:
-        spread = F.xxhash64(spread_by if spread_by is not None else F.struct(*events.columns))
-        events = events.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-        table = table.withColumn("_table_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        condition = condition & (F.col("_salt") == F.col("_table_salt"))
-    return events.join(table, condition, how).drop("_key", "_salt", "_table_salt")
+    if not hot:
+        return events.join(table, condition, how).drop("_key")
+    names = F.broadcast(events.sparkSession.createDataFrame([(n,) for n in hot], "_hot string"))
+    common = events.join(names, F.col(key) == F.col("_hot"), "left_semi").join(
+        F.broadcast(table.join(names, F.col("_key") == F.col("_hot"), "left_semi")), condition, how)
+    rest = events.join(names, F.col(key) == F.col("_hot"), "left_anti").join(table, condition, how)
+    return common.unionByName(rest).drop("_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,10 @@ from edgeloom.operators.facts import KEY, edge_key
 REASONS = ("bad_date", "blank_name", "unmapped", "self_loop", "bad_relation", "mapped")
 
 
-def classified_events(events: DataFrame, dictionary: DataFrame, salts: int = 1) -> DataFrame:
+def classified_events(events: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Feed B counted per day, name pair and codes, with org ids and the reason each group is used or skipped.
 
-    Counting comes first: the lookups then run on distinct combinations.
+    Counting comes first: the lookups then run on distinct combinations. Names that are hot even then may be given.
     """
     counted = (
         events.select(
@@ -42,9 +44,8 @@ def classified_events(events: DataFrame, dictionary: DataFrame, salts: int = 1)
         F.nullif(light_name("Actor2Name"), F.lit("")).alias("_object_key"),
         relation_from_root_or_code("EventRootCode", "EventCode").alias("relation_type"),
     )
-    spread = F.struct("day", "relation_type", "_subject_key", "_object_key")
-    mapped = look_up(prepared, dictionary, "_subject_key", "subject", "left", salts, spread)
-    mapped = look_up(mapped, dictionary, "_object_key", "object", "left", salts, spread)
+    mapped = look_up(prepared, dictionary, "_subject_key", "subject", "left", hot)
+    mapped = look_up(mapped, dictionary, "_object_key", "object", "left", hot)
     reason = (
         F.when(F.col("day") == "", "bad_date")
         .when(F.col("_subject_key").isNull() | F.col("_object_key").isNull(), "blank_name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from edgeloom.constants import FEED_A, SEED_CONFIDENCE
 from edgeloom.functions.codes import event_code_padded, relation_from_padded
 from edgeloom.functions.names import lookup_name
 from edgeloom.functions.parse import clean_text
-from edgeloom.operators.dictionary import look_up
+from edgeloom.operators.dictionary import hot_names, look_up
 from edgeloom.sources.columns import FEED_A_ALIASES, find_column
 
 KEY = ("subject_org_id", "object_org_id", "event_month", "relation_type")
@@ -50,16 +52,21 @@ def location_text(city: str = "city", province: str = "province", country: str =
     return F.concat_ws(", ", *[F.nullif(clean_text(c), F.lit("")) for c in (city, province, country)])
 
 
-def event_facts(events: DataFrame, dictionary: DataFrame, salts: int = 1) -> DataFrame:
-    """One row per usable feed A event: both ends mapped, relation within the 20 codes."""
+def event_facts(events: DataFrame, dictionary: DataFrame, spread: bool = True) -> DataFrame:
+    """One row per usable feed A event: both ends mapped, relation within the 20 codes.
+
+    Rows are events here, so a hot name holds many. With `spread`, hot names are found first, in
+    one pass over the names, and looked up apart from the rest.
+    """
     prepared = standard_feed_a(events).withColumns({
         "relation_type": relation_from_padded("code"),
         "event_code": event_code_padded("code"),
         "_subject_key": lookup_name("source_name"),
         "_object_key": lookup_name("target_name"),
     }).where("relation_type <> '' and _subject_key <> '' and _object_key <> ''")
-    mapped = look_up(prepared, dictionary, "_subject_key", "subject", salts=salts, spread_by=F.col("event_seq"))
-    mapped = look_up(mapped, dictionary, "_object_key", "object", salts=salts, spread_by=F.col("event_seq"))
+    hot = hot_names(prepared, "_subject_key", "_object_key") if spread else {}
+    mapped = look_up(prepared, dictionary, "_subject_key", "subject", hot=hot.get("_subject_key", ()))
+    mapped = look_up(mapped, dictionary, "_object_key", "object", hot=hot.get("_object_key", ()))
     return mapped.select(
         F.lit(FEED_A).alias("source_dataset"),
         "subject_org_id", F.col("source_name").alias("subject_name"),
@@ -103,12 +110,13 @@ def seed_edges_from_facts(facts: DataFrame) -> DataFrame:
     return _seed_columns(grouped)
 
 
-def seed_edges(events: DataFrame, dictionary: DataFrame, salts: int = 1) -> DataFrame:
+def seed_edges(events: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Seed edges straight from the feed, pre-aggregated by raw names before any name is cleaned or joined.
 
     A hot actor shrinks to its distinct partners, months and codes in the
     map-side part of the first grouping, so the lookups never see its events.
-    That grouping keeps only numbers per key and so runs as a hash aggregation.
+    That grouping keeps only numbers per key and so runs as a hash aggregation. Names that
+    are hot even then may be given.
     """
     raw = standard_feed_a(events).select(
         "source_name", "target_name", "code", F.date_format("event_date", "yyyy-MM").alias("event_month"),
@@ -122,9 +130,8 @@ def seed_edges(events: DataFrame, dictionary: DataFrame, salts: int = 1) -> Data
         "_subject_key": lookup_name("source_name"),
         "_object_key": lookup_name("target_name"),
     }).where("relation_type <> '' and _subject_key <> '' and _object_key <> ''")
-    spread = F.struct("source_name", "target_name", "code", "event_month")
-    mapped = look_up(prepared, dictionary, "_subject_key", "subject", salts=salts, spread_by=spread)
-    mapped = look_up(mapped, dictionary, "_object_key", "object", salts=salts, spread_by=spread)
+    mapped = look_up(prepared, dictionary, "_subject_key", "subject", hot=hot)
+    mapped = look_up(mapped, dictionary, "_object_key", "object", hot=hot)
     names = F.struct(F.col("source_name").alias("subject_name"), F.col("target_name").alias("object_name"))
     grouped = mapped.groupBy(*KEY).agg(
         F.min_by(names, F.struct("day", "source_name", "target_name")).alias("names"), F.sum("n").alias("event_count")

@@ -2,9 +2,8 @@
 
 Counting pairs needs no pairs. Within one (subject, object) the disjoint pairs
 of two relations follow from running counts along the month axis, so the work
-is linear in the months instead of quadratic in the intervals. Only intervals
-that really share a month are ever matched row by row, and those are bounded
-by the 20 relations per month.
+is linear in the intervals instead of quadratic. Only intervals that really
+share a month are ever matched row by row, through a dyadic tree over the months.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.constants import DISJOINT_RELATIONS, OVERLAP_RELATIONS, RELATION_CODES
 from edgeloom.functions.parse import month_text, ratio
-from edgeloom.functions.temporal import interval_relation
+from edgeloom.functions.temporal import dyadic_ancestors, dyadic_nodes, interval_relation, node_levels
 
 PAIR = ("subject_org_id", "object_org_id")
 RELATION_KINDS = ("before", "after", "meet", "overlap", "during", "contains", "equal")
@@ -103,17 +102,26 @@ def _disjoint_counts(distinct: DataFrame, relations: Sequence[str]) -> DataFrame
 
 
 def shared_month_pairs(distinct: DataFrame) -> DataFrame:
-    """Interval pairs that share a month, each once: matched in the month where the later one starts."""
-    left = distinct.select(
+    """Interval pairs that share a month, each once: the later one's start meets the earlier one in a dyadic tree.
+
+    An interval goes to its few canonical nodes, a start to the nodes above it, and just one node
+    is among both where the interval holds the start. So an interval costs the logarithm of its
+    months, however damaged its dates. Starts go only to levels that their group's intervals use:
+    where all last a month, both sides keep one row each.
+    """
+    noded = distinct.withColumn("nodes", dyadic_nodes("start_no", "end_no"))
+    levels = F.bit_or(node_levels("nodes")).over(Window.partitionBy(*PAIR))
+    noded = noded.withColumn("levels", levels)
+    left = noded.select(
         *PAIR, F.col("relation_type").alias("r1"), F.col("start_no").alias("s1"), F.col("end_no").alias("e1"),
-        F.col("n").alias("n1"), F.explode(F.sequence("start_no", "end_no")).alias("month_no"),
+        F.col("n").alias("n1"), F.explode("nodes").alias("node"),
     )
-    right = distinct.select(
+    right = noded.select(
         *PAIR, F.col("relation_type").alias("r2"), F.col("start_no").alias("s2"), F.col("end_no").alias("e2"),
-        F.col("n").alias("n2"), F.col("start_no").alias("month_no"),
+        F.col("n").alias("n2"), F.explode(dyadic_ancestors("start_no", "levels")).alias("node"),
     )
     # Equal starts would be found from both sides; the smaller code then leads.
-    return left.join(right, [*PAIR, "month_no"]).where("r1 <> r2 and (s1 < s2 or r1 < r2)")
+    return left.join(right, [*PAIR, "node"]).where("r1 <> r2 and (s1 < s2 or r1 < r2)")
 
 
 def _shared_counts(distinct: DataFrame) -> DataFrame:

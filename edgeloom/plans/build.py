@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from edgeloom.constants import STATUS_THRESHOLDS
 from edgeloom.operators import baselines, candidates, constraints, edges, facts, inventory, intervals, pairs, scoring, update
 from edgeloom.session import cut_lineage
-from edgeloom.operators.dictionary import feed_a_dictionary, feed_b_dictionary
+from edgeloom.functions.names import light_name, lookup_name
+from edgeloom.operators.dictionary import feed_a_dictionary, feed_b_dictionary, hot_names
 
 
 @dataclass
@@ -20,18 +21,22 @@ class Graph:
     Frames are built on first use. With `cut`, the tables that several later
     stages read (fused edges, intervals, pair counts, candidate pool, final constraints,
     conflicts, updated edges) are written to the checkpoint folder, so the feeds are read once; without it everything stays lazy.
+    With `spread`, names that hold very many events of a feed are found first and looked up by broadcast.
     """
 
     feed_a: DataFrame
     feed_b: DataFrame
     organizations: DataFrame
     aliases: DataFrame | None = None
-    salts: int = 1
+    spread: bool = False
     cut: bool = False
 
     def stage(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df) if self.cut else df
 
+    def _hot(self, names: DataFrame) -> list[str]:
+        return sorted({n for found in hot_names(names, "s", "o").values() for n in found}) if self.spread else []
+
     @cached_property
     def a_dictionary(self) -> DataFrame:
         return feed_a_dictionary(self.organizations, self.aliases)
@@ -40,17 +45,26 @@ class Graph:
     def b_dictionary(self) -> DataFrame:
         return feed_b_dictionary(self.organizations)
 
+    @cached_property
+    def a_hot(self) -> list[str]:
+        events = facts.standard_feed_a(self.feed_a)
+        return self._hot(events.select(lookup_name("source_name").alias("s"), lookup_name("target_name").alias("o")))
+
+    @cached_property
+    def b_hot(self) -> list[str]:
+        return self._hot(self.feed_b.select(light_name("Actor1Name").alias("s"), light_name("Actor2Name").alias("o")))
+
     @cached_property
     def facts(self) -> DataFrame:
-        return facts.event_facts(self.feed_a, self.a_dictionary, self.salts)
+        return facts.event_facts(self.feed_a, self.a_dictionary)
 
     @cached_property
     def seed(self) -> DataFrame:
-        return facts.seed_edges(self.feed_a, self.a_dictionary, self.salts)
+        return facts.seed_edges(self.feed_a, self.a_dictionary, self.a_hot)
 
     @cached_property
     def classified(self) -> DataFrame:
-        return edges.classified_events(self.feed_b, self.b_dictionary, self.salts)
+        return edges.classified_events(self.feed_b, self.b_dictionary, self.b_hot)
 
     @cached_property
     def edges(self) -> DataFrame:

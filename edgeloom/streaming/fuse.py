@@ -27,10 +27,10 @@ PARTIAL_SCHEMA = T.StructType([
 NO_MONTH = "none"
 
 
-def batch_partials(batch: DataFrame, dictionary: DataFrame, salts: int = 1) -> DataFrame:
+def batch_partials(batch: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Counts of one batch per edge key, day and reason."""
     return (
-        E.classified_events(batch, dictionary, salts)
+        E.classified_events(batch, dictionary)
         .groupBy(*KEY, "day", "reason")
         .agg(F.sum("n").alias("n"), F.first("subject_canonical").alias("subject_canonical"), F.first("object_canonical").alias("object_canonical"))
         .withColumn("event_month", F.when(F.col("event_month") == "", NO_MONTH).otherwise(F.col("event_month")))
@@ -39,13 +39,13 @@ def batch_partials(batch: DataFrame, dictionary: DataFrame, salts: int = 1) -> D
 
 def fuse_stream(
     events: DataFrame, dictionary: DataFrame, path: str, checkpoint: str, available_now: bool = True,
-    interval: str = "1 minute", salts: int = 1,
+    interval: str = "1 minute",
 ) -> StreamingQuery:
     """Start the stream. A batch replaces its own partitions, so a replayed batch changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (
-            batch_partials(batch, dictionary, salts).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            batch_partials(batch, dictionary).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id", "event_month").parquet(path)
         )

@@ -6,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from edgeloom.functions import temporal
 from edgeloom.functions.sqlfuncs import register_sql_functions
 from edgeloom.operators import candidates, constraints, dimension, edges, facts, ids, intervals, pairs, reduction, samples, update, views
-from edgeloom.operators.dictionary import feed_a_dictionary, feed_b_dictionary, look_up
+from edgeloom.operators.dictionary import feed_a_dictionary, feed_b_dictionary, hot_names, look_up
 from edgeloom.sources import columns, readers, schemas, testfeed, writers
 from edgeloom.streaming import fuse
 
@@ -196,6 +197,33 @@ def test_pair_counts_match_brute_force_with_long_and_repeated_intervals(spark):
     assert got == want and all(sum(v[k] for v in want.values()) for k in pairs.RELATION_KINDS)
 
 
+def test_damaged_intervals_cost_little(spark):
+    """Intervals from year 1 to 9999 among others: counts as by brute force, a few nodes for each, no month of theirs as a row."""
+    rng = random.Random(5)
+    months = lambda: sorted((rng.randrange(12, 120000), rng.randrange(12, 120000)))
+    rows = [("s", rng.choice("OP"), rng.choice(["03", "06", "17"]), *rng.choice([(12, 119999), months(), (500, 500), (500 + rng.randrange(40), 560)])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "subject_org_id string, object_org_id string, relation_type string, start_no int, end_no int")
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1:]:
+            if x[:2] == y[:2] and x[2] != y[2]:
+                a, b = (x, y) if x[2] < y[2] else (y, x)
+                want.setdefault((*a[:2], a[2], b[2]), dict.fromkeys(pairs.RELATION_KINDS, 0))[brute_kind(a[3:], b[3:])] += 1
+    got = {(r.subject_org_id, r.object_org_id, r.relation_a, r.relation_b): {k: r[f"{k}_count"] for k in pairs.RELATION_KINDS} for r in pairs.pair_counts(df).collect()}
+    assert got == want
+    noded = df.withColumn("nodes", temporal.dyadic_nodes("start_no", "end_no"))
+    assert noded.agg(F.max(F.size("nodes"))).first()[0] <= 2 * 17
+    one = noded.select("start_no", "end_no", temporal.node_levels("nodes").alias("levels"), F.explode("nodes").alias("node")).where("start_no = end_no")
+    assert one.where("levels <> 1 or node <> start_no").isEmpty() and not one.isEmpty()
+
+
+def test_dyadic_nodes_cover_each_month_once(spark):
+    df = spark.range(40).select(F.col("id").alias("s")).crossJoin(spark.range(40).select(F.col("id").alias("e"))).where("s <= e").crossJoin(spark.range(42).select(F.col("id").alias("m")))
+    nodes = temporal.dyadic_nodes("s", "e")
+    met = F.size(F.array_intersect(nodes, temporal.dyadic_ancestors("m", temporal.node_levels(nodes))))
+    assert df.where(met != F.col("m").between(F.col("s"), F.col("e")).cast("int")).isEmpty()
+
+
 def test_merge_is_idempotent(spark):
     rows = [("s", "03", "o", m, m) for m in (1, 2, 3, 7, 8, 12)] + [("s", "03", "o", 2, 5)]
     df = spark.createDataFrame(rows, "subject_org_id string, relation_type string, object_org_id string, start_no int, end_no int")
@@ -260,11 +288,37 @@ def test_dense_ids_follow_the_order(spark):
     assert sorted((r.v, r.n) for r in got) == [(i, f"N_{i + 1:04d}") for i in range(1000)]
 
 
-def test_salted_lookup_equals_plain(spark):
-    events = spark.range(500).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("N"), F.col("id") % 50)).alias("k"), "id")
+def test_hot_names_are_found_and_looked_up_apart(spark):
+    events = spark.range(500).select(F.when(F.col("id") % 3 == 0, "HOT").when(F.col("id") % 3 == 1, "LOST").otherwise(F.concat(F.lit("N"), F.col("id") % 50)).alias("k"), "id")
+    events = events.unionByName(spark.createDataFrame([(None, 1000)], "k string, id bigint"))
     table = spark.createDataFrame([("HOT", "o1", "h")] + [(f"N{i}", f"o{i}", "c") for i in range(40)], "name_key string, org_id string, canonical_name string")
-    plain, salted = (look_up(events, table, "k", "x", "left", s) for s in (1, 8))
-    assert plain.exceptAll(salted).isEmpty() and salted.exceptAll(plain).isEmpty()
+    hot = hot_names(events, "k")["k"]
+    assert sorted(hot) == ["HOT", "LOST"] and hot_names(events.limit(0), "k") == {"k": []}
+    for how in ("left", "inner"):
+        plain, apart = look_up(events, table, "k", "x", how), look_up(events, table, "k", "x", how, hot)
+        assert plain.count() > 100 and plain.exceptAll(apart).isEmpty() and apart.exceptAll(plain).isEmpty()
+
+
+def test_a_hot_name_burdens_no_task(spark, tmp_path):
+    """One name on 30 % of the rows: no task of the facts has over twice the median."""
+    rows = spark.range(40000).select(
+        F.when(F.col("id") % 10 < 3, "Hot").otherwise(F.concat(F.lit("Name "), F.col("id") % 997)).alias("Source Name"), F.concat(F.lit("Name "), F.col("id") % 991).alias("Target Name"),
+        F.lit("2023-01-05").alias("Event Date"), F.lit("030").alias("CAMEO Code"))
+    rows.repartition(4).write.parquet(str(tmp_path / "feed"))
+    names = spark.range(997).select(F.concat(F.lit("o"), "id").alias("org_id"), F.concat(F.lit("Name "), "id").alias("canonical_name"))
+    orgs = names.unionByName(spark.createDataFrame([("hot", "Hot")], "org_id string, canonical_name string"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = {}
+        for spread in (True, False):
+            got = facts.event_facts(spark.read.parquet(str(tmp_path / "feed")), feed_a_dictionary(orgs), spread)
+            sizes[spread] = sorted(r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes[True]) == sum(sizes[False]) == 40000
+    assert sizes[True][-1] <= 2 * sizes[True][len(sizes[True]) // 2], sizes
 
 
 def test_dictionary_last_writer_and_blank_names(spark):
