@@ -725,5 +725,6 @@ def oracle_queries() -> dict[str, str]:
         "conflict_list": folded(f"SELECT month, subject_org_id, object_org_id, {coded_a} AS relation_a_label, {coded_b} AS relation_b_label, constraint_id FROM conf WHERE month IN ('1996-01', '1996-02') AND conflict_action = 'review'"),
         "stream_fuse": full("SELECT * FROM edges"),
         "stream_log": full(log),
+        "stream_new_keys": full(f"SELECT k.* FROM (SELECT {EDGE_KEY}, min(day) AS first_day, count(*) AS events FROM fbm WHERE reason = 'mapped' GROUP BY ALL) k ANTI JOIN seed USING ({EDGE_KEY})"),
     }
     return q

@@ -760,21 +760,23 @@ def conflict_list(spark, folder):
 
 # ---- stream ---------------------------------------------------------------------
 
-def _streamed(spark, folder):
-    """Line items as a stream of three files, each with rows of all months, fused file by file; returns the partial
-    table's path and the seed."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key in _STREAMS:
-        return _STREAMS[key]
+def _stream_of(spark, folder, batches):
+    """Line items as a stream of so many files, each with rows of all months, a file a batch; the graph's dictionary and seed."""
     source = testfeed.table(spark, folder, "lineitem")
     files = stage_path(spark, "feed")
-    source.repartition(3, "l_orderkey").write.parquet(files)
+    source.repartition(batches, "l_orderkey").write.parquet(files)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(files)
-    g = graph(spark, folder, fold=False, cut=False)
-    path = stage_path(spark, "stream")
-    events = testfeed.feed_b(spark, folder, lineitem=stream)
-    fuse.fuse_stream(events, g.b_dictionary, path, path + "-state").awaitTermination()
-    _STREAMS[key] = path, g.seed
+    return testfeed.feed_b(spark, folder, lineitem=stream), graph(spark, folder, fold=False, cut=False)
+
+
+def _streamed(spark, folder):
+    """The path of the table of partial counts after ten batches, and the seed."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STREAMS:
+        events, g = _stream_of(spark, folder, 10)
+        path = stage_path(spark, "stream")
+        fuse.fuse_stream(events, g.b_dictionary, path, path + "-state").awaitTermination()
+        _STREAMS[key] = path, g.seed
     return _STREAMS[key]
 
 
@@ -788,6 +790,14 @@ def stream_log(spark, folder):
     return fuse.stream_log(spark, path, seed)
 
 
+def stream_new_keys(spark, folder):
+    """Edges that the stream opened, from keyed state in the engine over ten batches with late rows in each."""
+    events, g = _stream_of(spark, folder, 10)
+    path = stage_path(spark, "keys")
+    fuse.first_keys_stream(events, g.b_dictionary, path, path + "-state").awaitTermination()
+    return fuse.new_keys(spark, path, g.seed).drop("first_batch")
+
+
 _NOT_QUERIES = {"graph", "check", "forget_stages", "found_candidates", "reviews", "found_actors", "raw_names", "proposals"}
 
 

@@ -38,7 +38,12 @@ def classified_events(events: DataFrame, dictionary: DataFrame, hot: Sequence[st
         .groupBy("day", "event_month", "Actor1Name", "Actor2Name", "EventCode", "EventRootCode")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    prepared = counted.select(
+    return classified(counted, dictionary, hot)
+
+
+def classified(rows: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+    """Org ids, relation and reason of rows with day, event_month, names, codes and n; nothing is grouped, so rows may be a stream."""
+    prepared = rows.select(
         "day", "event_month", "n",
         F.nullif(light_name("Actor1Name"), F.lit("")).alias("_subject_key"),
         F.nullif(light_name("Actor2Name"), F.lit("")).alias("_object_key"),

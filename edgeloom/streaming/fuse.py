@@ -1,69 +1,69 @@
 """Feed B as a stream: every micro-batch adds mergeable partial counts, and the edge table is their sum.
 
-Nothing is kept in a state store, so state does not grow with the keys. Counts,
-source sets and first days merge in any order, so late rows need no rule: they
-count wherever they arrive.
+Counts, source sets and first days merge in any order, so late rows need no rule: they count
+wherever they arrive. Partial counts lie in a log-structured table (`runs.MergeTable`): it
+stays small, and a replayed batch changes nothing. Which keys are new is known to the
+engine: `first_keys` keeps a row for each key in its state store, so no batch reads what
+came before it.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from edgeloom.constants import MIN_B_ONLY_EVENTS
+from edgeloom.functions.parse import sql_date_day, sql_date_month
 from edgeloom.operators import edges as E
 from edgeloom.operators.facts import KEY
+from edgeloom.streaming.runs import MergeTable
 
 PARTIAL_SCHEMA = T.StructType([
     T.StructField("subject_org_id", T.StringType()), T.StructField("object_org_id", T.StringType()),
-    T.StructField("relation_type", T.StringType()), T.StructField("day", T.StringType()),
-    T.StructField("reason", T.StringType()), T.StructField("n", T.LongType()),
+    T.StructField("event_month", T.StringType()), T.StructField("relation_type", T.StringType()),
+    T.StructField("day", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("n", T.LongType()),
     T.StructField("subject_canonical", T.StringType()), T.StructField("object_canonical", T.StringType()),
-    T.StructField("batch_id", T.LongType()), T.StructField("event_month", T.StringType()),
 ])
-NO_MONTH = "none"
+FIRST_SCHEMA = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in KEY], T.StructField("first_day", T.StringType()),
+    T.StructField("events", T.LongType()), T.StructField("first_batch", T.LongType()),
+])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def batch_partials(batch: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Counts of one batch per edge key, day and reason."""
-    return (
-        E.classified_events(batch, dictionary)
-        .groupBy(*KEY, "day", "reason")
-        .agg(F.sum("n").alias("n"), F.first("subject_canonical").alias("subject_canonical"), F.first("object_canonical").alias("object_canonical"))
-        .withColumn("event_month", F.when(F.col("event_month") == "", NO_MONTH).otherwise(F.col("event_month")))
-    )
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY, "day", "reason").agg(
+        F.sum("n").alias("n"), F.first("subject_canonical").alias("subject_canonical"), F.first("object_canonical").alias("object_canonical"))
+
+
+def partial_table(spark: SparkSession, path: str, fanout: int = 4) -> MergeTable:
+    """Counts per edge key, day and reason."""
+    return MergeTable(spark, path, PARTIAL_SCHEMA, _summed, fanout, sort="event_month")
 
 
 def fuse_stream(
     events: DataFrame, dictionary: DataFrame, path: str, checkpoint: str, available_now: bool = True,
-    interval: str = "1 minute",
+    interval: str = "1 minute", fanout: int = 4,
 ) -> StreamingQuery:
-    """Start the stream. A batch replaces its own partitions, so a replayed batch changes nothing."""
+    """Start the stream that adds the partial counts of each batch to the table in `path`."""
+    table = partial_table(events.sparkSession, path, fanout)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch_partials(batch, dictionary).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", "event_month").parquet(path)
-        )
+        table.add(E.classified_events(batch, dictionary), checkpoint, batch_id)
+
+    return _started(events.writeStream.foreachBatch(write), checkpoint, available_now, interval)
+
 
-    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.start()
+def _started(writer, checkpoint: str, available_now: bool, interval: str) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
     """All partial counts so far, as rows like those of classified_events."""
-    try:
-        rows = spark.read.schema(PARTIAL_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], PARTIAL_SCHEMA)
-    return rows
+    return partial_table(spark, path).read()
 
 
 def stream_edges(spark: SparkSession, path: str, seed: DataFrame, min_b_only: int = MIN_B_ONLY_EVENTS) -> DataFrame:
@@ -76,28 +76,64 @@ def stream_log(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
     return E.daily_log(seed, read_partials(spark, path))
 
 
-def batch_log(spark: SparkSession, path: str, seed: DataFrame, batch_id: int) -> DataFrame:
-    """Daily log of one batch: a key is new when neither the seed nor an earlier batch holds it."""
-    partials = read_partials(spark, path)
-    own = partials.where(F.col("batch_id") == batch_id).drop("batch_id")
-    earlier = partials.where((F.col("batch_id") < batch_id) & (F.col("reason") == "mapped")).select(*KEY)
-    known = seed.select(*KEY).unionByName(earlier).distinct()
-    flagged = known.withColumns({
-        "subject_name": F.lit(""), "object_name": F.lit(""), "event_count": F.lit(0), "icews_event_count": F.lit(0),
-        "gdelt_event_count": F.lit(0), "source_datasets": F.lit(""), "confidence": F.lit(0.0), "status": F.lit("active"),
-    })
-    return E.daily_log(flagged, own)
-
-
-def compact_partials(spark: SparkSession, path: str, target: str, up_to_batch: int) -> None:
-    """Sum all batches up to one into a fresh folder as a single batch; later batches are copied. Swap folders afterwards."""
-    rows = read_partials(spark, path)
-    merged = (
-        rows.withColumn("batch_id", F.greatest("batch_id", F.lit(up_to_batch).cast("bigint")))
-        .groupBy(*KEY, "day", "reason", "batch_id")
-        .agg(F.sum("n").alias("n"), F.first("subject_canonical").alias("subject_canonical"), F.first("object_canonical").alias("object_canonical"))
+def _first(rows: DataFrame) -> DataFrame:
+    """Totals only grow, so the largest is the last."""
+    return rows.groupBy(*KEY).agg(F.min("first_day").alias("first_day"), F.max("events").alias("events"), F.min("first_batch").alias("first_batch"))
+
+
+def first_table(spark: SparkSession, path: str, fanout: int = 4) -> MergeTable:
+    """First day, events and first batch per edge key."""
+    return MergeTable(spark, path, FIRST_SCHEMA, _first, fanout, sort="subject_org_id")
+
+
+def key_states(events: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The running state of the edge keys of a stream: first day, events, whether the key came with the batch at hand.
+
+    The engine keeps one row of numbers for each key and hands on those a batch touches. All
+    rows of a batch have the batch's time, so a key is new where its first and last are one.
+    A late row lowers the first day.
+    """
+    rows = events.select(
+        sql_date_day("SQLDATE").alias("day"), sql_date_month("SQLDATE").alias("event_month"),
+        "Actor1Name", "Actor2Name", "EventCode", "EventRootCode", F.lit(1).cast("bigint").alias("n"),
     )
-    merged.hint("rebalance", "batch_id", "event_month").write.mode("errorifexists").partitionBy("batch_id", "event_month").parquet(target)
+    usable = E.classified(rows, dictionary).where("reason = 'mapped'").withColumn("came", F.current_timestamp())
+    states = usable.groupBy(*KEY).agg(F.min("day").alias("first_day"), F.sum("n").alias("events"), F.min("came").alias("_from"), F.max("came").alias("_to"))
+    return states.select(*KEY, "first_day", "events", (F.col("_from") == F.col("_to")).alias("is_new"))
+
+
+def first_keys_stream(
+    events: DataFrame, dictionary: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+    interval: str = "1 minute", fanout: int = 4,
+) -> StreamingQuery:
+    """Start the stream that keeps the first day of every edge key, its state in RocksDB, below the checkpoint.
+
+    What a batch touches is added to the table in `path`. Of new keys the batch is kept.
+    """
+    spark = events.sparkSession
+    table = first_table(spark, path, fanout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("first_batch", F.when(F.col("is_new"), F.lit(batch_id).cast("bigint")))
+        table.add(rows.drop("is_new"), checkpoint, batch_id)
+
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)  # a query keeps the provider that it starts with
+    try:
+        return _started(key_states(events, dictionary).writeStream.outputMode("update").foreachBatch(write), checkpoint, available_now, interval)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def new_keys(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
+    """Edge keys that the stream opened: those of the table that the seed lacks."""
+    return first_table(spark, path).merge(first_table(spark, path).read()).join(seed.select(*KEY).distinct(), list(KEY), "left_anti")
+
+
+def batch_log(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
+    """Per batch and first day: the edges it opened. Reads only the table of first keys, none of the partial counts."""
+    return new_keys(spark, path, seed).groupBy("first_batch", F.col("first_day").alias("date")).agg(F.count(F.lit(1)).alias("new_edges"))
 
 
 def windowed_counts(events: DataFrame, date: str = "SQLDATE", delay: str = "2 days") -> DataFrame:
@@ -108,8 +144,3 @@ def windowed_counts(events: DataFrame, date: str = "SQLDATE", delay: str = "2 da
         .agg(F.count(F.lit(1)).alias("processed_events"))
         .select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "processed_events")
     )
-
-
-def new_keys(events: DataFrame, key: tuple[str, ...], time: str, delay: str) -> DataFrame:
-    """First row of each key inside the engine, as long as the watermark remembers it."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))

@@ -5,13 +5,15 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgeloom.functions import temporal
 from edgeloom.functions.sqlfuncs import register_sql_functions
 from edgeloom.operators import candidates, constraints, dimension, edges, facts, ids, intervals, pairs, reduction, samples, update, views
 from edgeloom.operators.dictionary import feed_a_dictionary, feed_b_dictionary, hot_names, look_up
-from edgeloom.sources import columns, readers, schemas, testfeed, writers
-from edgeloom.streaming import fuse
+from edgeloom.operators.facts import KEY
+from edgeloom.sources import columns, files, readers, schemas, testfeed, writers
+from edgeloom.streaming import fuse, runs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -336,6 +338,63 @@ def test_reduction_counts_and_missing_columns(spark, tmp_path):
     assert reduction.reduce_events(df, "any_org").count() == 3
 
 
+# ---- merge table ----------------------------------------------------------------
+
+def test_merge_table_stays_small_and_whole(spark, tmp_path):
+    """Thirty batches of two streams: sums, a logarithm of runs, old versions still read, replays and empty batches change nothing."""
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
+    table = runs.MergeTable(spark, str(tmp_path / "t"), schema, lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), fanout=3, keep=4)
+    assert table.read().count() == 0
+    want = {}
+    for batch in range(15):
+        for stream in ("a", "b"):
+            rows = [(f"k{batch % 4}", 1), ("all", batch)] if batch != 7 else []
+            assert table.add(spark.createDataFrame(rows, schema), stream, batch)
+            for k, n in rows:
+                want[k] = want.get(k, 0) + n
+        version = table.version()
+        assert not table.add(spark.createDataFrame([("all", 1000)], schema), "a", batch) and not table.add(spark.createDataFrame([("x", 1)], schema), "b", 0)
+        assert table.version() == version and len(version["runs"]) <= 2 * 4
+    folded = lambda rows: {r.k: r.n for r in table.merge(rows).collect()}
+    assert folded(table.read()) == want
+    older = table.version()["number"] - 2  # before the last batch of both streams
+    assert folded(table.read(older)) == {k: n - (2 if k == "k2" else 28 if k == "all" else 0) for k, n in want.items()}
+    assert len(files.names_in(spark, f"{table.path}/versions")) == 4
+    named = {r["folder"] for v in range(4) for r in table.version(table.version()["number"] - v)["runs"]}
+    assert set(files.names_in(spark, f"{table.path}/runs")) == named and table.sweep() == 0
+
+
+def test_merge_table_survives_a_lost_commit(spark, tmp_path, monkeypatch):
+    """A writer that is overtaken goes on from the newer version; one that dies before its commit leaves nothing to see."""
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
+    table = runs.MergeTable(spark, str(tmp_path / "t"), schema, lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), fanout=2)
+    row = spark.createDataFrame([("x", 1)], schema)
+    table.add(row, "a", 0)
+    real, calls = runs.put_new, []
+
+    def overtaken(session, path, text):
+        calls.append(path)
+        if len(calls) == 1:
+            monkeypatch.setattr(runs, "put_new", real)
+            table.add(row, "b", 0)
+            monkeypatch.setattr(runs, "put_new", overtaken)
+        return real(session, path, text)
+
+    monkeypatch.setattr(runs, "put_new", overtaken)
+    assert table.add(row, "a", 1) and len(calls) == 2
+
+    def dies(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(runs, "put_new", dies)
+    with pytest.raises(OSError, match="gone"):
+        table.add(row, "a", 2)
+    monkeypatch.setattr(runs, "put_new", real)
+    assert table.read().agg(F.sum("n")).first()[0] == 3 and table.sweep() >= 1
+    assert table.add(row, "a", 2) and table.read().agg(F.sum("n")).first()[0] == 4
+    assert not files.put_new(spark, f"{table.path}/versions/{1:012d}", "{}")
+
+
 # ---- stream = batch -------------------------------------------------------------
 
 def test_stream_replay_equals_batch_with_a_late_file(spark, tmp_path):
@@ -346,17 +405,43 @@ def test_stream_replay_equals_batch_with_a_late_file(spark, tmp_path):
     for months in ("SQLDATE < '19960201'", "SQLDATE >= '19960301'", "SQLDATE between '19960201' and '19960231'"):
         feed.where(months).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(feed.schema).parquet(source)
-        fuse.fuse_stream(stream, b, parts, state).awaitTermination()
+        fuse.fuse_stream(stream, b, parts, state, fanout=2).awaitTermination()
     classified = edges.classified_events(feed, b)
     batch, streamed = edges.fused_edges(seed, classified), fuse.stream_edges(spark, parts, seed)
     assert batch.count() > 100 and batch.exceptAll(streamed).isEmpty() and streamed.exceptAll(batch).isEmpty()
+    before = fuse.partial_table(spark, parts).version()
+    assert not fuse.partial_table(spark, parts).add(classified, state, 1) and fuse.partial_table(spark, parts).version() == before
     log, slog = edges.daily_log(seed, classified), fuse.stream_log(spark, parts, seed)
     assert log.exceptAll(slog).isEmpty() and slog.exceptAll(log).isEmpty()
-    per_batch = [fuse.batch_log(spark, parts, seed, i).agg(F.sum("new_edges")).first()[0] or 0 for i in range(3)]
-    assert sum(per_batch) == log.agg(F.sum("new_edges")).first()[0]
-    fuse.compact_partials(spark, parts, str(tmp_path / "small"), 1)
-    compacted = fuse.stream_edges(spark, str(tmp_path / "small"), seed)
-    assert compacted.exceptAll(batch).isEmpty() and batch.exceptAll(compacted).isEmpty()
+    assert [r["batches"] for r in before["runs"]] == [2, 1]  # the first two batches were merged on the way
+
+
+def test_first_keys_of_a_stream(spark, tmp_path):
+    """Late rows lower the first day, the state has a row for each key, batches open what the keys before them lack."""
+    source, out, state = (str(tmp_path / n) for n in ("in", "keys", "state"))
+    feed = testfeed.feed_b(spark, SMALL, fold=True).drop("event_seq")
+    b = feed_b_dictionary(testfeed.organizations(spark, SMALL))
+    seed = facts.seed_edges(testfeed.feed_a(spark, SMALL, fold=True), feed_a_dictionary(testfeed.organizations(spark, SMALL), testfeed.aliases(spark, SMALL)))
+    parts = [feed.where(F.pmod(F.xxhash64("SQLDATE", "EventCode"), F.lit(3)) == k) for k in range(3)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+        query = fuse.first_keys_stream(spark.readStream.schema(feed.schema).parquet(source), b, out, state)
+        query.awaitTermination()
+    rows = edges.classified_events(feed, b).where("reason = 'mapped'")
+    want = {tuple(r)[:4]: (r.first_day, r.events) for r in rows.groupBy(*KEY).agg(F.min("day").alias("first_day"), F.sum("n").alias("events")).collect()}
+    opened = {tuple(r)[:4]: (r.first_day, r.events) for r in fuse.new_keys(spark, out, seed.limit(0)).collect()}
+    assert opened == want and query.lastProgress.stateOperators[0].numRowsTotal == len(want)
+    known, batches = set(), {}
+    for k, part in enumerate(parts):
+        own = {tuple(r) for r in edges.classified_events(part, b).where("reason = 'mapped'").select(*KEY).collect()}
+        batches[k], known = len(own - known), known | own
+    log = fuse.batch_log(spark, out, seed.limit(0)).groupBy("first_batch").agg(F.sum("new_edges").alias("n"))
+    assert {r.first_batch: r.n for r in log.collect()} == {k: n for k, n in batches.items() if n}
+    daily = edges.daily_log(seed, edges.classified_events(feed, b)).where("new_edges > 0").select("date", "new_edges")
+    opened_by_day = fuse.batch_log(spark, out, seed).groupBy("date").agg(F.sum("new_edges").alias("new_edges"))
+    assert daily.exceptAll(opened_by_day).isEmpty() and opened_by_day.exceptAll(daily).isEmpty()
+    assert fuse.new_keys(spark, out, seed).count() == len(set(want) - {tuple(r) for r in seed.select(*KEY).collect()})
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != fuse.ROCKSDB
 
 
 def test_sql_functions_register(spark):
@@ -365,7 +450,7 @@ def test_sql_functions_register(spark):
     assert tuple(row) == ("07", "05", "POLICE", "contains")
 
 
-def test_windowed_counts_and_new_keys_run_as_a_stream(spark, tmp_path):
+def test_windowed_counts_run_as_a_stream(spark, tmp_path):
     rows = [("20230101", "a"), ("20230101", "b"), ("20230105", "a"), ("bad", "a"), ("20230110", "c")]
     df = spark.createDataFrame(rows, "SQLDATE string, k string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
