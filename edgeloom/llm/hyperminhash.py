@@ -8,12 +8,12 @@ banded, what shares a band is a candidate, the share of equal registers less the
 accidental ones estimates the similarity, and the sets themselves decide.
 
 Documents of the same set are one class. In a band, members are not compared in all pairs:
-each class is first asked of the smallest it meets, which gathers most of a family. Then
-bands whose members are still in several components get pivots, in growing numbers, each
-compared with the members of other components. A pivot is done with its band afterwards; a
-band ends when all that is left in it is one component. So every pair of a band is asked or
-already connected. Pairs at the threshold share no band with a chance of
-(1 - 0.8 ** ROWS) ** BANDS, 5 in 10 million; nothing else is lost.
+each class is first asked of the smallest it meets, which gathers most of a family. Of bands
+whose members are then in several components, those outside the largest are compared with
+all of it, and in the end with each other, in blocks of bounded size (see `blocks`): the sets
+with those of the component, the sketches with each other, and what doesn't match makes no
+row. So every pair of a band is compared or connected already. Pairs at the threshold share
+no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 5 in 10 million; nothing else is lost.
 
 Shingles are compared by 64-bit hashes. A long text is one row of 8 bytes a shingle.
 
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.blocks import linked_to_components, squares
 from edgeloom.llm.common import id_and_text, ship_package, text_key
 from edgeloom.llm.components import components
 from edgeloom.session import cut_lineage
@@ -44,8 +45,6 @@ MANTISSA = 10
 COLLISIONS = 0.169919487159739093975315012348
 #: How far an estimate may lie below the threshold: about eight standard deviations, for sets of a few shingles too.
 SLACK = 0.2
-#: Pivots of a band in the first round; each round has four times as many.
-PIVOTS = 2
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDS: dict[bytes, int] = {}
 
@@ -130,20 +129,48 @@ def sketched(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(each, "doc_id bigint, key bigint, n_shingles bigint, fp string, sketch binary, bands array<bigint>")
 
 
+def similar_sketches(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches, of sets of n and m shingles, and sizes allow the similarity."""
+    accidental = COLLISIONS * BUCKETS / 2**MANTISSA * 4 * n * m / (n + m) ** 2
+    near = ((x == y).sum(axis=-1) - accidental) / BUCKETS >= percent / 100 - SLACK
+    return near & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes those whose sketches and sizes allow the similarity."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), BUCKETS) for c in ("x", "y"))
-                n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("n", "m"))
-                accidental = COLLISIONS * BUCKETS / 2**MANTISSA * 4 * n * m / (n + m) ** 2
-                similarity = ((x == y).sum(axis=1) - accidental) / BUCKETS
-                yield batch.select(["a", "b"]).filter(pa.array(similarity >= percent / 100 - SLACK))
+            n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("n", "m"))
+            yield batch.select(["a", "b"]).filter(pa.array(similar_sketches(_sketches(batch.column("x")), _sketches(batch.column("y")), n, m, percent), pa.bool_()))
 
     one, other = (classes.select(F.col("class").alias(c), F.col("sketch").alias(s), F.col("n_shingles").alias(n)) for c, s, n in (("a", "x", "n"), ("b", "y", "m")))
-    sized = pairs.join(one, "a").join(other, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    return sized.mapInArrow(each, "a bigint, b bigint")
+    return pairs.join(one, "a").join(other, "b").mapInArrow(each, "a bigint, b bigint")
+
+
+def estimated_within(left: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band of `left` (band, place, class) and whose sketches and sizes
+    allow the similarity; each from the first band that the two have in common."""
+    def compare(block: pa.Table) -> pa.Table:
+        side, place = block.column("half").to_numpy(), block.column("place").to_numpy()[0]
+        names, own, n = (block.column(c).to_numpy() for c in ("class", "own", "n_shingles"))
+        sketches, found = _sketches(block.column("sketch")), [np.zeros((0, 2), np.int64)]
+        within = block.column("row")[0] == block.column("column")[0]
+        for k in range(len(names)) if within else np.flatnonzero(side == 0).tolist():
+            rest = slice(k + 1, None) if within else np.flatnonzero(side == 1)
+            equal = sketches[rest] == sketches[k]
+            first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == place
+            near = similar_sketches(sketches[rest], sketches[k], n[rest].astype(np.float64), float(n[k]), percent)
+            others = names[rest][first & near & (own[rest] != own[k])]
+            found.append(np.stack([np.minimum(others, names[k]), np.maximum(others, names[k])], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    named = left.join(labels, "class", "left").withColumn("own", F.coalesce("component", "class")).join(classes.select("class", "sketch", "n_shingles"), "class")
+    return squares(named, ["band"], "class").groupBy("band", "row", "column").applyInArrow(compare, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,8 +208,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _meetings(classes: DataFrame) -> DataFrame:
-    """(band, class, first): classes that are not alone in a band, with the smallest there."""
-    placed = classes.select("class", F.explode("bands").alias("band"))
+    """(band, place, class, first): classes that are not alone in a band, with the smallest there; `place` is the band's number."""
+    placed = classes.select("class", F.posexplode("bands").alias("place", "band"))
     shared = cut_lineage(placed.groupBy("band").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last").select("band", "first"))
     return cut_lineage(placed.join(shared, "band"))
 
@@ -194,33 +221,20 @@ def _connected(met: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
     asked = cut_lineage(met.groupBy("class").agg(F.min("first").alias("a")).where("a < class").select("a", F.col("class").alias("b")))
     labels = components(linked(asked)).select(F.col("node").alias("class"), "component")
-    left, pivots, seed = met.select("band", "class"), PIVOTS, 0
-    while True:
-        left, pairs = _round(left, labels, pivots, seed)
-        if pairs.isEmpty():
-            return labels
-        pairs = cut_lineage(pairs.join(asked, ["a", "b"], "left_anti"))
-        asked = asked.unionByName(pairs)
-        labels = cut_lineage(_joined(labels, linked(pairs)))
-        pivots, seed = pivots * 4, seed + 1
-
-
-def _round(left: DataFrame, labels: DataFrame, pivots: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """What is left of bands in several components without their pivots, and the pairs of pivots with members of other components.
-
-    Pivots are a few of the largest component, so that others find it, more of the rest, and
-    always one of the smallest component. They are drawn by hash, so no band is sorted.
-    """
-    named = left.join(labels, "class", "left").select("band", "class", F.coalesce("component", "class").alias("own"))
-    groups = named.groupBy("band", "own").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"))
-    bands = groups.groupBy("band").agg(
-        F.max(F.struct("n", "own")).alias("large"), F.min(F.struct("n", "own", "low")).alias("small"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    drawn = F.pmod(F.xxhash64("class", F.lit(seed)), F.when(F.col("own") == F.col("large.own"), F.col("large.n")).otherwise(F.col("all") - F.col("large.n")))
-    many = F.when(F.col("own") == F.col("large.own"), min(pivots, 8)).otherwise(pivots)
-    mixed = cut_lineage(named.join(bands, "band").select("band", "class", "own", ((drawn < many) | (F.col("class") == F.col("small.low"))).alias("pivot")))
-    centres = mixed.where("pivot").select("band", F.col("class").alias("p"), F.col("own").alias("side"))
-    pairs = cut_lineage(mixed.join(centres, "band").where("own <> side").select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct())
-    return mixed.where("not pivot").select("band", "class"), pairs
+    for _ in range(2):  # once more, as components have grown
+        left, outside = _outside(met, labels)
+        labels = cut_lineage(_joined(labels, cut_lineage(linked_to_components(outside, labels, sets, percent))))
+    apart = cut_lineage(estimated_within(left, labels, classes, percent)).join(asked, ["a", "b"], "left_anti")
+    return cut_lineage(_joined(labels, cut_lineage(confirmed(apart, sets, percent))))
+
+
+def _outside(met: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, place, class) of those outside the largest component of a band, and (class, component) with that component."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    named = met.join(labels.join(sizes, "component"), "class", "left").select("band", "place", "class", F.coalesce("component", "class").alias("own"), F.coalesce("n", F.lit(1)).alias("n"))
+    large = named.groupBy("band").agg(F.max(F.struct("n", "own")).alias("large"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+    others = cut_lineage(named.join(large.select("band", F.col("large.own").alias("large")), "band").where("own <> large").select("band", "place", "class", "large"))
+    return others.select("band", "place", "class"), others.select("class", F.col("large").alias("component")).distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
