@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.components import components
 from edgeloom.session import cut_lineage
 
 CHUNK = 512
@@ -77,3 +78,25 @@ def _links(members: pa.Table, asked: pa.Table, percent: int):
         hit = [k for k in hit.tolist() if names[k] != name]
         if hit:
             yield min(name, names[hit[0]]), max(name, names[hit[0]])
+
+
+def outside(met: DataFrame, labels: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of `met` (with class) outside the largest component of their group, and (class, component) with that component.
+
+    Groups of one component are left out. `labels` has the component of each class that isn't its own.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    named = met.join(labels.join(sizes, "component"), "class", "left").select(*met.columns, F.coalesce("component", "class").alias("own"), F.coalesce("n", F.lit(1)).alias("n"))
+    large = named.groupBy(group).agg(F.max(F.struct("n", "own")).alias("large"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+    others = cut_lineage(named.join(large.select(group, F.col("large.own").alias("large")), group).where("own <> large").select(*met.columns, "large"))
+    return others.select(*met.columns), others.select("class", F.col("large").alias("component")).distinct()
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (class, component) after more links (a, b) of classes, as a stage table."""
+    one, other = (labels.select(F.col("class").alias(c), F.col("component").alias(o)) for c, o in (("a", "x"), ("b", "y")))
+    between = cut_lineage(links.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    moved = components(between)
+    new = between.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(labels.select("class"), "class", "left_anti").withColumn("component", F.col("class"))
+    known = labels.unionByName(new)
+    return cut_lineage(known.join(moved, known["component"] == moved["node"], "left").select("class", F.coalesce(moved["component"], known["component"]).alias("component")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.blocks import linked_to_components, squares
+from edgeloom.llm.blocks import joined, linked_to_components, outside, squares
 from edgeloom.llm.common import id_and_text, ship_package, text_key
 from edgeloom.llm.components import components
 from edgeloom.session import cut_lineage
@@ -222,28 +222,10 @@ def _connected(met: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     asked = cut_lineage(met.groupBy("class").agg(F.min("first").alias("a")).where("a < class").select("a", F.col("class").alias("b")))
     labels = components(linked(asked)).select(F.col("node").alias("class"), "component")
     for _ in range(2):  # once more, as components have grown
-        left, outside = _outside(met, labels)
-        labels = cut_lineage(_joined(labels, cut_lineage(linked_to_components(outside, labels, sets, percent))))
+        left, others = outside(met.drop("first"), labels, "band")
+        labels = joined(labels, cut_lineage(linked_to_components(others, labels, sets, percent)))
     apart = cut_lineage(estimated_within(left, labels, classes, percent)).join(asked, ["a", "b"], "left_anti")
-    return cut_lineage(_joined(labels, cut_lineage(confirmed(apart, sets, percent))))
-
-
-def _outside(met: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(band, place, class) of those outside the largest component of a band, and (class, component) with that component."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    named = met.join(labels.join(sizes, "component"), "class", "left").select("band", "place", "class", F.coalesce("component", "class").alias("own"), F.coalesce("n", F.lit(1)).alias("n"))
-    large = named.groupBy("band").agg(F.max(F.struct("n", "own")).alias("large"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
-    others = cut_lineage(named.join(large.select("band", F.col("large.own").alias("large")), "band").where("own <> large").select("band", "place", "class", "large"))
-    return others.select("band", "place", "class"), others.select("class", F.col("large").alias("component")).distinct()
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after more links."""
-    one, other = (labels.select(F.col("class").alias(c), F.col("component").alias(o)) for c, o in (("a", "x"), ("b", "y")))
-    between = cut_lineage(links.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-    moved = components(between)
-    known = labels.unionByName(between.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(labels.select("class"), "class", "left_anti").withColumn("component", F.col("class")))
-    return known.join(moved, known["component"] == moved["node"], "left").select("class", F.coalesce(moved["component"], known["component"]).alias("component"))
+    return joined(labels, cut_lineage(confirmed(apart, sets, percent)))
 
 
 def kept_documents(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -34,6 +34,8 @@ ORDERS = (2, 3, 4)
 #: Expected number of training rows the support vectors are fitted on, and of rows for calibration.
 SAMPLE = 8_000
 CALIBRATION = 4_000
+#: The sample comes to the driver in so many pieces.
+PIECES = 8
 COST = 1.0
 EPOCHS = 15
 #: Share of the fitted weights; the rest is their mean size, as naive Bayes alone would have it.
@@ -143,9 +145,16 @@ def sampled(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
             found = [features(t, seen).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["place", "doc_id", "label", "found"])
 
-    got = chosen.select("place", "doc_id", "label", "text").mapInArrow(each, "place bigint, doc_id bigint, label int, found binary").toArrow()
-    got = got.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
-    return [np.frombuffer(x.as_py(), "<u4") for x in got["found"]], np.where(got["label"].to_numpy() == 1, 1.0, -1.0)
+    stored = cut_lineage(chosen.select("place", "doc_id", "label", "text").mapInArrow(each, "place bigint, doc_id bigint, label int, found binary"))
+    keys, rows_of = [], []
+    for k in range(PIECES):  # the driver holds one copy of the sample, and a piece of it
+        got = stored.where(F.pmod(F.xxhash64("place"), F.lit(PIECES)) == k).toArrow()
+        flat = np.frombuffer(b"".join(got["found"].to_pylist()), "<u4")
+        ends = np.cumsum([0, *(len(x.as_py()) // 4 for x in got["found"])])
+        rows_of += [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        keys += zip(*(got[c].to_pylist() for c in ("place", "doc_id", "label")), strict=True)
+    order = sorted(range(len(keys)), key=lambda i: (*keys[i], rows_of[i].tobytes()))
+    return [rows_of[i] for i in order], np.array([1.0 if keys[i][2] == 1 else -1.0 for i in order])
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.llm.blocks import joined, linked_to_components, outside, squares
 from edgeloom.llm.common import id_and_text, text_key
 from edgeloom.llm.components import components
 from edgeloom.session import cut_lineage
@@ -84,9 +85,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(close).select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def _named(found: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds component_id and root, which is unique for each component, to `found`. `prints` has each fp of it once, with the `least` doc_id."""
-    groups = components(edges)
+def _named(found: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds component_id and root, which is unique for each component, to `found`. `prints` has each fp of it once, with the `least` doc_id; `groups` the component of a node."""
     rooted = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.join(rooted.join(names, "root").select("fp", "root", "component_id"), "fp")
@@ -96,7 +96,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """doc_id, key, fp and component_id, the smallest doc_id that links reach."""
     found = cut_lineage(fingerprints(docs, words))
     prints = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return _named(found, prints, links(prints, radius))
+    return _named(found, prints, components(links(prints, radius)))
 
 
 @dataclass(frozen=True)
@@ -171,39 +171,51 @@ def part_fingerprints(docs: DataFrame, scheme: Parts) -> DataFrame:
     return texts.mapInArrow(each, "doc_id bigint, key bigint, parts array<bigint>, fp bigint")
 
 
-def part_links(prints: DataFrame, scheme: Parts, docs: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints that meet in a part and agree on the whole.
+def part_links(prints: DataFrame, scheme: Parts) -> DataFrame:
+    """All pairs (a, b) of fingerprints that meet in a part and agree on the whole."""
+    return _agreeing(_meetings(prints, scheme).select("variant", F.col("fp").alias("class")), None, prints, scheme)
 
-    With `docs`, whose text with the key `least_key` each fp stands for, sets of shingles must agree too.
 
-    Meeting in one part doesn't prove closeness. So what meets is first asked of the smallest
-    fp on the variant, which connects most; then all members of a variant that are in
-    different components are asked of each other, so none stays unchecked because the
-    smallest was a stranger to it. Members of one component are never asked in all pairs.
+def part_components(prints: DataFrame, scheme: Parts, docs: DataFrame) -> DataFrame:
+    """(node, component) of what is linked: fingerprints that meet in a part, agree on the whole and stand for similar sets.
+
+    `prints` has fp, parts and least_key, the key of a text of that fingerprint in `docs`.
+    Meeting in one part doesn't prove closeness. So each is first asked of the smallest fp it
+    meets, which gathers most of a family. On variants that still hold several components,
+    those outside the largest are compared with all of it, and in the end with each other, in
+    blocks of bounded size that return what agrees (`blocks`). So none stays unchecked because
+    the smallest was a stranger to it, and members of one component are never asked in all pairs.
     """
+    percent = round(100 * scheme.similarity)
     met = cut_lineage(_meetings(prints, scheme))
-    stars = _agree(met.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct(), prints, scheme)
-    stars = cut_lineage(stars if docs is None else similar_pairs(stars, prints, docs, scheme))
-    rest = _unasked(met, components(stars), prints, scheme)
-    return stars.unionByName(cut_lineage(rest if docs is None else similar_pairs(rest, prints, docs, scheme)))
-
-
-def similar_pairs(pairs: DataFrame, prints: DataFrame, docs: DataFrame, scheme: Parts) -> DataFrame:
-    """Of the pairs (a, b) those whose sets of shingle hashes have the similarity, by exact Jaccard."""
-    pairs = cut_lineage(pairs)
-    texts = prints.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("fp", F.col("least_key").alias("key"))
-
+    sets = cut_lineage(shingle_sets(prints.join(met.select("fp").distinct(), "fp", "left_semi"), docs, scheme))
+    asked = met.groupBy("fp").agg(F.min("first").alias("a")).where("a < fp").select("a", F.col("fp").alias("b"))
+    labels = components(similar_pairs(_agree(asked, prints, scheme), sets, percent)).withColumnRenamed("node", "class")
+    placed = met.select("variant", F.col("fp").alias("class"))
+    for _ in range(2):  # once more, as components have grown
+        left, others = outside(placed, labels, "variant")
+        labels = joined(labels, cut_lineage(linked_to_components(others, labels, sets, percent)))
+    labels = joined(labels, cut_lineage(similar_pairs(_agreeing(left, labels, prints, scheme), sets, percent)))
+    return labels.withColumnRenamed("class", "node")
+
+
+def shingle_sets(prints: DataFrame, docs: DataFrame, scheme: Parts) -> DataFrame:
+    """class (the fp) and its distinct shingle hashes."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, scheme.words).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], names=["class", "shingles"])
+
+    wanted = prints.select("fp", F.col("least_key").alias("key"))
+    own = id_and_text(docs).withColumn("key", text_key(F.col("text"))).join(wanted, "key").dropDuplicates(["fp"]).select("fp", "text")
+    return own.mapInArrow(each, "class bigint, shingles array<bigint>")
 
-    own = id_and_text(docs).withColumn("key", text_key(F.col("text"))).join(texts, "key").dropDuplicates(["fp"]).select("fp", "text")
-    sets = cut_lineage(own.mapInArrow(each, "fp bigint, shingles array<bigint>"))
-    one, other = (sets.select(F.col("fp").alias(n), F.col("shingles").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sets of shingle hashes have the similarity, by exact Jaccard. Sets grow with the data, so they are never broadcast."""
+    one, other = (sets.select(F.col("class").alias(n), F.col("shingles").alias(v)).hint("merge") for n, v in (("a", "x"), ("b", "y")))
     common = F.size(F.array_intersect("x", "y"))
-    similarity = common / (F.size("x") + F.size("y") - common)
-    return pairs.join(one, "a").join(other, "b").where(similarity >= scheme.similarity).select("a", "b")
+    return pairs.join(one, "a").join(other, "b").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
 def _meetings(prints: DataFrame, scheme: Parts) -> DataFrame:
@@ -217,37 +229,45 @@ def _meetings(prints: DataFrame, scheme: Parts) -> DataFrame:
 
 def _agree(asked: DataFrame, prints: DataFrame, scheme: Parts) -> DataFrame:
     """Of the pairs (a, b) those that agree on the whole."""
-    one, other = prints.select(F.col("fp").alias("a"), F.col("parts").alias("x")), prints.select(F.col("fp").alias("b"), F.col("parts").alias("y"))
+    one, other = (prints.select(F.col("fp").alias(n), F.col("parts").alias(v)).hint("merge") for n, v in (("a", "x"), ("b", "y")))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
     return asked.join(one, "a").join(other, "b").where(apart <= scheme.most).select("a", "b")
 
 
-def _unasked(met: DataFrame, groups: DataFrame, prints: DataFrame, scheme: Parts) -> DataFrame:
-    """Pairs (a, b) on one variant, in different components and within the limit; those with the smallest fp have been asked."""
-    named = met.where("fp <> first").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("variant", "fp", F.coalesce("component", "fp").alias("own"))
-    same = Window.partitionBy("variant")
-    mixed = named.withColumn("low", F.min("own").over(same)).withColumn("high", F.max("own").over(same)).where("low < high").select("variant", "fp", "own")
-    held = mixed.join(prints.select("fp", "parts"), "fp").groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("fp", "own", "parts"))).alias("held"))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.column("held"):
-                fp, own = (row.values.field(k).to_numpy() for k in (0, 1))
-                parts = row.values.field(2).flatten().to_numpy().reshape(len(fp), -1)
-                for k in range(len(fp) - 1):
-                    near = (np.bitwise_count(parts[k + 1 :] ^ parts[k]).sum(axis=1) <= scheme.most) & (own[k + 1 :] != own[k])
-                    b = fp[k + 1 :][near]
-                    if len(b):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), fp[k])), pa.array(b)], names=["a", "b"])
+def _agreeing(left: DataFrame, labels: DataFrame | None, prints: DataFrame, scheme: Parts) -> DataFrame:
+    """Pairs (a, b) of different components on a variant of `left` (variant, class) that agree on the whole.
 
-    return held.select("held").distinct().mapInArrow(pairs, "a bigint, b bigint").distinct()
+    Two fingerprints can meet on many variants: the pair comes from the first part they meet
+    in, from the smaller of the values between theirs.
+    """
+    def compare(block: pa.Table) -> pa.Table:
+        side, variant = block.column("half").to_numpy(), int(block.column("variant")[0].as_py())
+        names, own = block.column("class").to_numpy(), block.column("own").to_numpy()
+        parts, found = block.column("parts").combine_chunks().flatten().to_numpy().reshape(len(names), -1), [np.zeros((0, 2), np.int64)]
+        part, value = variant >> 48, variant & ((1 << 48) - 1)
+        within = block.column("row")[0] == block.column("column")[0]
+        for k in range(len(names)) if within else np.flatnonzero(side == 0).tolist():
+            rest = slice(k + 1, None) if within else np.flatnonzero(side == 1)
+            differ = parts[rest] ^ parts[k]
+            apart = np.bitwise_count(differ)
+            one = differ[:, part] & -differ[:, part]
+            between = np.minimum(parts[rest][:, part] ^ one, parts[k, part] ^ one)
+            here = ((apart <= scheme.radius).argmax(axis=1) == part) & (between == value)
+            others = names[rest][here & (apart.sum(axis=1) <= scheme.most) & (own[rest] != own[k])]
+            found.append(np.stack([np.minimum(others, names[k]), np.maximum(others, names[k])], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    named = left.withColumn("own", F.col("class")) if labels is None else left.join(labels, "class", "left").select("variant", "class", F.coalesce("component", "class").alias("own"))
+    rows = named.join(prints.select(F.col("fp").alias("class"), "parts").hint("merge"), "class")
+    return squares(rows, ["variant"], "class").groupBy("variant", "row", "column").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates_by_parts(docs: DataFrame, scheme: Parts) -> DataFrame:
     """doc_id, key, fp, root (of the component) and component_id, of fingerprints in parts."""
     found = cut_lineage(part_fingerprints(docs, scheme))
     prints = cut_lineage(found.groupBy("fp", "parts").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key")))
-    return _named(found.drop("parts"), prints.select("fp", "least"), part_links(prints.drop("least"), scheme, docs))
+    return _named(found.drop("parts"), prints.select("fp", "least"), part_components(prints.drop("least"), scheme, docs))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -258,7 +278,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id, ties to the smaller key."""
     kept = near_duplicates_by_parts(docs, Parts.at(similarity, words)).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
-    kept = kept.select(F.col("one.doc_id").alias("__doc"), F.col("one.key").alias("__key")).distinct()
-    named = docs.withColumn("__key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    chosen = named.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__doc")) & (F.col("d.__key") == F.col("k.__key")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    kept = kept.select(F.col("one.doc_id").alias("doc"), "one.key").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("doc"), text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    chosen = rows.alias("d").join(kept.alias("k"), F.col("d.doc").eqNullSafe(F.col("k.doc")) & (F.col("d.key") == F.col("k.key")), "left_semi")
+    return chosen.dropDuplicates(["doc", "key"]).select("row.*")

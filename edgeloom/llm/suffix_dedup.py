@@ -393,10 +393,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([kept(t.encode("utf-8", "surrogatepass"), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    found = covered(docs, length).select(F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("spans").alias("__spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(found, (F.xxhash64(text) == F.col("__key")) & (F.octet_length(text) == F.col("__size")), "left")
-    out = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), rest(F.coalesce("text", F.lit("")), F.coalesce("__spans", F.array().cast("array<struct<start: bigint, end: bigint>>")))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    found = covered(docs, length).select("key", "size", "spans")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    joined = rows.join(found, (F.xxhash64("text") == F.col("key")) & (F.octet_length("text") == F.col("size")), "left")
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    out = joined.select("row", "spans", F.when(F.col("spans").isNotNull(), rest("text", F.coalesce("spans", none))).otherwise(F.col("row")["text"]).alias("left"))
+    counted = F.when(F.col("spans").isNotNull(), F.char_length("left")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": F.col("left"), "n_chars": counted}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
