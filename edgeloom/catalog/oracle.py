@@ -706,6 +706,8 @@ def oracle_queries() -> dict[str, str]:
             JOIN (SELECT month, node FROM (SELECT month, node, row_number() OVER (PARTITION BY month ORDER BY count(*) DESC, node) AS p FROM (SELECT * FROM ends JOIN (
             SELECT edge_id AS top_id FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY confidence DESC, edge_id) AS k0 FROM links) WHERE k0 <= 100) ON top_id = edge_id) GROUP BY month, node) WHERE p = 1) n ON n.month = t.month GROUP BY t.month"""[7:]),
         "appended_edges": folded("SELECT * FROM edges"),
+        "upserted_edges": folded("""SELECT edge_id, subject_name, object_name, CASE WHEN edge_id LIKE '%|03' THEN event_count + 1000 ELSE event_count END AS event_count, confidence,
+            CASE WHEN edge_id LIKE '%|03' THEN 2 ELSE 1 END AS seq FROM edges"""),
         "interval_files": folded(f"""SELECT s AS subject_org_id, r AS relation_type, o AS object_org_id, m1 AS start_no, m1 AS end_no, {month_label('m1')} AS start_time, {month_label('m1')} AS end_time FROM iv"""),
         "timeline_files": folded("""SELECT month, edge_id, source_name, target_name, relation AS relation_code, confidence, status FROM (
             SELECT *, row_number() OVER (PARTITION BY month ORDER BY confidence DESC, edge_id) AS k FROM links) WHERE k <= 100"""),

@@ -15,7 +15,7 @@ from edgeloom.operators import (
 )
 from edgeloom.plans.build import Check, Graph
 from edgeloom.session import stage_path
-from edgeloom.sources import readers, testfeed, writers
+from edgeloom.sources import readers, tables, testfeed, writers
 from edgeloom.sources.schemas import text_schema
 from edgeloom.streaming import fuse
 
@@ -222,12 +222,26 @@ def feed_scan(spark, folder):
 
 
 def appended_edges(spark, folder):
-    """The edge table written by months, in two appends, and read back."""
+    """The edge table by months in two appends, one of them sent twice and one begun before and lost, read back."""
     rows = graph(spark, folder).edges
     path = stage_path(spark, "appended")
-    writers.append_table(rows.where("relation_type <= '10'"), path)
-    writers.append_table(rows.where("relation_type > '10'"), path)
-    return spark.read.schema(rows.schema).parquet(path)
+    first = rows.where("relation_type <= '10'")
+    writers.write_table(first.limit(100), f"{path}/data/append=lost", ["event_month"])  # a writer that died before its commit
+    for part, name in ((first, "first"), (rows.where("relation_type > '10'"), "second"), (first, "first")):
+        tables.append_once(part, path, name)
+    return tables.read_appended(spark, path, rows.schema)
+
+
+def upserted_edges(spark, folder):
+    """Edges as a table of latest rows after three upserts: all, one relation with new counts, and outdated rows that change nothing."""
+    rows = graph(spark, folder).edges.select("edge_id", "subject_name", "object_name", "event_count", "confidence").withColumn("seq", F.lit(1))
+    path = stage_path(spark, "upserted")
+    table = tables.KeyedTable(spark, path, rows.schema, ["edge_id"], "seq", buckets=8)
+    table.upsert(rows)
+    newer = rows.where("edge_id like '%|03'").withColumns({"event_count": F.col("event_count") + 1000, "seq": F.lit(2)})
+    table.upsert(newer)
+    table.upsert(rows.where("edge_id like '%|0_'").withColumns({"event_count": F.lit(0).cast("bigint"), "seq": F.lit(0)}))
+    return table.read()
 
 
 def interval_files(spark, folder):

@@ -12,7 +12,7 @@ from edgeloom.functions.sqlfuncs import register_sql_functions
 from edgeloom.operators import candidates, constraints, dimension, edges, facts, ids, intervals, pairs, reduction, samples, update, views
 from edgeloom.operators.dictionary import feed_a_dictionary, feed_b_dictionary, hot_names, look_up
 from edgeloom.operators.facts import KEY
-from edgeloom.sources import columns, files, readers, schemas, testfeed, writers
+from edgeloom.sources import columns, files, readers, schemas, tables, testfeed, writers
 from edgeloom.streaming import fuse, runs
 
 SMALL = "/root/testdata/sf0.001"
@@ -120,6 +120,46 @@ def test_upsert_sends_every_row_once(spark, tmp_path):
     assert sorted(x for p in tmp_path.iterdir() for x in p.read_text().split("\n")) == ["e1", "e2", "e3"]
 
 
+def test_an_append_counts_once(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("2023-01", 1), ("2023-02", 2)], "event_month string, n int")
+    path = str(tmp_path / "t")
+    assert tables.read_appended(spark, path, df.schema).count() == 0
+    assert tables.append_once(df, path, "a/b?") and not tables.append_once(df, path, "a/b?")
+
+    def dies(*_):
+        raise OSError("gone")
+
+    real = tables.put_new
+    monkeypatch.setattr(tables, "put_new", dies)
+    with pytest.raises(OSError, match="gone"):
+        tables.append_once(df, path, "c")
+    monkeypatch.setattr(tables, "put_new", lambda *_: False)  # another writer of the same append was faster
+    assert not tables.append_once(df, path, "d")
+    monkeypatch.setattr(tables, "put_new", real)
+    assert tables.read_appended(spark, path, df.schema).count() == 2 and tables.sweep_appends(spark, path) == 1
+    assert tables.append_once(df, path, "c") and sorted(tuple(r) for r in tables.read_appended(spark, path, df.schema).select("event_month", "n").collect()) == [("2023-01", 1)] * 2 + [("2023-02", 2)] * 2
+    assert set(tables.appends(spark, path)) == {"a/b?", "c"}
+
+
+def test_upsert_rewrites_only_what_changes(spark, tmp_path):
+    schema = "k string, v string, seq int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["k"], "seq", buckets=16, keep=2)
+    assert table.read().count() == 0
+    table.upsert(rows(*[(f"k{i}", "old", 1) for i in range(60)], ("k0", "older", 0), (None, "blank", None)))
+    before = table.version()
+    changed = table.upsert(rows(("k1", "new", 2), ("k2", "late", 0), ("k3", "old", 1), ("new", "row", None)))
+    after = table.version()
+    assert 1 <= len(changed) <= 2 and {b for b in after["buckets"] if after["buckets"][b] != before["buckets"].get(b)} == {str(b) for b in changed}
+    assert table.upsert(rows(("k1", "new", 2))) == set() and table.version() == after
+    got = {r.k: (r.v, r.seq) for r in table.read().collect()}
+    assert got == {f"k{i}": ("new", 2) if i == 1 else ("old", 1) for i in range(60)} | {"new": ("row", None), None: ("blank", None)}
+    assert {r.v for r in table.read(before["number"]).where("k = 'k1'").collect()} == {"old"}
+    for n in range(3):
+        table.upsert(rows(("k1", f"n{n}", 3 + n)))
+    assert len(files.names_in(spark, f"{table.path}/versions")) == 2 and table.read().count() == 62
+
+
 # ---- responses ------------------------------------------------------------------
 
 ITEM = '{"constraint_name": "n", "relation_a": "08", "relation_b": "17", "scope": "same_subject_object", "forbidden_temporal_relation": "overlap", "hard_or_soft": "soft", "expected_action": "hide", "reason": "r"}'
