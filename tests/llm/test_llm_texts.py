@@ -368,6 +368,56 @@ def test_tokens_that_cross_a_boundary(rule, expected):
     assert at.tolist() == expected and crossing.tolist() == [False, True, True, False]
 
 
+def aligned_everywhere(template, words):
+    """Most template words in order, over all places of a text: a plain table, no bands."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        new = [0]
+        for j, w in enumerate(words):
+            new.append(max(row[j + 1], new[j], row[j] + (t == w)))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_plain_alignment():
+    """Altered notices in random texts: what covers enough by a plain table is found, with as many words."""
+    index, r = licenses.build_index(licenses.TEMPLATES), random.Random(5)
+    for name in ("MIT notice", "Apache-2.0 header", "ISC", "GPL-3.0 notice", "BSD-3-Clause"):
+        template = licenses.WORD.findall(licenses.TEMPLATES[name].lower())
+        for _ in range(6):
+            body = list(template)
+            for _ in range(r.randint(0, len(body) // 25)):
+                at = r.randrange(len(body))
+                body[at : at + 1] = r.choice([[], ["foreign"], [body[at], "more"]])
+            around = ["plain", "prose", "of", "no", "kind"] * r.randint(1, 4)
+            found = {x[0]: x for x in licenses.scan_text(" ".join(around + body + around), index)}
+            plain = aligned_everywhere(template, body)
+            assert name in found and plain >= found[name][5] >= plain - 1 and found[name][3] >= len(around) - 1
+    assert licenses.scan_text(" ".join(["plain", "the", "software", "license", "of"] * 200), index) == []
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 8, 20])
+def test_notices_in_a_row(k):
+    index = licenses.build_index(licenses.TEMPLATES)
+    for name in ("MIT notice", "ISC"):
+        found = licenses.scan_text(f"{licenses.TEMPLATES[name]} " * k, index)
+        assert [x[0] for x in found] == [name] * k and len({x[1] for x in found}) == k
+
+
+@pytest.mark.parametrize("gap", [12, 20, 45])
+def test_a_license_around_foreign_words(gap):
+    index, mit = licenses.build_index(licenses.TEMPLATES), licenses.TEMPLATES["MIT"].split()
+    text = "front " * 5 + " ".join(mit[:60] + [f"foreign{i}" for i in range(gap)] + mit[60:]) + " back" * 5
+    (found,) = licenses.scan_text(text, index)
+    assert found[0] == "MIT" and found[7] == 1.0 and found[3] == 5
+
+
+def test_each_template_is_found_as_itself():
+    index = licenses.build_index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert [x[0] for x in licenses.scan_text(f"before {text} after", index)] == [name]
+
+
 def test_license_spans(spark, docs):
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "free of any charge").replace("merge, ", "").upper()
