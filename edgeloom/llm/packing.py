@@ -3,8 +3,11 @@
 Bin completion works on the histogram of piece lengths, which the sequence length bounds
 whatever the data: around the largest piece left, undominated fillings of the rest of the
 sequence are enumerated, a branch is cut when its waste can no longer beat the incumbent,
-and best-fit solutions are the incumbents. A filling is used as often as the counts allow,
-so a solution is a short list of patterns. Spark then ranks the pieces of each length and
+and best-fit solutions are the incumbents: of all pieces, and, where that misses the lower
+bound, of the largest pieces by themselves with the fullest fillings of the rest, for
+several shares of largest pieces. The search stops at the bound or after NODES branches,
+each with WIDTH fillings at most, so a solution above the bound may not be the best. A
+filling is used as often as the counts allow, so a solution is a short list of patterns. Spark then ranks the pieces of each length and
 the pattern that owns a rank gives the piece its sequence and offset.
 
 Defined results: a null text is empty and yields the piece that holds the separator id
@@ -29,6 +32,9 @@ from edgeloom.session import cut_lineage
 #: Branches tried beyond the incumbent, and fillings tried at a node.
 NODES = 3_000
 WIDTH = 4
+#: Shares of the pieces that incumbents pack by themselves; a fullest filling is used for one in so many of what it could serve.
+SHARES = [k / 48 for k in range(46)]
+SPREAD = 4
 #: Pieces of one length that one task ranks.
 RANKED = 50_000
 
@@ -149,12 +155,65 @@ def _use(left: dict[int, int], used: tuple[int, ...]) -> Pattern:
     return used, times
 
 
+def fullest(left: dict[int, int], order: list[int], room: int) -> tuple[int, ...]:
+    """Lengths that are left with the largest sum within the room; of equal sums one of long lengths. `order` has the largest first."""
+    reach, steps, inside = 1, [], (1 << (room + 1)) - 1  # bit n: the sum n can be had
+    for s in order:
+        many, lot = min(left[s], room // s), 1
+        while many > 0:
+            taken = min(lot, many)
+            steps.append((s, taken, reach))
+            reach |= (reach << (s * taken)) & inside
+            many, lot = many - taken, lot * 2
+        if reach >> room:
+            break
+    at, used = reach.bit_length() - 1, []
+    for s, taken, before in reversed(steps):
+        if not before >> at & 1:
+            used += [s] * taken
+            at -= s * taken
+    return tuple(sorted(used, reverse=True))
+
+
+def fullest_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Around the largest piece the fullest filling, again and again; only a part of the counts goes to one pattern, as later ones need the same lengths."""
+    left, done = dict(counts), []
+    order = sorted((s for s in left if left[s]), reverse=True)
+    while order:
+        left[order[0]] -= 1
+        used = (order[0], *fullest(left, order, capacity - order[0]))
+        left[order[0]] += 1
+        each = {s: used.count(s) for s in set(used)}
+        times = max(1, min(left[s] // n for s, n in each.items()) // SPREAD)
+        for s, n in each.items():
+            left[s] -= times * n
+        done.append((used, times))
+        order = [s for s in order if left[s]]
+    return done
+
+
+def incumbent(counts: dict[int, int], capacity: int, bound: int) -> list[Pattern]:
+    """The best of best fit and of its solutions of the largest pieces alone with the fullest fillings of the rest."""
+    best, total = best_fit(counts, capacity), sum(counts.values())
+    for share in SHARES:
+        if sum(n for _, n in best) <= bound:
+            break
+        top, rest, wanted = {}, dict(counts), int(total * share)
+        for s in sorted(counts, reverse=True):
+            top[s] = min(counts[s], wanted)
+            rest[s] -= top[s]
+            wanted -= top[s]
+        found = best_fit({s: n for s, n in top.items() if n}, capacity) + fullest_fit(rest, capacity)
+        best = min(best, found, key=lambda p: sum(n for _, n in p))
+    return best
+
+
 def solve(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = WIDTH) -> list[Pattern]:
     """Patterns that place all pieces; depth-first branch and bound from the best-fit incumbent."""
     counts = {s: n for s, n in counts.items() if n}
     bound = lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    best = best_fit(counts, capacity)
+    best = incumbent(counts, capacity, bound)
     fewest = sum(n for _, n in best)
     stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
     while stack and fewest > bound and nodes:

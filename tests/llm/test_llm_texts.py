@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -368,6 +369,36 @@ def test_tokens_that_cross_a_boundary(rule, expected):
     assert at.tolist() == expected and crossing.tolist() == [False, True, True, False]
 
 
+def sequences(patterns):
+    return sum(n for _, n in patterns)
+
+
+def test_packing_of_hard_lengths():
+    """Lengths of which best fit wastes much: all pieces placed, and within a stated distance of the lower bound."""
+    r = random.Random(1)
+    [r.randint(300, 1200) for _ in range(500)]
+    first = Counter(r.randint(500, 900) for _ in range(2000))
+    made = packing.solve(first, 2048, nodes=100)
+    assert sum((Counter({s: u.count(s) * n for s in set(u)}) for u, n in made), Counter()) == first and all(sum(u) <= 2048 for u, _ in made)
+    assert sequences(made) <= 727 < sequences(packing.best_fit(first, 2048))  # 727 by pairs and triples
+    for seed, low, high, gap in ((2, 500, 1000, 0.06), (3, 100, 1500, 0.01), (4, 600, 700, 0.05), (5, 1, 2048, 0.01), (6, 400, 800, 0.02)):
+        r = random.Random(seed)
+        counts = Counter(r.randint(low, high) for _ in range(3000))
+        assert sequences(packing.solve(counts, 2048, nodes=50)) <= (1 + gap) * packing.lower_bound(counts, 2048) + 1
+
+
+def test_fullest_filling_is_the_fullest():
+    r = random.Random(8)
+    for _ in range(60):
+        left = Counter(r.randint(1, 30) for _ in range(r.randint(0, 9)))
+        room = r.randint(0, 60)
+        used = packing.fullest(left, sorted(left, reverse=True), room)
+        sums = {0}
+        for s in left.elements():
+            sums |= {x + s for x in sums}
+        assert sum(used) == max(x for x in sums if x <= room) and not Counter(used) - left
+
+
 def aligned_everywhere(template, words):
     """Most template words in order, over all places of a text: a plain table, no bands."""
     row = [0] * (len(words) + 1)
