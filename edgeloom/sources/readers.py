@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import json
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -17,8 +16,7 @@ from edgeloom.constants import NULL_TOKENS
 from edgeloom.functions.codes import relation_light
 from edgeloom.functions.parse import month_number, month_text, null_tokens_to_null
 from edgeloom.sources.schemas import INTERVAL_TEXT_SCHEMA, TIMELINE_SCHEMA
-
-ZIP_ROWS = 20_000
+from edgeloom.sources.zipped import archives, opened, register_zipped, store_of
 
 
 def read_delimited(
@@ -33,15 +31,17 @@ def read_delimited(
     file_column: str | None = None,
     nulls: Iterable[str] = NULL_TOKENS,
     skip_corrupt: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """Plain delimited text files; quotes within quoted fields are doubled.
 
     Short rows are filled with nulls, long ones cut; the null spellings become null. A file
-    that can't be read is an error unless `skip_corrupt` says otherwise.
+    that can't be read is an error unless `skip_corrupt` says otherwise. With `multiline`,
+    quoted fields may hold line breaks, and a file is read by one task.
     """
     reader = (
         spark.read.option("sep", sep).option("header", header).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-        .option("ignoreCorruptFiles", skip_corrupt).option("recursiveFileLookup", recursive).option("encoding", "UTF-8")
+        .option("ignoreCorruptFiles", skip_corrupt).option("recursiveFileLookup", recursive).option("encoding", "UTF-8").option("multiLine", multiline)
     )
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -59,32 +59,23 @@ def read_delimited(
     return df.select(*columns, *([file_name.alias(file_column)] if file_column else []))
 
 
-def _archives(spark: SparkSession, paths: str | Sequence[str], recursive: bool, pattern: str, exclude_directory: str | None) -> DataFrame:
-    found = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-        .load(paths if isinstance(paths, str) else list(paths))
-    )
-    if exclude_directory:
-        found = found.where(~F.array_contains(F.split("path", "/"), exclude_directory))
-    return found.select("path", "content")
-
-
 def unreadable_archives(
     spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, pattern: str = "*.zip", exclude_directory: str | None = None,
 ) -> DataFrame:
     """Paths of the archives that `read_zipped` skips when told to."""
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    found = [p for _, p in archives(wanted, pattern, recursive, exclude_directory)]
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = store_of(wanted[0])
         for batch in batches:
-            bad = [p for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not zipfile.is_zipfile(io.BytesIO(c))]
+            bad = []
+            for path in batch.column(0).to_pylist():
+                with opened(store, path) as data:
+                    bad += [] if zipfile.is_zipfile(data) else [path]
             yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["path"])
 
-    return _archives(spark, paths, recursive, pattern, exclude_directory).mapInArrow(test, "path string")
-
-
-def _split_line(line: str, sep: str) -> list[str]:
-    """Fields of a line; a quote that isn't closed ends with it, as in plain files."""
-    return next(csv.reader([line], delimiter=sep)) if '"' in line else line.split(sep)
+    return spark.createDataFrame([(p,) for p in found], "path string").repartition(max(1, len(found) // 100)).mapInArrow(test, "path string")
 
 
 def read_zipped(
@@ -100,53 +91,24 @@ def read_zipped(
     nulls: Iterable[str] = NULL_TOKENS,
     members: str = "all",
     skip_corrupt: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
-    """Delimited text inside zip archives, one archive per task unit, its members streamed line by line.
+    """Delimited text inside zip archives, a task for each member (see `zipped`).
 
-    Zip is no splittable codec, so the archive is the unit of parallelism and of reading (2 GB
-    at most). All members are read, or with members="first" the first. Columns go by name where
-    there is a header; rows, nulls, quotes and unreadable archives are treated as in plain
-    files (`unreadable_archives` names the latter).
+    All members are read, or with members="first" the first. Columns go by name where there is
+    a header; rows, nulls, quotes and unreadable archives are treated as in plain files
+    (`unreadable_archives` names the latter). A quoted field may hold line breaks, so a quote
+    that isn't closed takes what follows; with multiline=False it ends with its line.
     """
+    register_zipped(spark)
     names = [f.name for f in schema.fields]
-    out_schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], *([T.StructField(file_column, T.StringType())] if file_column else [])])
-
-    def batch_of(rows: list[list[str | None]], path: str) -> pa.RecordBatch:
-        arrays = [pa.array(column, pa.string()) for column in zip(*rows)]
-        if file_column:
-            arrays.append(pa.array([path.rsplit("/", 1)[-1]] * len(rows), pa.string()))
-        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema.fields])
-
-    def lines(archive: zipfile.ZipFile, member: zipfile.ZipInfo, path: str) -> Iterator[pa.RecordBatch]:
-        places, rows = (None if header else list(range(len(names)))), []
-        with io.TextIOWrapper(archive.open(member), encoding="utf-8-sig", errors="replace", newline="") as text:
-            for line in text:
-                line = line.rstrip("\r\n")
-                if not line:
-                    continue
-                fields = _split_line(line, sep)
-                if places is None:
-                    places = [fields.index(n) if n in fields else len(fields) for n in names]
-                    continue
-                rows.append([(fields[i] or None) if i < len(fields) else None for i in places])
-                if len(rows) >= ZIP_ROWS:
-                    yield batch_of(rows, path)
-                    rows = []
-        if rows:
-            yield batch_of(rows, path)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if skip_corrupt and not zipfile.is_zipfile(io.BytesIO(content)):
-                    continue
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    found = [m for m in archive.infolist() if not m.is_dir()]
-                    for member in found[:1] if members == "first" else found:
-                        yield from lines(archive, member, path)
-
+    own = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([file_column] if file_column else [])]])
+    options = {
+        "paths": json.dumps([paths] if isinstance(paths, str) else list(paths)), "sep": sep, "header": header, "fileColumn": file_column or "", "recursive": recursive,
+        "pattern": pattern, "exclude": exclude_directory or "", "members": members, "skipCorrupt": skip_corrupt, "multiLine": multiline,
+    }
+    df = spark.read.format("zipped_text").schema(own).options(**options).load()
     tokens = tuple(nulls)
-    df = _archives(spark, paths, recursive, pattern, exclude_directory).mapInArrow(unpack, out_schema)
     return df.select(*[null_tokens_to_null(F.col(f"`{n}`"), tokens).alias(n) for n in names], *([file_column] if file_column else []))
 
 
@@ -161,15 +123,15 @@ def union_drifted(frames: Iterable[DataFrame]) -> DataFrame:
 
 def read_feed_files(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.tab", header: bool = True,
-    exclude_directory: str | None = None, file_column: str | None = "Source File",
+    exclude_directory: str | None = None, file_column: str | None = "Source File", multiline: bool = True,
 ) -> DataFrame:
     """All plain and zipped files of a feed below a folder (zipped ones end in .zip after the pattern), with their
-    file names, exact repeats removed."""
+    file names, exact repeats removed. Where no quoted field holds a line break, multiline=False lets tasks share large plain files."""
     plain = read_delimited(
-        spark, folder, schema, header=header, recursive=True, pattern=pattern, exclude_directory=exclude_directory, file_column=file_column
+        spark, folder, schema, header=header, recursive=True, pattern=pattern, exclude_directory=exclude_directory, file_column=file_column, multiline=multiline
     )
     zipped = read_zipped(
-        spark, folder, schema, header=header, file_column=file_column, recursive=True, pattern=f"{pattern}.zip", exclude_directory=exclude_directory
+        spark, folder, schema, header=header, file_column=file_column, recursive=True, pattern=f"{pattern}.zip", exclude_directory=exclude_directory, multiline=multiline
     )
     return union_drifted([plain, zipped]).distinct()
 

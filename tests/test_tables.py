@@ -64,6 +64,22 @@ def test_zipped_rows_of_any_width_quotes_members_and_exclusion(spark, tmp_path):
     assert first.count() == 3
 
 
+def test_members_are_tasks_and_quotes_hold_line_breaks(spark, tmp_path):
+    """An archive of several members is read by several tasks, its end alone while planning, and fields keep their line breaks."""
+    with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(5):
+            z.writestr(f"d/m{k}.tab", "id\tv\r\n" + "".join(f'{k}-{i}\t"two\nlines ""{i}"""\r\n' for i in range(300)))
+    (tmp_path / "empty.zip").write_bytes(b"PK\x05\x06" + b"\0" * 18)
+    schema = schemas.text_schema("id", "v")
+    got = readers.read_zipped(spark, f"file://{tmp_path}", schema)
+    assert got.rdd.getNumPartitions() == 5
+    assert {(r.id, r.v) for r in got.collect()} == {(f"{k}-{i}", f'two\nlines "{i}"') for k in range(5) for i in range(300)}
+    assert readers.read_zipped(spark, str(tmp_path), schema, multiline=False).count() == 5 * 600
+    assert readers.read_zipped(spark, str(tmp_path), schema, pattern="empty*").count() == 0
+    (tmp_path / "x.tab").write_text('id\tv\n1\t"a\nb"\n')
+    assert [tuple(r) for r in readers.read_delimited(spark, str(tmp_path / "x.tab"), schema, multiline=True).collect()] == [("1", "a\nb")]
+
+
 def test_headerless_zip_is_named_and_cut(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.writestr("b.csv", "1\t20230101\tx\textra\n2\t20230501\ty\textra\n")
