@@ -590,6 +590,7 @@ def oracle_queries() -> dict[str, str]:
         "instance_ids": folded(f"""SELECT constraint_id, x.id AS interval_a_id, y.id AS interval_b_id, truth FROM judged j
             JOIN {NUMBERED} x ON x.s = j.s AND x.o = j.o AND x.r = j.relation_a AND x.m1 = j.a1 JOIN {NUMBERED} y ON y.s = j.s AND y.o = j.o AND y.r = j.relation_b AND y.m1 = j.b1"""),
         "merged_intervals": full(f"SELECT s AS subject_org_id, r AS relation_type, o AS object_org_id, m1 AS start_no, m2 AS end_no, months, {month_label('m1')} AS start_month, {month_label('m2')} AS end_month FROM isl"),
+        "quarantine_file": full("SELECT r AS relation_type, 'n/a' AS start_time, strftime(last_day(make_date(m1 // 12, m1 % 12 + 1, 1)), '%Y%m%d') AS end_time, count(*) AS rows FROM iv WHERE r = '03' GROUP BY ALL"),
         "interval_quarantine": full(f"""SELECT 'good' AS kind, CASE WHEN r = '04' THEN '1990-01' ELSE {month_label('m1')} END AS start_time, {month_label('m1')} AS end_time, count(*) AS rows FROM iv WHERE r <> '03' GROUP BY ALL
             UNION ALL SELECT 'bad', 'n/a', strftime(last_day(make_date(m1 // 12, m1 % 12 + 1, 1)), '%Y%m%d'), count(*) FROM iv WHERE r = '03' GROUP BY ALL"""),
         "interval_pairs": full("SELECT * FROM pc"),

@@ -358,6 +358,16 @@ def merged_intervals(spark, folder):
     return intervals.merge_intervals(graph(spark, folder, fold=False, cut=False).intervals)
 
 
+def quarantine_file(spark, folder):
+    """Interval rows without a readable month, written to the quarantine file and read back."""
+    g = graph(spark, folder, fold=False, cut=False)
+    damaged = g.interval_table.select("subject", "property", "object", F.when(F.col("property") == "03", "n/a").otherwise(F.col("start_time")).alias("start_time"), "end_time")
+    path = stage_path(spark, "quarantine")
+    writers.export_quarantine(readers.parse_intervals(damaged)[1], path)
+    back = readers.read_delimited(spark, path, text_schema("subject_org_id", "relation_type", "object_org_id", "start_time", "end_time"), sep=",", nulls=())
+    return back.groupBy("relation_type", "start_time", "end_time").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def interval_quarantine(spark, folder):
     """Interval text rows with damaged and reversed dates, read back: good rows by month pair, bad rows counted."""
     g = graph(spark, folder, fold=False, cut=False)

@@ -59,11 +59,6 @@ def action_or_keep(c: ColumnLike) -> Column:
     return F.coalesce(F.nullif(clean_text(c), F.lit("")), F.lit("keep"))
 
 
-def first_present(*columns: ColumnLike, default: ColumnLike | None = None) -> Column:
-    present = [col(c) for c in columns]
-    return F.coalesce(*present) if default is None else F.coalesce(*present, col(default))
-
-
 def ratio(numerator: ColumnLike, denominator: ColumnLike) -> Column:
     return F.coalesce(F.try_divide(col(numerator).cast("double"), col(denominator).cast("double")), F.lit(0.0))
 

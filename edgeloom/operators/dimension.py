@@ -64,13 +64,6 @@ def usable_pair_rules(spark: SparkSession) -> DataFrame:
     return pair_rules(spark).where("candidate_level <> 'blocked'")
 
 
-def action_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(a, n, C.ACTION_STATUS[a], C.ACTION_LABELS[a], C.LEGACY_ACTION[a]) for a, n in C.ACTION_SEVERITY.items()]
-    return spark.createDataFrame(
-        rows, "action string, severity int, check_status string, label string, legacy_action string"
-    )
-
-
 def with_relation_label(df: DataFrame, column: str, label: str, dimension: DataFrame) -> DataFrame:
     """Join a label by relation code; unknown codes show themselves."""
     names = dimension.select(F.col("code").alias("_code"), F.col("label").alias("_label"))

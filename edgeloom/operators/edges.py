@@ -67,13 +67,6 @@ def gate_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("reason").agg(F.sum("n").alias("events"))
 
 
-def feed_b_counts(classified: DataFrame) -> DataFrame:
-    """Usable feed B events per edge key and day."""
-    return classified.where("reason = 'mapped'").groupBy(*KEY, "day").agg(
-        F.sum("n").alias("n"), F.first("subject_canonical").alias("subject_name"), F.first("object_canonical").alias("object_name")
-    )
-
-
 def _partials_from_seed(seed: DataFrame) -> DataFrame:
     """Seed rows as mergeable partial edges; keys are cleaned and rows without a valid key dropped."""
     code = clean_text("relation_type")

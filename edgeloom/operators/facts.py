@@ -91,25 +91,12 @@ FACT_COLUMNS = (
 )
 
 
-def fact_table(facts: DataFrame) -> DataFrame:
-    return facts.select("event_seq", *FACT_COLUMNS)
-
-
 def evidence_table(facts: DataFrame) -> DataFrame:
     return facts.select(
         "event_seq", "source_dataset", "publisher", "story_id", "sentence_number", F.lit("").alias("source_url")
     )
 
 
-def seed_edges_from_facts(facts: DataFrame) -> DataFrame:
-    """Facts grouped by subject, object, month and relation; names are those of the first day's first names."""
-    grouped = facts.groupBy(*KEY).agg(
-        F.min_by(F.struct("subject_name", "object_name"), F.struct("event_date", "subject_name", "object_name")).alias("names"),
-        F.count(F.lit(1)).alias("event_count"),
-    )
-    return _seed_columns(grouped)
-
-
 def seed_edges(events: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Seed edges straight from the feed, pre-aggregated by raw names before any name is cleaned or joined.
 

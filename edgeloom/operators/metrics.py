@@ -276,8 +276,3 @@ def constraint_quality(final: DataFrame, found: DataFrame, after: DataFrame) ->
         F.coalesce("conflict_count", zero).alias("conflict_count"), F.coalesce("triggered_edges", zero).alias("triggered_edges"),
         F.coalesce("review_edges", zero).alias("review_edges"), F.coalesce("mark_mixed_edges", zero).alias("mark_mixed_edges"),
     ).orderBy(lookup("auto_filter_status", QUALITY_STATUS_ORDER, F.lit(9)), F.desc("comparable_count"), "constraint_id")
-
-
-def method_rollup(results: DataFrame) -> DataFrame:
-    """Counts per method, evidence group and action with all subtotals, in one pass."""
-    return results.rollup("method", "evidence_group", "action").agg(F.count(F.lit(1)).alias("count"))

@@ -20,7 +20,6 @@ from edgeloom.constants import (
     DOWNGRADE_FACTOR,
     HIDE_FACTOR,
     LEGACY_ACTION,
-    LEGACY_CANDIDATE_SOURCE,
     LEGACY_DECISION,
     LEGACY_FINAL_SOURCE,
     RELATION_LABELS,
@@ -230,10 +229,3 @@ def legacy_constraints(final: DataFrame) -> DataFrame:
         "final_decision": decision, "final_reason": F.col("proposed_reason"), "reason": F.col("proposed_reason"),
         "forbidden_relation": F.col("forbidden_temporal_relation"),
     })
-
-
-def legacy_candidates(scored: DataFrame) -> DataFrame:
-    return scored.withColumns({
-        "source": F.lit(LEGACY_CANDIDATE_SOURCE), "hard_or_soft": F.col("proposed_hard_or_soft"),
-        "expected_action": F.col("proposed_action"), "reason": F.col("proposed_reason"),
-    })

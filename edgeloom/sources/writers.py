@@ -23,10 +23,6 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("event_month",)) -> None:
-    write_table(df, path, partition_by, mode="append")
-
-
 def export_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("sep", sep).option("header", header).csv(path)
 
@@ -69,29 +65,12 @@ def upsert_each_batch(df: DataFrame, send: Callable[[Sequence[dict]], None], bat
     df.foreachPartition(deliver)
 
 
-def upsert_graph(
-    nodes: DataFrame, edges: DataFrame,
-    send_nodes: Callable[[Sequence[dict]], None], send_edges: Callable[[Sequence[dict]], None],
-    clear: Callable[[], None] | None = None, batch_size: int = 1000,
-) -> None:
-    """Nodes first, then edges, after an optional clear."""
-    if clear is not None:
-        clear()
-    upsert_each_batch(nodes, send_nodes, batch_size)
-    upsert_each_batch(edges, send_edges, batch_size)
-
-
 def export_cases(cases: dict[str, DataFrame], folder: str) -> None:
     """Named case tables side by side under one folder."""
     for name, df in cases.items():
         df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/case_name={name}")
 
 
-def timeline_document(timeline: DataFrame) -> DataFrame:
-    """Month rows as JSON text, for sinks that take one document per month."""
-    return timeline.select("month", F.to_json(F.struct("month", "nodes", "links")).alias("document"))
-
-
 def export_zipped_lines(lines: DataFrame, folder: str, suffix: str = ".txt") -> int:
     """Write rows of one text column as zip archives of text, one for each partition; returns the number of lines.
 
