@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.blocks import joined, linked_to_components, outside, squares
+from edgeloom.llm.blocks import joined, squares
 from edgeloom.llm.common import id_and_text, text_key
 from edgeloom.llm.components import components
 from edgeloom.session import cut_lineage
@@ -180,23 +180,27 @@ def part_components(prints: DataFrame, scheme: Parts, docs: DataFrame) -> DataFr
     """(node, component) of what is linked: fingerprints that meet in a part, agree on the whole and stand for similar sets.
 
     `prints` has fp, parts and least_key, the key of a text of that fingerprint in `docs`.
-    Meeting in one part doesn't prove closeness. So each is first asked of the smallest fp it
-    meets, which gathers most of a family. On variants that still hold several components,
-    those outside the largest are compared with all of it, and in the end with each other, in
-    blocks of bounded size that return what agrees (`blocks`). So none stays unchecked because
-    the smallest was a stranger to it, and members of one component are never asked in all pairs.
+    Meeting in one part doesn't prove closeness. So what meets is first asked of the smallest
+    fp on the variant, which connects most. Of variants that still hold several components,
+    members are compared with each other as fingerprints, in blocks of bounded size that
+    return what agrees and isn't connected (`blocks`), and their sets decide. So none stays
+    unchecked because the smallest was a stranger to it, and members of one component are
+    never asked in all pairs. Sets are made only of texts whose fingerprints agree with another.
     """
     percent = round(100 * scheme.similarity)
     met = cut_lineage(_meetings(prints, scheme))
-    sets = cut_lineage(shingle_sets(prints.join(met.select("fp").distinct(), "fp", "left_semi"), docs, scheme))
-    asked = met.groupBy("fp").agg(F.min("first").alias("a")).where("a < fp").select("a", F.col("fp").alias("b"))
-    labels = components(similar_pairs(_agree(asked, prints, scheme), sets, percent)).withColumnRenamed("node", "class")
-    placed = met.select("variant", F.col("fp").alias("class"))
-    for _ in range(2):  # once more, as components have grown
-        left, others = outside(placed, labels, "variant")
-        labels = joined(labels, cut_lineage(linked_to_components(others, labels, sets, percent)))
-    labels = joined(labels, cut_lineage(similar_pairs(_agreeing(left, labels, prints, scheme), sets, percent)))
-    return labels.withColumnRenamed("class", "node")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs)
+        wanted = prints.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
+        return similar_pairs(pairs, cut_lineage(shingle_sets(wanted, docs, scheme)), percent)
+
+    stars = met.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
+    labels = components(linked(_agree(stars, prints, scheme))).withColumnRenamed("node", "class")
+    others = met.where("fp <> first").select("variant", F.col("fp").alias("class")).join(labels, "class", "left").withColumn("own", F.coalesce("component", "class"))
+    several = others.groupBy("variant").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("variant")
+    rest = _agreeing(others.join(several, "variant").select("variant", "class"), labels, prints, scheme)
+    return joined(labels, linked(rest)).withColumnRenamed("class", "node")
 
 
 def shingle_sets(prints: DataFrame, docs: DataFrame, scheme: Parts) -> DataFrame:
