@@ -128,6 +128,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 def clean_only(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    dirty = cut_lineage(decontaminate(docs, items, width).where("contaminated").select(F.col("key").alias("__key")).distinct())
+    dirty = cut_lineage(decontaminate(docs, items, width).where("contaminated").select("key").distinct())
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(broadcast_if_small(dirty, SMALL), key == F.col("__key"), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    return rows.join(broadcast_if_small(dirty, SMALL), "key", "left_anti").select("row.*")
