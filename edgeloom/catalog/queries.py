@@ -188,7 +188,8 @@ def alignment_sample(spark, folder):
 def fuzzy_merged(spark, folder):
     """Customers under spelled-out names, every third one again with a letter missing: who is merged into whom."""
     key = F.col("c_custkey")
-    letter = lambda i: F.translate(F.substring(F.lpad(key.cast("string"), 5, "0"), i + 1, 1), "0123456789", "ABCDEFGHIJ")
+    # Five digits to the base 26, so that 11.8 million customers have names of their own.
+    letter = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.floor(key / 26 ** (4 - i)) % 26 + 1).cast("int"), F.lit(1))
     name = F.concat_ws(" ", *[F.concat(F.lit("KLMNO"[i]), F.repeat(letter(i), 4)) for i in range(5)])
     base = testfeed.table(spark, folder, "customer").select(F.format_string("B%08d", key).alias("org_id"), name.alias("clean_name"), key.alias("k"))
     cut = (F.col("k") % 5 * 6 + 2).cast("int")

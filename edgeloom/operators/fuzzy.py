@@ -3,9 +3,12 @@
 Two names merge when their token-sorted forms are at least 97 % alike, counting
 insertions and deletions against both lengths, so the edits allowed grow with the names.
 
-Candidates come from a prefix filter. An edit touches at most q of a name's q-grams, so of
-two names within k edits each holds all but q*k grams of the other, and the q*k + 1 rarest
-grams of both have one in common. A name thus has about a fifth as many keys as characters.
+Equal names are one name until the end. Pairs that may be one edit apart, up to 33
+characters, meet where one is the other without a character, so only such pairs meet, however
+frequent their parts. Candidates of longer names come from a prefix filter. An edit touches at
+most q of a name's q-grams, so of two names within k edits each holds all but q*k grams of the
+other, and the q*k + 1 rarest grams of both have one in common. A name thus has about a fifth
+as many keys as characters.
 """
 
 from __future__ import annotations
@@ -47,14 +50,33 @@ def rare_grams(names: DataFrame) -> DataFrame:
     return counted.withColumn("_rank", rarest).where(F.col("_rank") <= F.col("budget") * GRAM + 1).drop("_rank", "count")
 
 
+def one_edit_pairs(names: DataFrame) -> DataFrame:
+    """Pairs (smaller id first) of equal forms, and those where one is the other without a character.
+
+    These are all pairs with a budget of one edit at most. The longer name of such a pair has a
+    partner length that no name of two edits has, so only such names give their shorter forms.
+    """
+    size = F.length("t")
+    cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, size)))
+    whole = names.select(F.col("org_id").alias("other_id"), F.col("t").alias("form"))
+    shorter = names.where((F.col("budget") >= 1) & (own_budget(size - 1) <= 1)).select("org_id", F.explode(F.array_distinct(cut)).alias("form"))
+    met = shorter.unionByName(names.select("org_id", F.col("t").alias("form"))).join(whole, "form").where("org_id <> other_id")
+    return met.select(F.least("org_id", "other_id").alias("low_id"), F.greatest("org_id", "other_id").alias("high_id"))
+
+
 def candidate_pairs(names: DataFrame) -> DataFrame:
+    """Pairs (smaller id first) that may be similar."""
+    return one_edit_pairs(names).unionByName(rare_gram_pairs(names.where("budget >= 2"))).distinct()
+
+
+def rare_gram_pairs(names: DataFrame) -> DataFrame:
     """Pairs (smaller id first) with a rare gram in common, at nearly the same place in names of nearly the same length."""
     left = rare_grams(names)
     right = left.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("org_id", "budget", "size", "place")])
     slack = F.greatest("budget", "other_budget")
     near = (F.abs(F.col("size") - F.col("other_size")) <= slack) & (F.abs(F.col("place") - F.col("other_place")) <= slack)
     met = left.join(right, "gram").where((F.col("org_id") < F.col("other_org_id")) & near)
-    return met.select(F.col("org_id").alias("low_id"), F.col("other_org_id").alias("high_id")).distinct()
+    return met.select(F.col("org_id").alias("low_id"), F.col("other_org_id").alias("high_id"))
 
 
 def _common_length(a: str, b: str) -> int:
@@ -99,8 +121,19 @@ def fuzzy_merge(kept: DataFrame) -> DataFrame:
     goes to the earliest such survivor. That is settled in rounds: a name
     survives once all its earlier neighbours are gone, and is gone once one of
     them survives. Every round settles at least the earliest open name of each
-    cluster, so the number of rounds is that of the longest chain.
+    cluster, so the number of rounds is that of the longest chain. Equal names share their
+    neighbours, so the first of them stands for all: the others go where it goes, or to it.
     """
+    long = kept.where(F.length("clean_name") >= FUZZY_MIN_LENGTH).select("org_id", "clean_name")
+    firsts = cut_lineage(long.groupBy("clean_name").agg(F.min("org_id").alias("org_id")))
+    merged = _merge_distinct(firsts)
+    owner = firsts.withColumnRenamed("org_id", "first_id").join(merged.withColumnRenamed("old_org_id", "first_id"), "first_id", "left")
+    others = long.join(owner, "clean_name").where("org_id <> first_id").select(
+        F.col("org_id").alias("old_org_id"), F.coalesce("survivor_id", "first_id").alias("survivor_id"), F.coalesce("ratio", F.lit(100.0)).alias("ratio"))
+    return merged.unionByName(others)
+
+
+def _merge_distinct(kept: DataFrame) -> DataFrame:
     edges = cut_lineage(similar_names(kept))
     nodes = edges.select(F.col("low_id").alias("id")).unionByName(edges.select(F.col("high_id").alias("id"))).distinct()
     state = nodes.withColumn("state", F.lit("open"))

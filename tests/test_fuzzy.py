@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from edgeloom.operators import align
 from edgeloom.operators.fuzzy import fuzzy_merge, similar_names
 
@@ -76,3 +78,27 @@ def test_keys_grow_no_faster_than_names(spark):
     names = names.withColumn("budget", own_budget(names["size"])).drop("size")
     keys = {r.org_id: r["count"] for r in rare_grams(names).groupBy("org_id").count().collect()}
     assert keys == {"O4": 4, "O20": 19, "O40": 37}
+
+
+def test_names_of_frequent_parts_meet_only_their_partners(spark):
+    from edgeloom.operators.fuzzy import candidate_pairs, own_budget
+
+    base = [" ".join(c + "ABCDEFGHIJ"[i // 10**k % 10] * 4 for k, c in enumerate("KLMNO")) for i in range(600)]
+    rows = [(f"B{i:05d}", n) for i, n in enumerate(base)] + [(f"V{i:05d}", n[:1] + n[2:]) for i, n in enumerate(base) if i % 3 == 0]
+    names = spark.createDataFrame(rows, "org_id string, t string")
+    names = names.withColumn("budget", own_budget(F.length("t")))
+    # Each name has one partner; by grams, which tens of names share, there were thousands of pairs.
+    assert candidate_pairs(names).count() == 200
+    merged = fuzzy_merge(names.withColumnRenamed("t", "clean_name").drop("budget")).collect()
+    assert {r.old_org_id: r.survivor_id for r in merged} == {f"V{i:05d}": f"B{i:05d}" for i in range(0, 600, 3)}
+
+
+def test_equal_names_go_where_the_first_of_them_goes(spark):
+    long, near = "NORTHERN FEDERATION OF WORKERS", "NORTHERN FEDERATION OF WORKER"
+    rows = [("O1", near), ("O2", long), ("O3", long), ("O4", near), ("O5", "POLICE"), ("O6", "POLICE"), ("O7", "CENTRAL BANK"), ("O8", "CENTRAL BANK")]
+    rows += [(f"P{i:03d}", "NATIONAL COUNCIL") for i in range(300)]
+    merged = {r.old_org_id: (r.survivor_id, round(r.ratio, 3)) for r in fuzzy_merge(spark.createDataFrame(rows, "org_id string, clean_name string")).collect()}
+    assert merged == {
+        "O2": ("O1", round(200 * 29 / 59, 3)), "O3": ("O1", round(200 * 29 / 59, 3)), "O4": ("O1", 100.0), "O8": ("O7", 100.0),
+        **{f"P{i:03d}": ("P000", 100.0) for i in range(1, 300)},
+    }
