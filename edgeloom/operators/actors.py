@@ -18,6 +18,7 @@ from edgeloom.functions.names import (
 )
 from edgeloom.functions.parse import clean_text
 from edgeloom.operators.ids import dense_ids
+from edgeloom.session import cut_lineage
 
 LATEST = 2**31 - 1  # unreadable dates sort last
 
@@ -61,11 +62,13 @@ def actors(*hits: DataFrame) -> DataFrame:
     union = hits[0]
     for more in hits[1:]:
         union = union.unionByName(more)
-    named = union.withColumn("normalized_name", light_name("name")).where("normalized_name <> ''")
+    # Blank names go after the groupings, by a number: a test of the name would move below them, to every event.
+    named = union.withColumn("normalized_name", light_name("name"))
     # The first grouping keeps two numbers, so it is a hash aggregation; texts are picked and gathered from what it leaves.
     first = (F.col("feed").cast("bigint") * (1 << 32) + F.col("day")).alias("first")
     texts = ("normalized_name", "name", "source", "type_info", "sector_info")
-    counted = named.select(*texts, "n", first).groupBy(*texts).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    size = F.length("normalized_name").alias("size")
+    counted = named.select(*texts, "n", first, size).groupBy(*texts).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("size").alias("size")).where("size > 0")
     grouped = counted.groupBy("normalized_name").agg(
         F.min_by(clean_text("name"), F.struct("first", "name")).alias("raw_name"),
         F.sum("n").alias("frequency"),
@@ -99,10 +102,11 @@ def organization_actors(found: DataFrame, target: int = TARGET_ORGANIZATIONS, mi
 
     The top-up takes any actor that is frequent enough, and happens only when
     at least one organization passed. How many are missing is a count of the
-    passed ones, read inside the job (one row), not on the driver.
+    passed ones, read inside the job (one row), not on the driver. Actors are a stage table, as
+    they are read three times: the feeds behind them only once.
     """
     signal = has_org_name("normalized_name") | F.col("typed") | F.col("in_org_sector")
-    marked = found.withColumn("passed", _is_candidate(min_frequency) & signal)
+    marked = cut_lineage(found).withColumn("passed", _is_candidate(min_frequency) & signal)
     passed = marked.where("passed")
     order = (F.desc("frequency"), F.desc("source_count"), F.asc("normalized_name"))
     # At most `target` rows survive the limit (top-k per partition, then merged); only they get a rank.
