@@ -14,7 +14,7 @@ from edgeloom.operators import (
     pairs, reduction, samples, update, views,
 )
 from edgeloom.plans.build import Check, Graph
-from edgeloom.session import stage_path
+from edgeloom.session import cut_lineage, stage_path
 from edgeloom.sources import readers, tables, testfeed, writers
 from edgeloom.sources.schemas import text_schema
 from edgeloom.streaming import fuse
@@ -339,8 +339,10 @@ def sql_functions(spark, folder):
 
 # ---- intervals ------------------------------------------------------------------
 
+# From the stage tables of the graph: tests of texts and dates would else move below its groupings, to every event.
+
 def month_intervals(spark, folder):
-    return graph(spark, folder, fold=False, cut=False).interval_table
+    return graph(spark, folder, fold=False).interval_table
 
 
 def interval_ids(spark, folder):
@@ -356,12 +358,12 @@ def instance_ids(spark, folder):
 
 
 def merged_intervals(spark, folder):
-    return intervals.merge_intervals(graph(spark, folder, fold=False, cut=False).intervals)
+    return intervals.merge_intervals(graph(spark, folder, fold=False).intervals)
 
 
 def quarantine_file(spark, folder):
     """Interval rows without a readable month, written to the quarantine file and read back."""
-    g = graph(spark, folder, fold=False, cut=False)
+    g = graph(spark, folder, fold=False)
     damaged = g.interval_table.select("subject", "property", "object", F.when(F.col("property") == "03", "n/a").otherwise(F.col("start_time")).alias("start_time"), "end_time")
     path = stage_path(spark, "quarantine")
     writers.export_quarantine(readers.parse_intervals(damaged)[1], path)
@@ -371,7 +373,7 @@ def quarantine_file(spark, folder):
 
 def interval_quarantine(spark, folder):
     """Interval text rows with damaged and reversed dates, read back: good rows by month pair, bad rows counted."""
-    g = graph(spark, folder, fold=False, cut=False)
+    g = graph(spark, folder, fold=False)
     damaged = g.interval_table.select(
         "subject", "property", "object",
         F.when(F.col("property") == "03", "n/a").when(F.col("property") == "04", F.col("end_time")).otherwise(F.col("start_time")).alias("start_time"),
@@ -786,12 +788,16 @@ def conflict_list(spark, folder):
 # ---- stream ---------------------------------------------------------------------
 
 def _stream_of(spark, folder, batches):
-    """Line items as a stream of so many files, each with rows of all months, a file a batch; the graph's dictionary and seed."""
-    source = testfeed.table(spark, folder, "lineitem")
+    """Line items as a stream of so many files, each with rows of all months, a file a batch; the graph's dictionary and seed.
+
+    Each batch joins the orders with their customers, a stage table, so customers are joined once.
+    """
+    source = testfeed.table(spark, folder, "lineitem").drop("l_extendedprice", "l_discount", "l_tax")  # feeds have no use for them
     files = stage_path(spark, "feed")
     source.repartition(batches, "l_orderkey").write.parquet(files)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(files)
-    return testfeed.feed_b(spark, folder, lineitem=stream), graph(spark, folder, fold=False, cut=False)
+    orders = cut_lineage(testfeed.orders_of_buyers(spark, folder).select("o_orderkey", "c_nationkey", "o_orderpriority", "c_name", "c_mktsegment"))
+    return testfeed.feed_b(spark, folder, lineitem=stream, orders=orders), graph(spark, folder, fold=False, cut=False)
 
 
 def _streamed(spark, folder):

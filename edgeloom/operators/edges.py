@@ -21,24 +21,28 @@ from edgeloom.functions.names import light_name
 from edgeloom.functions.parse import clean_text, list_text, sql_date_day, sql_date_month, to_double, to_long
 from edgeloom.operators.dictionary import look_up
 from edgeloom.operators.facts import KEY, edge_key
+from edgeloom.session import cut_lineage
 
 REASONS = ("bad_date", "blank_name", "unmapped", "self_loop", "bad_relation", "mapped")
 
 
-def classified_events(events: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+def classified_events(events: DataFrame, dictionary: DataFrame, hot: Sequence[str] = (), by_month: bool = False) -> DataFrame:
     """Feed B counted per day, name pair and codes, with org ids and the reason each group is used or skipped.
 
     Counting comes first: the lookups then run on distinct combinations. Names that are hot even then may be given.
+    The counts are a stage table, else Spark would move tests of names and codes below the counting, to every event.
+    With `by_month`, days are not told apart: a readable day is its month.
     """
+    day, month = sql_date_day("SQLDATE"), sql_date_month("SQLDATE")
     counted = (
         events.select(
-            sql_date_day("SQLDATE").alias("day"), sql_date_month("SQLDATE").alias("event_month"),
+            (F.when(day != "", month).otherwise("") if by_month else day).alias("day"), month.alias("event_month"),
             "Actor1Name", "Actor2Name", "EventCode", "EventRootCode",
         )
         .groupBy("day", "event_month", "Actor1Name", "Actor2Name", "EventCode", "EventRootCode")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return classified(counted, dictionary, hot)
+    return classified(cut_lineage(counted), dictionary, hot)
 
 
 def classified(rows: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
@@ -138,17 +142,19 @@ def fused_edges(seed: DataFrame, classified: DataFrame, min_b_only: int = MIN_B_
     return merge_partials(partials).where(keep_edge(min_b_only))
 
 
-def daily_log(seed: DataFrame, classified: DataFrame) -> DataFrame:
+def daily_log(seed: DataFrame, classified: DataFrame, first_days: DataFrame | None = None) -> DataFrame:
     """Events processed, mapped and skipped per day, and how many mapped events opened or updated an edge.
 
     A key opens on its first feed B day unless the seed already holds it. First
-    days come from one grouping by key, so no window over a day's events is needed.
+    days come from one grouping by key, so no window over a day's events is needed. Rows of
+    keys with days may be given apart (`first_days`); of the others day, reason and n count.
     """
     by_day = classified.where("reason <> 'bad_date'").groupBy("day").agg(
         F.sum("n").alias("processed_events"),
         F.sum(F.when(F.col("reason") == "mapped", F.col("n")).otherwise(0)).alias("mapped_events"),
     )
-    mapped = classified.where("reason = 'mapped'").select(*KEY, "day", F.lit(False).alias("seeded"))
+    keyed = classified.where("reason = 'mapped'") if first_days is None else first_days
+    mapped = keyed.select(*KEY, "day", F.lit(False).alias("seeded"))
     seeded = _partials_from_seed(seed).select(*KEY, F.lit(None).cast("string").alias("day"), F.lit(True).alias("seeded"))
     opened = (
         mapped.unionByName(seeded).groupBy(*KEY)

@@ -12,6 +12,7 @@ from edgeloom.functions.codes import event_code_padded, relation_from_padded
 from edgeloom.functions.names import lookup_name
 from edgeloom.functions.parse import clean_text
 from edgeloom.operators.dictionary import hot_names, look_up
+from edgeloom.session import cut_lineage
 from edgeloom.sources.columns import FEED_A_ALIASES, find_column
 
 KEY = ("subject_org_id", "object_org_id", "event_month", "relation_type")
@@ -102,8 +103,9 @@ def seed_edges(events: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()
 
     A hot actor shrinks to its distinct partners, months and codes in the
     map-side part of the first grouping, so the lookups never see its events.
-    That grouping keeps only numbers per key and so runs as a hash aggregation. Names that
-    are hot even then may be given.
+    That grouping keeps only numbers per key and so runs as a hash aggregation. Its result is a
+    stage table, else Spark would move the tests of names and codes below it, to every event.
+    Names that are hot even then may be given.
     """
     raw = standard_feed_a(events).select(
         "source_name", "target_name", "code", F.date_format("event_date", "yyyy-MM").alias("event_month"),
@@ -112,7 +114,7 @@ def seed_edges(events: DataFrame, dictionary: DataFrame, hot: Sequence[str] = ()
     counted = raw.groupBy("source_name", "target_name", "code", "event_month").agg(
         F.count(F.lit(1)).alias("n"), F.min("day").alias("day")
     )
-    prepared = counted.withColumns({
+    prepared = cut_lineage(counted).withColumns({
         "relation_type": relation_from_padded("code"),
         "_subject_key": lookup_name("source_name"),
         "_object_key": lookup_name("target_name"),

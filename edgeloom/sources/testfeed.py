@@ -17,25 +17,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _raw_events(spark: SparkSession, folder: str, fold: bool, lineitem: DataFrame | None = None) -> DataFrame:
+def orders_of_buyers(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with their customers: joined to orders, which are fewer than line items."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    buyers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def _raw_events(spark: SparkSession, folder: str, fold: bool, lineitem: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
     nation = table(spark, folder, "nation").join(
         F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     )  # 25 and 5 rows by definition of the schema
-    buyers = table(spark, folder, "customer").join(
-        F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("buyer_nation"), F.col("r_name").alias("buyer_region"))),
-        F.col("c_nationkey") == F.col("n_nationkey"),
-    )
-    sellers = table(spark, folder, "supplier").join(
-        F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("seller_nation"), F.col("r_name").alias("seller_region"))),
-        F.col("s_nationkey") == F.col("n_nationkey"),
-    )
+    # Nation names come last, by broadcast, so that only their keys are shuffled.
+    buying = F.broadcast(nation.select(F.col("n_nationkey").alias("b_key"), F.col("n_name").alias("buyer_nation"), F.col("r_name").alias("buyer_region")))
+    selling = F.broadcast(nation.select(F.col("n_nationkey").alias("v_key"), F.col("n_name").alias("seller_nation"), F.col("r_name").alias("seller_region")))
     shipped = F.to_date("l_shipdate")
     folded = F.make_date(F.lit(1996), F.quarter("l_shipdate"), F.dayofmonth("l_shipdate").cast("int") % 28 + 1)
     return (
         (table(spark, folder, "lineitem") if lineitem is None else lineitem)
-        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(orders_of_buyers(spark, folder) if orders is None else orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(buying, F.col("c_nationkey") == F.col("b_key")).join(selling, F.col("s_nationkey") == F.col("v_key"))
         .withColumns({
             "event_day": folded if fold else shipped,
             "code_number": (F.col("l_partkey") % 20 + 1).cast("int"),
@@ -72,12 +74,14 @@ def feed_a(spark: SparkSession, folder: str, fold: bool = False) -> DataFrame:
 
 def feed_b(
     spark: SparkSession, folder: str, fold: bool = False, parties: bool = False, lineitem: DataFrame | None = None,
+    orders: DataFrame | None = None,
 ) -> DataFrame:
     """Feed B as its files look, plus event_seq. With parties, actors are the customers and suppliers themselves.
 
-    Line items may be given as a stream; the other tables then join statically.
+    Line items may be given as a stream; the other tables then join statically, `orders` as a
+    table of orders_of_buyers that was made before.
     """
-    raw = _raw_events(spark, folder, fold, lineitem).where("l_linenumber > 2")
+    raw = _raw_events(spark, folder, fold, lineitem, orders).where("l_linenumber > 2")
     buyer = F.lower("c_name") if parties else F.lower("buyer_nation")
     seller = F.concat(F.lower("s_name"), F.lit(" bank")) if parties else F.lower("seller_nation")
     code = F.col("code_number")

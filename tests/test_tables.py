@@ -521,3 +521,20 @@ def test_windowed_counts_run_as_a_stream(spark, tmp_path):
 def test_responses_are_read_whole(spark, tmp_path):
     (tmp_path / "r.txt").write_text("line one\nline two\n")
     assert [tuple(r) for r in readers.read_responses(spark, str(tmp_path)).collect()] == [("r.txt", "line one\nline two\n")]
+
+
+# ---- work once for all events ---------------------------------------------------
+
+def test_names_and_dates_are_not_tested_for_every_event(spark):
+    """What follows the counting reads a stage table, so no filter moves below it; actors are read from one as well."""
+    from edgeloom.operators import actors
+    from edgeloom.plans.build import Graph
+
+    g = Graph(testfeed.feed_a(spark, SMALL), testfeed.feed_b(spark, SMALL), testfeed.organizations(spark, SMALL))
+    for df in (g.seed, g.classified, g.classified_months):
+        assert not any("lineitem" in f for f in df.inputFiles())
+    assert g.classified_months.count() < g.classified.count()
+    by_day = g.classified.groupBy("reason").agg(F.sum("n").alias("n"))
+    assert by_day.exceptAll(g.classified_months.groupBy("reason").agg(F.sum("n").alias("n"))).isEmpty()
+    found = actors.actors(actors.feed_a_hits(g.feed_a), actors.feed_b_hits(testfeed.feed_b(spark, SMALL, parties=True)))
+    assert not any("lineitem" in f for f in actors.organization_actors(found).inputFiles())
