@@ -33,13 +33,28 @@ FIRST_SCHEMA = T.StructType([
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def partials(classified: DataFrame) -> DataFrame:
+    """Classified events as two kinds of rows: per key (where mapped) and, without a key, per day and reason.
+
+    Both are far fewer than keys times days, and the log needs no more: a key's first day, a day's counts.
+    """
+    names = ("subject_canonical", "object_canonical")
+    fields = (*KEY, *names)
+    by_key = F.struct(*fields, "day", "reason", "n")
+    by_day = F.struct(*[F.lit(None).cast("string").alias(c) for c in fields], "day", "reason", "n")
+    return classified.select(F.explode(F.when(F.col("reason") == "mapped", F.array(by_key, by_day)).otherwise(F.array(by_day))).alias("row")).select("row.*")
+
+
 def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY, "day", "reason").agg(
-        F.sum("n").alias("n"), F.first("subject_canonical").alias("subject_canonical"), F.first("object_canonical").alias("object_canonical"))
+    """Rows of a key become one with its first day; those without are told apart by day."""
+    own = F.when(F.col("relation_type").isNull(), F.col("day"))
+    return rows.groupBy(*KEY, "reason", own.alias("_day")).agg(
+        F.min("day").alias("day"), F.sum("n").alias("n"),
+        F.first("subject_canonical").alias("subject_canonical"), F.first("object_canonical").alias("object_canonical")).drop("_day")
 
 
 def partial_table(spark: SparkSession, path: str, fanout: int = 4) -> MergeTable:
-    """Counts per edge key, day and reason."""
+    """Counts and first day per edge key, and counts per day and reason."""
     return MergeTable(spark, path, PARTIAL_SCHEMA, _summed, fanout, sort="event_month")
 
 
@@ -51,7 +66,7 @@ def fuse_stream(
     table = partial_table(events.sparkSession, path, fanout)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.add(E.classified_events(batch, dictionary), checkpoint, batch_id)
+        table.add(partials(E.classified_events(batch, dictionary)), checkpoint, batch_id)
 
     return _started(events.writeStream.foreachBatch(write), checkpoint, available_now, interval)
 
@@ -61,19 +76,21 @@ def _started(writer, checkpoint: str, available_now: bool, interval: str) -> Str
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    """All partial counts so far, as rows like those of classified_events."""
-    return partial_table(spark, path).read()
+def read_partials(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """All partial counts so far: rows of keys, and rows of days and reasons."""
+    rows = partial_table(spark, path).read()
+    return rows.where("relation_type is not null"), rows.where("relation_type is null")
 
 
 def stream_edges(spark: SparkSession, path: str, seed: DataFrame, min_b_only: int = MIN_B_ONLY_EVENTS) -> DataFrame:
     """Edge table from seed and partials; weak edges are pruned on reading, never in the stream."""
-    return E.fused_edges(seed, read_partials(spark, path), min_b_only)
+    return E.fused_edges(seed, read_partials(spark, path)[0], min_b_only)
 
 
 def stream_log(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
     """Daily log over everything streamed so far."""
-    return E.daily_log(seed, read_partials(spark, path))
+    keys, days = read_partials(spark, path)
+    return E.daily_log(seed, days, keys)
 
 
 def _first(rows: DataFrame) -> DataFrame:

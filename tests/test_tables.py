@@ -538,3 +538,14 @@ def test_names_and_dates_are_not_tested_for_every_event(spark):
     assert by_day.exceptAll(g.classified_months.groupBy("reason").agg(F.sum("n").alias("n"))).isEmpty()
     found = actors.actors(actors.feed_a_hits(g.feed_a), actors.feed_b_hits(testfeed.feed_b(spark, SMALL, parties=True)))
     assert not any("lineitem" in f for f in actors.organization_actors(found).inputFiles())
+
+
+def test_partial_counts_hold_a_row_for_each_key_and_for_each_day(spark):
+    classified = edges.classified_events(testfeed.feed_b(spark, SMALL, fold=True), feed_b_dictionary(testfeed.organizations(spark, SMALL)))
+    once = fuse._summed(fuse.partials(classified)).cache()
+    keys, days = once.where("relation_type is not null"), once.where("relation_type is null")
+    mapped = classified.where("reason = 'mapped'")
+    want = mapped.groupBy(*KEY).agg(F.min("day").alias("day"), F.sum("n").alias("n"))
+    assert keys.select(*KEY, "day", "n").exceptAll(want).isEmpty() and keys.count() == want.count() < mapped.count()
+    assert days.select("day", "reason", "n").exceptAll(classified.groupBy("day", "reason").agg(F.sum("n").alias("n"))).isEmpty()
+    assert fuse._summed(once).exceptAll(once).isEmpty()
