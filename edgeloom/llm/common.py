@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,16 @@ def slices(texts: list[str], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about so many bytes each, one row at least, so that Python holds the texts of a part only."""
+    for batch in batches:
+        step = max(1, min(batch.num_rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
     """The hint where `df` has so few rows; else the planner decides. It is counted, so it should be a stage table."""
     return F.broadcast(df) if df.count() <= most else df

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text
+from edgeloom.llm.common import few_rows, id_and_text
 from edgeloom.llm.tokens import default_tokenizer, encoder
 from edgeloom.session import cut_lineage
 
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, last = encoder(tokenizer), np.array([separator], "<u4")
-        for batch in batches:
+        for batch in few_rows(batches):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.concatenate([ids, last])

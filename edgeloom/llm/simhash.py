@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.blocks import joined, squares
-from edgeloom.llm.common import id_and_text, text_key
+from edgeloom.llm.common import few_rows, id_and_text, text_key
 from edgeloom.llm.components import components
 from edgeloom.session import cut_lineage
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, key (tells rows of one doc_id apart) and signed 64-bit fp."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [fingerprint(text, words) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.int64())], names=["doc_id", "key", "fp"])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, slices
+from edgeloom.llm.common import few_rows, id_and_text, slices
 from edgeloom.session import cut_lineage
 
 LENGTH = 200
@@ -174,7 +174,7 @@ def packed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         tool = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in few_rows(batches):
             data = [tool.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "key", "size")] + [pa.array(data, pa.binary())], names=["doc_id", "key", "size", "packed"])
 
@@ -372,7 +372,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         tool = zstandard.ZstdDecompressor()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for doc, data, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "spans")), strict=True):
                 text, gone = tool.decompress(data), merged(spans)

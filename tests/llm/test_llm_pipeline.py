@@ -39,3 +39,15 @@ def test_run_on_empty_and_odd_tables(spark, tmp_path):
         found = got.select("doc_id").distinct().collect()
         assert {r.doc_id for r in found} == (set(range(1, 12)) | {None} if name == "full" else set())
         assert got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] in (None, *range(1, 2049))
+
+
+def test_python_holds_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from edgeloom.llm.common import few_rows
+
+    texts = ["x" * 1000] * 500 + ["", None, "y" * 50_000] + ["z"] * 10
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string())}) for t in (texts, [], texts[:3])]
+    parts = [b.column("text").to_pylist() for b in few_rows(iter(batches), 20_000)]
+    assert sum(parts, []) == texts + texts[:3]
+    assert max(len(p) for p in parts) <= 20
