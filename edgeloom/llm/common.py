@@ -66,6 +66,11 @@ def few_rows(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iter
     pa.default_memory_pool().release_unused()
 
 
+def small_batches(spark: SparkSession, most: int = SLICE_BYTES) -> None:
+    """From now on the session sends Python batches of about so many bytes, so that executors hold little of them on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
     """The hint where `df` has so few rows; else the planner decides. It is counted, so it should be a stage table."""
     return F.broadcast(df) if df.count() <= most else df

@@ -260,7 +260,7 @@ def ranked(found: DataFrame, sizes: dict[int, int]) -> DataFrame:
     spark = found.sparkSession
     if not sizes:
         return found.withColumn("rank", F.lit(0).cast("bigint"))
-    parts = spark.createDataFrame([(s, n // RANKED + 1) for s, n in sizes.items()], "length bigint, parts int")
+    parts = spark.createDataFrame(pa.table({"length": pa.array(list(sizes), pa.int64()), "parts": pa.array([n // RANKED + 1 for n in sizes.values()], pa.int32())}))  # no Python on executors
     dealt = found.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts")).drop("parts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

@@ -337,7 +337,8 @@ def _counted_windows(parts: DataFrame, length: int) -> DataFrame:
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, size, spans): the byte ranges that texts lose; they may touch or overlap."""
     shared = shared_places(docs, length)
-    found = cut_lineage(twin_windows(cut_out(docs, shared, length), length))
+    # Two steps read the fragments; as a stage table they are cut out once, and no task has two Python workers.
+    found = cut_lineage(twin_windows(cut_lineage(cut_out(docs, shared, length)), length))
     own = F.array(F.struct("start", (F.col("start") + F.col("windows") + (length - 1)).alias("end")))
     whole = shared.where("times > 1").select("key", "size", F.explode(F.coalesce("ranges", own)).alias("r")).select("key", "size", "r.start", "r.end")
     parts = shared.where("times = 1").join(found, ["anchor", "whole"]).select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -39,9 +40,9 @@ def load_tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file; keeps up to `capacity` short pieces."""
+    """Encodes texts with a tokenizers file; keeps up to `capacity` short pieces, by default as many as a dictionary of 2**20 places takes."""
 
-    def __init__(self, path: str, capacity: int = 700_000):
+    def __init__(self, path: str, capacity: int = 690_000):
         self.tokenizer = load_tokenizer(path)
         self.capacity = capacity
         self.cache: dict[str, bytes] = {}
@@ -65,17 +66,14 @@ class Encoder:
                 wanted.update(pieces)
         known = self.cache
         new = [p for p in wanted if p not in known]
-        room = max(0, self.capacity - len(known))
-        known.update(zip(new, self._encode_pieces([_chunk(p) for p in new]), strict=True))
-        of = known.__getitem__
-        out = [
+        found = dict(zip(new, self._encode_pieces([_chunk(p) for p in new]), strict=True))
+        of = {p: known[p] if p in known else found[p] for p in wanted}.__getitem__
+        # What finds no room never enters: a dictionary that has grown stays large.
+        known.update((p, found[p]) for p in islice((p for p in new if len(p) <= 40), max(0, self.capacity - len(known))))
+        return [
             np.array(self._whole([text])[0], dtype="<u4") if pieces is None else np.frombuffer(b"".join(map(of, pieces)), dtype="<u4")
             for text, pieces in zip(texts, cut, strict=True)
         ]
-        for k, p in enumerate(new):
-            if k >= room or len(p) > 40:
-                del known[p]
-        return out
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

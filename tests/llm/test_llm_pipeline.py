@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from edgeloom.llm import simhash, suffix_dedup
+from edgeloom.llm import packing, simhash, suffix_dedup
+from edgeloom.llm.tokens import Encoder, default_tokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, __key string, __spans string, key bigint, row string, spans string"
 
@@ -51,3 +52,52 @@ def test_python_holds_few_texts_at_a_time():
     parts = [b.column("text").to_pylist() for b in few_rows(iter(batches), 20_000)]
     assert sum(parts, []) == texts + texts[:3]
     assert max(len(p) for p in parts) <= 20
+
+
+def test_executors_hold_few_texts_at_a_time(spark):
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, before = spark.createDataFrame([], SCHEMA), spark.conf.get(key)
+    for stage in (corpus_pipeline.simhash_near_dedup, corpus_pipeline.suffix_array_dedup, corpus_pipeline.best_fit_packing):
+        spark.conf.unset(key)
+        stage(spark, docs, "")
+        sizes = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 2000) as text").mapInArrow(each, "n bigint")
+        assert sizes.agg(F.max("n")).first()[0] <= 2_100_000
+    spark.conf.set(key, before)
+
+
+def workers(df):
+    """The most steps in Python that one task of the plan runs, by Spark's text of it."""
+    most, above = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, n) for d, n in above if d < depth]
+        n = 0 if "Exchange" in line else (above[-1][1] if above else 0) + ("MapInArrow" in line or "ArrowEvalPython" in line)
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_no_task_has_two_python_workers(spark, monkeypatch):
+    written, cut = [], suffix_dedup.cut_lineage
+    monkeypatch.setattr(suffix_dedup, "cut_lineage", lambda df: written.append(df) or cut(df))
+    docs = spark.createDataFrame([(i, prose(8, 60) + " " + prose(i, 60) + " " + prose(9, 60), "en", "s", 1, "k", "s", 7, "r", "p") for i in range(6)], SCHEMA)
+    written.append(suffix_dedup.without_repeats(docs))
+    assert len(written) > 2 and max(map(workers, written)) == 1
+    sizes = {1: 2, 5: packing.RANKED * 2}
+    ranked = packing.ranked(spark.createDataFrame([], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(1), sizes)
+    assert "ExistingRDD[length" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cached_pieces_never_exceed_their_room():
+    import sys
+
+    tool = Encoder(default_tokenizer(), capacity=80)
+    texts = [prose(k, 3000) for k in range(4)]
+    assert [x.tolist() for x in tool.encode(texts)] == [e.ids for e in tool.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(tool.cache) == 80 and sys.getsizeof(tool.cache) <= sys.getsizeof({str(k): b"" for k in range(81)})
