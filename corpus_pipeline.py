@@ -14,38 +14,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm import decontaminate, packing, quality, simhash, suffix_dedup
-from edgeloom.llm.common import small_batches, table
+from edgeloom.llm.common import only_asked_broadcasts, small_batches, table
 from edgeloom.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def lean(spark: SparkSession) -> None:
+    """Executors hold few texts for Python, the driver few tables for joins."""
+    small_batches(spark)
+    only_asked_broadcasts(spark)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    small_batches(spark)
+    lean(spark)
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id."""
-    small_batches(spark)
+    lean(spark)
     return simhash.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose all byte strings of 200 bytes that occur twice."""
-    small_batches(spark)
+    lean(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten words in a row of a benchmark item, or all of a shorter one, go."""
+    lean(spark)
     return decontaminate.clean_only(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, packed into sequences of 2048 tokens."""
-    small_batches(spark)
+    lean(spark)
     return packing.pack(docs)
 
 

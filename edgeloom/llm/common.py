@@ -71,6 +71,11 @@ def small_batches(spark: SparkSession, most: int = SLICE_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def only_asked_broadcasts(spark: SparkSession) -> None:
+    """From now on the session broadcasts what has the hint alone. Else the driver builds a table, with buffers and a thread, for each side that turns out small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
     """The hint where `df` has so few rows; else the planner decides. It is counted, so it should be a stage table."""
     return F.broadcast(df) if df.count() <= most else df

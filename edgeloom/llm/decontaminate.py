@@ -81,8 +81,10 @@ def find(index: Index, sought: DataFrame, slop: int = 0) -> DataFrame:
     found = index.postings.join(first, "term").select("doc", "key", "window_id", "width", (F.col("pos") - F.col("off")).alias("start"))
     if not slop:
         found = found.where("start >= 0")
-    found = cut_lineage(_confirm(index, found.distinct(), ordered.where("rank = 2"), slop))
-    return _confirm(index, found, ordered.where("rank > 2"), slop)
+    # As a stage table, for the next step reads them twice and its plan would hold all this twice.
+    found = cut_lineage(found.distinct())
+    found = cut_lineage(_confirm(index, found, ordered.where("rank = 2"), slop))
+    return cut_lineage(_confirm(index, found, ordered.where("rank > 2"), slop))
 
 
 def _confirm(index: Index, found: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
@@ -99,13 +101,18 @@ def _confirm(index: Index, found: DataFrame, terms: DataFrame, slop: int) -> Dat
     return asked.where("rest is null").drop("rest").unionByName(whole)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and the document's key)."""
-    sought = cut_lineage(windows(items, width))
+def occurrences(docs: DataFrame, sought: DataFrame) -> tuple[Index, DataFrame]:
+    """The index for the windows (item, window_id, terms) and where they occur, as `find` gives it."""
     distinct = sought.select("window_id", "terms").distinct()
     terms = cut_lineage(distinct.select(F.explode("terms").alias("term")).distinct())
     index = build_index(docs, terms)
-    found = cut_lineage(find(index, distinct))
+    return index, find(index, distinct)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and the document's key)."""
+    sought = cut_lineage(windows(items, width))
+    index, found = occurrences(docs, sought)
     # Words that a window covers and none that starts before it does.
     order = Window.partitionBy("doc", "key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("doc", "key", "start", (F.col("start") + F.col("width")).alias("end")).distinct()
@@ -128,7 +135,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 def clean_only(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    dirty = cut_lineage(decontaminate(docs, items, width).where("contaminated").select("key").distinct())
+    _, found = occurrences(docs, cut_lineage(windows(items, width)))
+    dirty = cut_lineage(found.select("key").distinct())
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
     return rows.join(broadcast_if_small(dirty, SMALL), "key", "left_anti").select("row.*")

@@ -17,6 +17,7 @@ both classes every score is one half. An empty table gives no row. Other columns
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -147,13 +148,12 @@ def sampled(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
 
     stored = cut_lineage(chosen.select("place", "doc_id", "label", "text").mapInArrow(each, "place bigint, doc_id bigint, label int, found binary"))
     keys, rows_of = [], []
-    for k in range(PIECES):  # the driver holds one copy of the sample, and a piece of it
+    for k in range(PIECES):  # the driver holds the sample once, as it was received
         got = stored.where(F.pmod(F.xxhash64("place"), F.lit(PIECES)) == k).toArrow()
-        flat = np.frombuffer(b"".join(got["found"].to_pylist()), "<u4")
-        ends = np.cumsum([0, *(len(x.as_py()) // 4 for x in got["found"])])
-        rows_of += [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        rows_of += [np.frombuffer(x.as_buffer(), "<u4") for x in got["found"]]
         keys += zip(*(got[c].to_pylist() for c in ("place", "doc_id", "label")), strict=True)
-    order = sorted(range(len(keys)), key=lambda i: (*keys[i], rows_of[i].tobytes()))
+    times = Counter(keys)  # the features decide between rows of one doc_id only
+    order = sorted(range(len(keys)), key=lambda i: (*keys[i], rows_of[i].tobytes() if times[keys[i]] > 1 else b""))
     return [rows_of[i] for i in order], np.array([1.0 if keys[i][2] == 1 else -1.0 for i in order])
 
 
@@ -221,8 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
         return none
     weights, bias = dual_coordinate_descent(found, sides, ratio)
     weights = (MIX * weights + (1 - MIX) * np.abs(weights[ones + zeros > 0]).mean()) * ratio
+    del found
     apart, truth = sampled(rows.where("fold = 1"), CALIBRATION)
     slope, shift = platt(np.array([float(weights[x].sum()) + bias for x in apart]), truth)
+    del apart
+    pa.default_memory_pool().release_unused()
     return Model(weights, bias, slope, shift)
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from edgeloom.llm import packing, simhash, suffix_dedup
+from edgeloom.llm import decontaminate, packing, quality, simhash, suffix_dedup
 from edgeloom.llm.tokens import Encoder, default_tokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, __key string, __spans string, key bigint, row string, spans string"
@@ -101,3 +101,47 @@ def test_cached_pieces_never_exceed_their_room():
     texts = [prose(k, 3000) for k in range(4)]
     assert [x.tolist() for x in tool.encode(texts)] == [e.ids for e in tool.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert len(tool.cache) == 80 and sys.getsizeof(tool.cache) <= sys.getsizeof({str(k): b"" for k in range(81)})
+
+
+def test_driver_builds_no_tables_unasked(spark, tmp_path):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxBytesPerBatch")
+    docs, before = spark.createDataFrame([], SCHEMA), {k: spark.conf.get(k) for k in keys}
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(keys[0])
+        stage(spark, docs, str(tmp_path))
+        small = spark.range(9).withColumnRenamed("id", "n")
+        plan = small.join(small.groupBy("n").count(), "n")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        asked = small.join(F.broadcast(small.groupBy("n").count()), "n")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in asked
+    for k in keys:
+        spark.conf.set(k, before[k])
+
+
+def test_steps_of_decontamination_have_small_plans(spark, monkeypatch):
+    written, cut = [], decontaminate.cut_lineage
+    monkeypatch.setattr(decontaminate, "cut_lineage", lambda df: written.append(df) or cut(df))
+    docs = spark.createDataFrame([(i, prose(i, 90), "en", "s", 1, "k", "s", 7, "r", "p") for i in range(6)] + [(7, "alone", "en", "s", 1, "k", "s", 7, "r", "p")], SCHEMA)
+    items = spark.createDataFrame([("a", prose(0, 90)), ("b", prose(1, 12)), ("c", "alone"), ("d", "absent words")], "item_id string, text string")
+    found = decontaminate.clean_only(docs, items)
+    dirty = decontaminate.decontaminate(docs, items).where("contaminated")
+    assert {r.doc_id for r in found.collect()} == set(range(2, 6)) and {r.doc_id for r in dirty.collect()} == {0, 1, 7}
+    joins = [df._jdf.queryExecution().executedPlan().toString().count("Join ") for df in [*written, found]]
+    assert max(joins) <= 4
+
+
+def test_driver_holds_the_sample_once(spark):
+    import tracemalloc
+
+    r = random.Random(5)
+    rows = spark.createDataFrame([(max(i, 9), "".join(map(chr, r.choices(range(33, 127), k=6000))), i % 2, 2) for i in range(120)], "doc_id bigint, text string, label int, fold int")
+    quality.sampled(rows, 1000)
+    tracemalloc.start()
+    found, sides = quality.sampled(rows, 1000)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(found) == len(sides) == 120 and most < sum(x.nbytes for x in found)
+    again, _ = quality.sampled(rows.repartition(3), 1000)
+    assert [x.tolist() for x in found] == [x.tolist() for x in again]
